@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _WS, Words, mix, rolling, segments_hash, small_side, steps
+from .common import _WS, Words, materialize, mix, rolling, segments_hash, small_side, steps
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 SYMBOLS = b"#*$%&|<>"
@@ -112,6 +112,7 @@ def host_rates(counted: DataFrame, host_col: str = "source") -> DataFrame:
     """host, n_docs, n_failed, rate (shrunk by the fitted beta prior)."""
     failed = base_failed() | (soft_failures() > 0)
     hosts = counted.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
+    hosts = materialize(hosts, "quality-hosts")  # else each use of the table reads all texts again
     n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     s = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff")).first()
     a, b = beta_prior(s["k"] or 0, s["n"] or 0.0, s["f"] or 0.0, s["nn"] or 0.0, s["ff"] or 0.0)
