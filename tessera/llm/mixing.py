@@ -69,15 +69,16 @@ def decide(units: DataFrame, weights: Sequence[float], share: float, most: float
     n = units.count()
     bits = max(4, math.ceil(math.log2(n + 1) / 2))
     units = units.withColumn("range", F.shiftright("key", 64 - bits))
-    ranges = units.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranges = materialize(units.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     t = materialize(targets(sizes, weights, share, most), "mix-targets")
     budget = t.agg(F.sum("target")).first()[0] or 0.0
     up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(up_to), F.lit(0))).withColumnRenamed("source", "_s").withColumnRenamed("range", "_r")
+    ranges = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(up_to), F.lit(0)))
+    ranges = ranges.join(small_side(t.withColumnRenamed("source", "_t")), F.col("source").eqNullSafe(F.col("_t")))
+    ranges = small_side(materialize(ranges.where("target > 0").select(F.col("source").alias("_s"), F.col("range").alias("_r"), "offset", "sid", "source_size", "target"), "mix-offsets"))
     within = units.withColumn("cum", F.sum("size").over(Window.partitionBy("source", "range").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
-    queued = within.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")))
-    queued = queued.join(small_side(t.withColumnRenamed("source", "_t")), F.col("source").eqNullSafe(F.col("_t"))).where("target > 0 and size > 0")
+    queued = within.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r"))).where("size > 0")
     passes = F.explode(F.array(F.lit(0), F.lit(1)))
     queued = queued.select("sid", "key", "size", (F.col("offset") + F.col("cum")).alias("cum"), "source_size", "target", passes.alias("pass"))
     queued = queued.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("cum")) / F.col("target"))
