@@ -65,7 +65,7 @@ def occurrences(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
     start = F.col("q") - F.col("o1")
     at = words.join(small_side(keys, BROADCAST_ROWS), F.lower("word") == F.col("t1"))
     at = at.where((start >= 0) & (start + F.col("n") <= F.size("ws"))).where(F.lower(F.get("ws", start + F.col("o2"))) == F.col("t2"))
-    at = at.where(F.translate(F.array_join(F.slice("ws", start + 1, F.col("n")), " "), UPPER, LOWER) == F.array_join("words", " "))
+    at = at.where(F.translate(F.array_join(F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("n")), " "), UPPER, LOWER) == F.array_join("words", " "))
     return at.select("id", "h", start.alias("start"), "n", "wid"), of
 
 
