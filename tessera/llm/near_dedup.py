@@ -1,13 +1,13 @@
 """MinHash near-dedup as a chosen-path set similarity join.
 
 Texts with equal shingle sets are one class, represented by its smallest id. Each of `TREES` independent trees files a
-class under one minwise token of its own; a node with more than one class is a set of candidates. First every class is
-compared with the first class of its nodes (by sketch), its best match is confirmed on the full sets, and the confirmed
-links are joined to components. What is left to find are links between components that meet in a node: a node whose
-classes outside its largest component are few is compared exhaustively across components, any other branches again by two
-chosen tokens of the sketch for each class, and so on; at `DEPTH` what is left is compared in blocks. Found pairs are
-confirmed on the full sets as well. So a group of thousands of near copies costs one comparison a member and tree, and
-neither its pairs nor its members are ever gathered in one task.
+class under one minwise token of its own; a node with more than one class is a set of candidates. In rounds, the members
+of a node are compared (by sketch) with a few drawn from it, each member's best match is confirmed on the full sets, and
+confirmed links join components. What is left to find are links between components that still meet in a node: a node with
+few members outside its largest component is compared exhaustively across components, any other branches by two chosen
+tokens of the sketch for each member, and so on; at `DEPTH` what is left is compared in blocks. Found pairs are confirmed
+on the full sets as well. So a group of thousands of near copies costs a few comparisons a member and tree, and neither
+its pairs nor its members are ever gathered in one task.
 
 Recall: a pair of similarity s shares a node of one tree with probability s, and misses all `TREES` = 8 with (1 - s) ** 8
 (1.5e-5 at 0.75, less above); branching by two tokens keeps a pair with probability of at least 0.89 to any depth.
@@ -31,10 +31,14 @@ from .components import components
 
 SHINGLE = 5
 TREES = 8
-SKETCH = 128
+SKETCH = 256
 #: Estimated similarity from which pairs are confirmed: four standard deviations of the sketch below 0.75.
-LIKELY = 0.6
-FEW = 64
+LIKELY = 0.64
+#: Members drawn from a node in each round, and rounds at most.
+PIVOTS = 4
+ROUNDS = 4
+#: Members outside a node's largest component that one task holds, and members that one task streams past them.
+FEW = 1024
 STREAM = 4096
 DEPTH = 6
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -111,11 +115,22 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "a long, b long, est double")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, text) of some representatives (ids may repeat). docs: id, h, text."""
+    wanted = ids.distinct().join(reps.select("id", "h"), "id").select(F.col("id").alias("_i"), F.col("h").alias("_h"))
+    wanted = small_side(materialize(wanted, "near-wanted"))
+    return materialize(docs.join(wanted, (F.col("id") == F.col("_i")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["id", "h"]).select("id", "text"), "near-texts")
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Is 100 * intersection >= 75 * union, of two sets that are not empty?"""
+    union = len(np.unique(np.concatenate([x, y])))
+    return 100 * (len(x) + len(y) - union) >= 75 * union
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """pairs (a, b) whose full sets have 100 * intersection >= 75 * union. docs: id, h, text."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = wanted.join(reps.select("id", "h"), "id")
-    texts = materialize(docs.join(small_side(wanted.select(F.col("id").alias("_i"), F.col("h").alias("_h"))), (F.col("id") == F.col("_i")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["id", "h"]).select("id", "text"), "near-texts")
+    """pairs (a, b) whose full sets are alike."""
+    texts = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), docs, reps)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +140,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                 other = [x or b"" for x in batch.column(3).slice(rows.start, len(texts)).cast(pa.binary()).to_pylist()]
                 sets = shingle_sets(texts + other)
                 for i in range(len(texts)):
-                    x, y = sets[i], sets[len(texts) + i]
-                    common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    ok[rows.start + i] = common and 100 * common >= 75 * (len(x) + len(y) - common)
+                    ok[rows.start + i] = alike(sets[i], sets[len(texts) + i])
             if ok.any():
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
@@ -135,89 +148,150 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def across(nodes: DataFrame) -> DataFrame:
-    """nodes (node, part, outside, id, component, sketch) -> likely pairs (a, b) of different components.
+    """nodes (node, part, outside, id, component, sketch, text) -> links (a, b) between different components.
 
-    Within a (node, part) the rows with outside = true come first and are held; each other row is compared with them.
+    Within a (node, part) the rows with outside = true come first and are held; each row is compared with them, by sketch
+    and then by full sets, unless links found in this part have joined their components already.
     """
-    dealt = nodes.repartition("node", "part").sortWithinPartitions("node", "part", F.desc("outside"), "id").select("node", "part", "outside", "id", "component", "sketch", "n_shingles")
+    cols = ["node", "part", "outside", "id", "component", "sketch", "n_shingles", "text"]
+    dealt = nodes.select(*cols).repartition("node", "part").sortWithinPartitions("node", "part", F.desc("outside"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {"key": None}
+        key, held, root = None, [], {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, part, outside, ids, comp = (np.asarray(batch.column(i)) for i in range(5))
-            sk, size = rows_of(batch.column(5)), np.asarray(batch.column(6))
-            cut = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (part[1:] != part[:-1])]))
-            for s, e in zip(cut, np.append(cut[1:], len(ids)), strict=True):
-                key = (node[s], part[s])
-                if held["key"] != key:
-                    held = {"key": key, "id": ids[:0], "comp": comp[:0], "sk": sk[:0], "n": size[:0]}
-                m = s + int(outside[s:e].sum())
-                new = slice(s, m)
-                held = {"key": key, "id": np.append(held["id"], ids[new]), "comp": np.append(held["comp"], comp[new]), "sk": np.concatenate([held["sk"], sk[new]]), "n": np.append(held["n"], size[new])}
-                if not len(held["id"]):
-                    continue
-                for i in range(s, e, 512):
-                    j = slice(i, min(e, i + 512))
-                    apart = (comp[j, None] != held["comp"]) & (4 * np.minimum(size[j, None], held["n"]) >= 3 * np.maximum(size[j, None], held["n"]))
-                    r, c = np.nonzero(apart)
-                    if len(r):
-                        good = likeness(sk[j][r], held["sk"][c]) >= LIKELY
-                        x, y = ids[j][r[good]], held["id"][c[good]]
-                        if len(x):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            a, b = [], []
+            for some, texts in steps(batch, "text"):
+                part = batch.slice(some.start, len(texts))
+                node, place, outside, ids, comp = (np.asarray(part.column(i)) for i in range(5))
+                sk, size = rows_of(part.column(5)), np.asarray(part.column(6))
+                sets: dict[int, np.ndarray] = {}
+
+                def full(i: int, texts: list[bytes] = texts, sets: dict = sets) -> np.ndarray:
+                    if i not in sets:
+                        sets[i] = shingle_sets([texts[i]])[0]
+                    return sets[i]
+
+                cut = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (place[1:] != place[:-1])]))
+                for s, e in zip(cut, np.append(cut[1:], len(ids)), strict=True):
+                    if key != (node[s], place[s]):
+                        key, held, root = (node[s], place[s]), [], {}
+                    for i in range(s, s + int(outside[s:e].sum())):
+                        held.append((ids[i], comp[i], sk[i], size[i], [None, texts[i]]))
+                    if not held:
+                        continue
+                    hid, hcomp, hsk, hn = (np.array([x[k] for x in held]) for k in range(4))
+                    for i in range(s, e, 256):
+                        j = slice(i, min(e, i + 256))
+                        r, c = np.nonzero((comp[j, None] != hcomp) & (4 * np.minimum(size[j, None], hn) >= 3 * np.maximum(size[j, None], hn)))
+                        for k in range(0, len(r), 8192):
+                            est = likeness(sk[j][r[k : k + 8192]], hsk[c[k : k + 8192]])
+                            for x, y in zip(r[k : k + 8192][est >= LIKELY] + i, c[k : k + 8192][est >= LIKELY], strict=True):
+                                one, two = find(int(comp[x])), find(int(hcomp[y]))
+                                if one == two:
+                                    continue
+                                hold = held[y][4]
+                                if hold[0] is None:
+                                    hold[0] = shingle_sets([hold[1]])[0]
+                                if alike(full(int(x)), hold[0]):
+                                    root[max(one, two)] = min(one, two)
+                                    a.append(int(ids[x]))
+                                    b.append(int(hid[y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def mixed_nodes(tree: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id, component) of the nodes, and node, n, main (largest component), out (members of others) where out > 0."""
+    known = tree.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+    known = materialize(known, "near-level")
+    sizes = known.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n").select("node", "n", F.col("most.component").alias("main"), (F.col("n") - F.col("most.n")).alias("out"))
+    return known, materialize(sizes, "near-sizes")
+
+
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (id, component) after the links found (a, b); components are joined, not their members."""
+    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+    all_labels = materialize(labels.unionByName(ids.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))), "near-labels")
+    one = all_labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    two = all_labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    joined = components(found.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("_c"), F.col("component").alias("_to"))
+    out = all_labels.join(joined, F.col("component") == F.col("_c"), "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return materialize(out, "near-components")
+
+
+def starred(tree: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """labels after comparing members with some of their node's members, as long as that finds links.
+
+    Of each node with several components `PIVOTS` members are drawn, others in every round; a member is confirmed against
+    the most alike of those that are in other components. In a group of near copies the first draws join nearly all.
+    """
+    for turn in range(ROUNDS):
+        known, sizes = mixed_nodes(tree, labels)
+        if not sizes.take(1):
+            break
+        members = materialize(known.join(sizes.select("node"), "node"), "near-members")
+        drawn = F.xxhash64("id", F.lit(turn))
+        pivots = members.groupBy("node", F.pmod(drawn, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(drawn.alias("r"), "id", "component")).alias("p"))
+        pivots = materialize(pivots.select("node", F.col("p.id").alias("b"), F.col("p.component").alias("cb")), "near-pivots")
+        pairs = members.join(pivots, "node").where("component <> cb").select(F.col("id").alias("a"), "b").distinct()
+        best = estimated(pairs, reps).groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select("a", "x.b")
+        best = materialize(best, "near-best")
+        found = materialize(confirmed(best, docs, reps), "near-links")
+        n = found.count()
+        if n:
+            labels = merged(labels, found)
+        if 10 * n < best.count():  # draws find little more: the exhaustive comparison does the rest
+            break
+    return labels
+
+
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, component) of representatives with links. docs: id, h, text; reps: SKETCHES, one row a class."""
     tree = reps.select("id", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "id")
-    nodes = materialize(tree.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("b")).where("n > 1"), "near-nodes")
-    tree = materialize(tree.join(nodes, "node").select("node", "id", "b"), "near-tree")
-    pairs = tree.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    best = estimated(pairs, reps).groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
-    found = materialize(confirmed(materialize(best, "near-best"), docs, reps), "near-links")
-    comp = materialize(components(found), "near-components")
-    level, more, rest = tree.select("node", "id"), [], None
-    labels = comp.withColumnRenamed("id", "_id")
+    nodes = materialize(tree.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "near-nodes")
+    tree = materialize(tree.join(nodes, "node"), "near-tree")
+    none = docs.sparkSession.createDataFrame([], "id long, component long")
+    labels = starred(tree, none, docs, reps)
+    level, more, texts = tree, [], None
     for depth in range(DEPTH + 1):
-        known = level.join(labels, level["id"] == labels["_id"], "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-        known = materialize(known, "near-level")
-        sizes = known.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n").select("node", "n", F.col("most.component").alias("main"), (F.col("n") - F.col("most.n")).alias("out"))
-        sizes = materialize(sizes, "near-sizes")
+        known, sizes = mixed_nodes(level, labels)
         if not sizes.take(1):
             break
         mixed = known.join(sizes, "node")
+        if texts is None:
+            texts = texts_of(mixed.select("id"), docs, reps).join(reps.select("id", "sketch", "n_shingles"), "id")
+            texts = materialize(texts, "near-members")
         ready = mixed if depth == DEPTH else mixed.where(F.col("out") <= FEW)
-        ready = ready.join(reps.select("id", "sketch", "n_shingles"), "id").withColumn("outside", F.col("component") != F.col("main"))
+        ready = ready.join(texts, "id").withColumn("outside", F.col("component") != F.col("main"))
         # outside rows go, in blocks of FEW, to each part of the node's stream
         ready = ready.withColumn("parts", F.ceil(F.col("n") / STREAM).cast("int")).withColumn("blocks", F.ceil(F.col("out") / FEW).cast("int"))
         pick = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
         block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
         held = ready.where("outside").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p * F.col("blocks") + block)))
         seen = ready.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: pick * F.col("blocks") + b))).withColumn("outside", F.lit(False))
-        cols = ["node", "part", "outside", "id", "component", "sketch", "n_shingles"]
-        more.append(materialize(across(held.select(*cols).unionByName(seen.select(*cols))).distinct(), "near-across"))
-        if depth == DEPTH:
-            break
+        more.append(materialize(across(held.select(*seen.columns).unionByName(seen)).distinct(), "near-across"))
         rest = mixed.where(F.col("out") > FEW).select("node", "id")
-        if not rest.take(1):
+        if depth == DEPTH or not rest.take(1):
             break
         deeper = rest.join(reps.select("id", "sketch"), "id").select("id", F.explode(F.array(*(F.struct("node", F.pmod(F.xxhash64("node", F.lit(depth), F.lit(j)), F.lit(SKETCH)).alias("c")) for j in (0, 1)))).alias("x"), "sketch")
         level = deeper.select(F.xxhash64("x.node", "x.c", F.expr("substring(sketch, cast(x.c as int) + 1, 1)")).alias("node"), "id").distinct()
     if not more:
-        return comp
+        return labels
     pairs = more[0]
     for x in more[1:]:
         pairs = pairs.unionByName(x)
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    if not pairs.take(1):
-        return comp
-    late = materialize(confirmed(pairs, docs, reps), "near-links")
-    return materialize(components(found.unionByName(late)), "near-components") if late.take(1) else comp
+    late = materialize(pairs.distinct(), "near-links")
+    return merged(labels, late) if late.take(1) else labels
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
