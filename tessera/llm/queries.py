@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dedup, quality_rules, substring_dedup
+from . import decontamination, line_dedup, mixing, near_dedup, perplexity, pii, quality_rules, secrets, substring_dedup, warc
 
 ORACLE: dict[str, str] = {}
 
@@ -29,12 +29,52 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a replica of pages in which every 97th page is altered and every 101st missing."""
+    pages = _table(spark, sf_dir, "pages")
+    replica = pages.where(F.pmod("page_id", F.lit(101)) != 7)
+    replica = replica.withColumn("html", F.when(F.pmod("page_id", F.lit(97)) == 13, F.concat("html", F.lit("<!-- rot -->"))).otherwise(F.col("html")))
+    records = warc.records(pages)
+    found = warc.audit(warc.tree(records), warc.tree(warc.records(replica)))
+    got = found.join(records, ["file", "slot"])
+    return got.select(F.col("id").alias("page_id"), "file", "slot", "kind", "length", "digest")
+
+
+ORACLE["op4_merkle_audit"] = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+    || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+  FROM pages)
+SELECT page_id, page_id // 1000 AS file, page_id % 1000 AS slot, CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'altered' END AS kind,
+  CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest
+FROM r WHERE page_id % 101 = 7 OR page_id % 97 = 13
+"""
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    got = secrets.scan(docs)
+    return got.select("doc_id", F.col("at").cast("long").alias("at"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="a key for tests").drop("text").withColumnRenamed("new_text", "text")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     got = line_dedup.line_dedup(docs)
     return got.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return perplexity.classify(docs, trusted).select("doc_id", "lang", "n_scored", F.round("perplexity", 6).alias("perplexity"), "kept")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -45,4 +85,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_substring_dedup, op7_line_dedup, op8_mix_sources, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_substring_dedup, op4_merkle_audit, op5_secret_scan, op6_pseudonyms, op7_line_dedup, op8_mix_sources, op9_quality_rules, op10_quality_classifier)}
