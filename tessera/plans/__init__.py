@@ -1,6 +1,6 @@
 """Registered queries and the SQL that gives the same rows."""
 
-from . import documents
+from . import analytics, documents
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents"]
+__all__ = ["ORACLE", "QUERIES", "analytics", "documents"]

@@ -39,7 +39,7 @@ VIEWS = {
     "chunks": "SELECT file_id || '#L' || s || '-L' || least(s + 9, n) AS chunk_id, doc_id, file_id, language, CAST(s AS BIGINT) AS start_line, CAST(least(s + 9, n) AS BIGINT) AS end_line, array_to_string(l[s:s + 9], chr(10)) AS content FROM (SELECT *, unnest(list_transform(range(0, CAST(greatest(0, ceil((n - 10) / 8.0)) AS BIGINT) + 1), lambda k: k * 8 + 1)) AS s FROM lined)",
     "symbols": "SELECT file_id || '::' || kind || '::' || name || '::L' || line AS symbol_id, file_id, doc_id, name, kind, line FROM (SELECT *, CASE WHEN line % 2 = 0 THEN 'class' ELSE 'function' END AS kind FROM (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS file_id, CAST(i AS BIGINT) AS line, regexp_extract(string_split(text, chr(10))[i], '(\\p{Lu}\\p{L}+)', 1) AS name FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE name <> '')",
     "edges": "SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, (7 * doc_id + 3) % (SELECT count(*) FROM documents) AS dst FROM documents UNION ALL SELECT doc_id, doc_id // 2 FROM documents WHERE doc_id % 5 = 0) WHERE src <> dst",
-    "both": "SELECT src AS file, dst AS other FROM edges UNION SELECT dst, src FROM edges",
+    "near": "SELECT src AS file, dst AS other FROM edges UNION SELECT dst, src FROM edges",
     "hrefs": "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages",
     "deg": "SELECT file, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT src AS file, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY file",
     "syms": "SELECT file_id, doc_id, count(*) AS n_symbols FROM symbols GROUP BY ALL",
@@ -49,7 +49,7 @@ VIEWS = {
     "usage": "SELECT event_id, ts, event_type AS provider, 'model' || (user_id % 4) AS model, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS tokens, value AS cost FROM events",
     "toks": "SELECT chunk_id, file_id, language, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+') AS t FROM chunks",
 }
-NEEDS = {"chunks": ["lined"], "both": ["edges"], "deg": ["edges"], "syms": ["symbols"], "cx": ["files", "deg", "syms"], "toks": ["chunks"]}
+NEEDS = {"chunks": ["lined"], "near": ["edges"], "deg": ["edges"], "syms": ["symbols"], "cx": ["files", "deg", "syms"], "toks": ["chunks"]}
 
 
 def with_views(sql: str) -> str:
