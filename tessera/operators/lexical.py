@@ -60,8 +60,8 @@ def bm25_phrase(rows: DataFrame, phrase: str, id_col: str, text_col: str, n: int
     """id, score of rows that hold the words next to one another; the phrase counts as one term."""
     words = tokens_of(phrase)
     d = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t") - len(words) + 1, F.lit(1))), lambda i: F.slice(F.col("t"), i, len(words)) == F.array(*map(F.lit, words)))
-    d = d.select("id", F.size("t").alias("dl"), F.size(at).cast("double").alias("tf"))
+    spaced = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))
+    d = d.select("id", F.size("t").alias("dl"), F.regexp_count(spaced, F.lit(f"(?= {' '.join(words)} )")).cast("double").alias("tf"))
     s = d.agg(F.count(F.lit(1)).cast("double").alias("N"), F.avg("dl").alias("avgdl"), F.sum((F.col("tf") > 0).cast("double")).alias("k"))
     idf = F.greatest(F.ln((F.col("N") - F.col("k") + 0.5) / (F.col("k") + 0.5)), F.lit(FLOOR))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
