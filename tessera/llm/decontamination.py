@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, row_hash, small_side
 
-#: What separates words in a text that is not in lower case yet (a Java regular expression), and a word.
+#: What separates words in a text that is not in lower case yet (a Java regular expression).
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,7 +81,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     named = found.select("id", "h", "wid").distinct().join(small_side(of), "wid").select("id", "h", "item").distinct()
     named = named.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     hits = hits.join(named, ["id", "h"], "left").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "n_hit", "items")
-    out = keyed.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
+    out = keyed.withColumn("_ws", split_words(F.col(text_col)))
+    outer = (F.get("_ws", F.lit(0)) == "").cast("long") + F.when(F.size("_ws") > 1, (F.element_at("_ws", -1) == "").cast("long")).otherwise(0)
+    out = out.withColumn("n_words", F.coalesce(F.size("_ws") - outer, F.lit(0).cast("long"))).drop("_ws")
     out = out.join(hits, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_h")), "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     out = out.withColumn("n_items", F.size("items").cast("long")).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
