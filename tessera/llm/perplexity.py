@@ -31,7 +31,7 @@ from .common import materialize, small_side, steps
 ORDER = 5
 BITS = 12
 MASK = (1 << BITS) - 1
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 1_000_000
 PRIOR = 50
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -99,17 +99,18 @@ class Shard:
     def __init__(self, rows: pa.Table, number: int, of: int):
         self.number, self.of = number, of
         lang, k, gram, a, g = (rows.column(c) for c in ("lang", "k", "gram", "a", "g"))
-        k, gram, a, g = (np.asarray(x.combine_chunks()) for x in (k, gram, a, g))
-        names = np.asarray(lang.combine_chunks().fill_null("\0").to_pylist(), object)
+        k, gram, a, g = (x.to_numpy() for x in (k, gram, a, g))
+        named = lang.combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = np.asarray(named.indices)
         self.parts: dict = {}
-        for name in sorted(set(names)):
-            mine = names == name
-            self.parts[None if name == "\0" else name] = [tuple(self.sorted(gram[s], x[s]) for x, s in ((a, mine & (k == o) & ~np.isnan(a)), (g, mine & (k == o) & ~np.isnan(g)))) for o in range(1, ORDER + 1)]
+        for code, name in enumerate(named.dictionary.to_pylist()):
+            mine = codes == code
+            self.parts[name] = [tuple(self.sorted(gram[s], x[s]) for x, s in ((a, mine & (k == o) & ~np.isnan(a)), (g, mine & (k == o) & ~np.isnan(g)))) for o in range(1, ORDER + 1)]
 
     @staticmethod
     def sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
-        return keys[order], values[order]
+        return keys[order], values[order].astype(np.float32)
 
     @staticmethod
     def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, other: float) -> np.ndarray:
@@ -172,14 +173,21 @@ def add_scores(docs: DataFrame, shard, text_col: str, lang_col: str) -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, kn: DataFrame, text_col: str, lang_col: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs with _nll and _n: the sum of negative log-probabilities, and the characters. kn: model()."""
-    spark = docs.sparkSession
-    shards = min(1 << BITS, max(1, math.ceil(kn.count() / shard_rows)))
+def shards_of(kn: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
+    """The shards of a model() as broadcast variables."""
+    n = min(1 << BITS, max(1, math.ceil(kn.count() / shard_rows)))
+    out = []
+    for i in range(n):
+        rows = kn.where(F.col("after").isNull() | (F.col("after") % n == i)).select("lang", F.col("k").cast("byte"), "gram", F.col("a").cast("float"), F.col("g").cast("float"))
+        out.append(kn.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), i, n)))
+    return out
+
+
+def score(docs: DataFrame, shards: list, text_col: str, lang_col: str) -> DataFrame:
+    """docs with _nll and _n: the sum of negative log-probabilities, and the characters."""
     out = docs.withColumn("_nll", F.lit(0.0)).withColumn("_n", F.lit(0).cast("long"))
-    for i in range(shards):
-        rows = kn.where(F.col("after").isNull() | (F.col("after") % shards == i)).select("lang", "k", "gram", "a", "g").toArrow()
-        out = add_scores(out, spark.sparkContext.broadcast(Shard(rows, i, shards)), text_col, lang_col)
+    for shard in shards:
+        out = add_scores(out, shard, text_col, lang_col)
     return out
 
 
@@ -191,15 +199,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     held_out = F.pmod(F.xxhash64("_t"), F.lit(10)) == 0
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     train = narrow.join(small_side(trusted.where(~held_out)), F.col("id") == F.col("_t"), "left_semi").select("lang", "text")
-    kn = model(train)
+    kn = shards_of(model(train), shard_rows)
     probe = narrow.join(small_side(trusted.where(held_out)), F.col("id") == F.col("_t"), "left_semi")
-    probe = materialize(score(probe, kn, "text", "lang", shard_rows).where("_n > 0").select("lang", "_nll", "_n"), "kn-held-out")
+    probe = materialize(score(probe, kn, "text", "lang").where("_n > 0").select("lang", "_nll", "_n"), "kn-held-out")
     mean = probe.groupBy("lang").agg((F.sum("_nll") / F.sum("_n")).alias("mean"))
     shrunk = (F.col("_nll") + PRIOR * F.col("mean")) / (F.col("_n") + PRIOR)
     limits = probe.join(F.broadcast(mean.withColumnRenamed("lang", "_l")), F.col("lang").eqNullSafe(F.col("_l")))  # a row a language
     limits = limits.groupBy("lang").agg(F.first("mean").alias("mean"), (F.exp(F.percentile_approx(shrunk, quantile, 10_000)) * slack).alias("threshold"))
     limits = small_side(materialize(limits, "kn-limits").withColumnRenamed("lang", "_l"))
-    out = score(docs, kn, text_col, lang_col, shard_rows).join(limits, F.col(lang_col).eqNullSafe(F.col("_l")), "left")
+    out = score(docs, kn, text_col, lang_col).join(limits, F.col(lang_col).eqNullSafe(F.col("_l")), "left")
     nll = F.coalesce(shrunk, F.col("_nll") / F.col("_n"))
     out = out.withColumn("n_scored", F.col("_n")).withColumn("perplexity", F.when(F.col("_n") > 0, F.exp(nll)))
     out = out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
