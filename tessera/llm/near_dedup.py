@@ -147,6 +147,45 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def likely(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes (node, part, outside, id, component, sketch, n_shingles) that are likely alike to one of another
+    component in their part, by sketch: node, part, outside, id, component. A row may be named more than once."""
+    cols = ["node", "part", "outside", "id", "component", "sketch", "n_shingles"]
+    dealt = nodes.select(*cols).repartition("node", "part").sortWithinPartitions("node", "part", F.desc("outside"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, told = None, None, set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, place, outside, ids, comp = (np.asarray(batch.column(i)) for i in range(5))
+            sk, size = rows_of(batch.column(5)), np.asarray(batch.column(6))
+            out: list[tuple] = []
+            cut = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (place[1:] != place[:-1])]))
+            for s, e in zip(cut, np.append(cut[1:], len(ids)), strict=True):
+                if key != (node[s], place[s]):
+                    key, held, told = (node[s], place[s]), [x[:0] for x in (ids, comp, sk, size)], set()
+                m = s + int(outside[s:e].sum())
+                held = [np.concatenate([x, y[s:m]]) for x, y in zip(held, (ids, comp, sk, size), strict=True)]
+                if not len(held[0]):
+                    continue
+                for i in range(s, e, 256):
+                    j = slice(i, min(e, i + 256))
+                    r, c = np.nonzero((comp[j, None] != held[1]) & (4 * np.minimum(size[j, None], held[3]) >= 3 * np.maximum(size[j, None], held[3])))
+                    for k in range(0, len(r), 8192):
+                        x, y = r[k : k + 8192], c[k : k + 8192]
+                        near = likeness(sk[j][x], held[2][y]) >= LIKELY
+                        for t in np.unique(x[near]):
+                            out.append((*key, bool(outside[i + t]), int(ids[i + t]), int(comp[i + t])))
+                        for t in set(np.unique(y[near]).tolist()) - told:
+                            told.add(t)
+                            out.append((*key, True, int(held[0][t]), int(held[1][t])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["node", "part", "outside", "id", "component"])
+
+    return dealt.mapInArrow(run, "node long, part long, outside boolean, id long, component long").distinct()
+
+
 def across(nodes: DataFrame) -> DataFrame:
     """nodes (node, part, outside, id, component, sketch, text) -> links (a, b) between different components.
 
@@ -262,24 +301,25 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     tree = materialize(tree.join(nodes, "node"), "near-tree")
     none = docs.sparkSession.createDataFrame([], "id long, component long")
     labels = starred(tree, none, docs, reps)
-    level, more, texts = tree, [], None
+    level, more = tree, []
+    traits = reps.select("id", "sketch", "n_shingles")
     for depth in range(DEPTH + 1):
         known, sizes = mixed_nodes(level, labels)
         if not sizes.take(1):
             break
         mixed = known.join(sizes, "node")
-        if texts is None:
-            texts = texts_of(mixed.select("id"), docs, reps).join(reps.select("id", "sketch", "n_shingles"), "id")
-            texts = materialize(texts, "near-members")
         ready = mixed if depth == DEPTH else mixed.where(F.col("out") <= FEW)
-        ready = ready.join(texts, "id").withColumn("outside", F.col("component") != F.col("main"))
+        ready = ready.join(traits, "id").withColumn("outside", F.col("component") != F.col("main"))
         # outside rows go, in blocks of FEW, to each part of the node's stream
         ready = ready.withColumn("parts", F.ceil(F.col("n") / STREAM).cast("int")).withColumn("blocks", F.ceil(F.col("out") / FEW).cast("int"))
         pick = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
         block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
         held = ready.where("outside").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p * F.col("blocks") + block)))
         seen = ready.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: pick * F.col("blocks") + b))).withColumn("outside", F.lit(False))
-        more.append(materialize(across(held.select(*seen.columns).unionByName(seen)).distinct(), "near-across"))
+        close = materialize(likely(held.select(*seen.columns).unionByName(seen)), "near-likely")
+        if close.take(1):
+            full = close.join(traits, "id").join(texts_of(close.select("id"), docs, reps), "id")
+            more.append(materialize(across(full).distinct(), "near-across"))
         rest = mixed.where(F.col("out") > FEW).select("node", "id")
         if depth == DEPTH or not rest.take(1):
             break
