@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -17,7 +18,7 @@ DEFAULT_SCRATCH = "/tmp/checkpoints/tessera"
 #: Rows that a side may have to be broadcast; above it joins are shuffled.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that one vectorised step looks at (a longer text is its own step).
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,6 +34,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of so many rows while an operator's own jobs run: texts are long, and each task holds a batch or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows (looked up, at most rows + 1 are counted), else df itself."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

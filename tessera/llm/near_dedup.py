@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, materialize, mix, row_hash, rolling, small_side, steps
+from .common import Words, arrow_rows, materialize, mix, row_hash, rolling, small_side, steps
 from .components import components
 
 SHINGLE = 5
@@ -338,6 +338,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with n_shingles, component_id (smallest id reachable by links) and kept (the id is its component's)."""
     added = ["n_shingles", "component_id", "kept"]
     docs = docs.drop(*added)
+    with arrow_rows(docs.sparkSession):
+        rows = classes_of(docs, id_col, text_col)
+    rows = rows.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "n_shingles", "component_id")
+    out = docs.withColumn("_k", row_hash(docs, text_col))
+    out = out.join(rows, (F.col(id_col).cast("long") == F.col("_i")) & (F.col("_k") == F.col("_h")), "left")
+    out = out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long"))).withColumn("component_id", F.coalesce("component_id", F.col(id_col).cast("long")))
+    return out.withColumn("kept", F.coalesce(F.col(id_col).cast("long") == F.col("component_id"), F.lit(True))).select(*docs.columns, *added)
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h, n_shingles, component_id of the rows with shingles and an id."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(docs, text_col).alias("h"), F.col(text_col).alias("text"))
     all_sketches = materialize(sketches(docs, id_col, text_col), "near-sketches")
     linked = all_sketches.where("n_shingles > 0 and id is not null")
@@ -348,7 +359,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # classes -> component; ids that repeat with other texts tie their classes together
     of = classes.join(comp, classes["rep"] == comp["id"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     of = materialize(of, "near-of")
-    flat = linked.select("id", "h", "s1", "s2", "n_shingles").distinct() if id_col else linked
+    flat = linked.select("id", "h", "s1", "s2", "n_shingles").distinct()
     rows = flat.join(of, ["s1", "s2"]).select("id", "h", "n_shingles", "component_id")
     twice = rows.groupBy("id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a <> b")
     twice = materialize(twice, "near-twice")
@@ -356,9 +367,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         tied = rows.join(twice, "id").select(F.col("component_id").alias("a"), F.col("a").alias("b"))
         tied = materialize(components(tied), "near-tied").select(F.col("id").alias("_c"), "component")
         rows = rows.join(tied, rows["component_id"] == tied["_c"], "left").select("id", "h", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
-    rows = materialize(rows, "near-rows")
-    rows = rows.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "n_shingles", "component_id")
-    out = docs.withColumn("_k", row_hash(docs, text_col))
-    out = out.join(rows, (F.col(id_col).cast("long") == F.col("_i")) & (F.col("_k") == F.col("_h")), "left")
-    out = out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long"))).withColumn("component_id", F.coalesce("component_id", F.col(id_col).cast("long")))
-    return out.withColumn("kept", F.coalesce(F.col(id_col).cast("long") == F.col("component_id"), F.lit(True))).select(*docs.columns, *added)
+    return materialize(rows, "near-rows")
