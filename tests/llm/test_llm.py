@@ -1,0 +1,267 @@
+"""The training-data operators against brute force, on a table with nulls, ties, copies, long and empty texts."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import components, decontamination, line_dedup, mixing, near_dedup, perplexity, pii, quality_rules, secrets, substring_dedup, warc
+
+WS = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string"
+
+
+def table():
+    r = random.Random(3)
+    words = ["w%d" % i for i in range(300)] + ["Über", "ñandú", "A"]
+    text = lambda n: " ".join(r.choice(words) + ("\n" if r.random() < 0.1 else "") for _ in range(n))
+    base, passage = text(200), text(40)
+    rows = [base, base, base.replace("w1", "q", 3), None, "", " \n ", "one two", passage, text(60) + " " + passage + " " + text(30), passage + " " + passage, text(6000)]
+    rows += [text(r.randint(1, 120)) for _ in range(20)] + [" ".join(base.split(" ")[:150]) + " " + text(k) for k in (5, 20, 40, 80)] + [base.upper()]
+    out = [(i, t, "en", "s%d" % (i % 3) if i % 7 else None, len(t or ""), "clash", "clash") for i, t in enumerate(rows)]
+    return out + [out[2], out[8]]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return table()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def result(df, *cols):
+    return sorted({tuple(r) for r in df.select(*cols).collect()}, key=repr)
+
+
+def unique(rows):
+    return list({r[0]: r[1] for r in rows}.items())
+
+
+def test_substring_dedup(docs, rows):
+    seen, want = set(), []
+    for i, t in unique(rows):
+        w = WS.findall(t or "")
+        cov = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                cov[k : k + 20] = [True] * 20
+            seen.add(key)
+        left = [x for x, c in zip(w, cov) if not c]
+        want.append((i, len(w), sum(cov), hashlib.sha256(" ".join(left).encode()).hexdigest()))
+    got = substring_dedup.remove_repeats(docs)
+    assert result(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    assert got.count() == len(rows)
+
+
+def test_near_dedup(docs, rows):
+    sets = {}
+    for i, t in unique(rows):
+        w = WS.findall((t or "").translate(LOW))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                both = len(sets[i] & sets[j])
+                if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert result(near_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(((i, len(s), comp[i], comp[i] == i) for i, s in sets.items()), key=repr)
+
+
+def test_near_dedup_large_group(spark):
+    r = random.Random(5)
+    base = ["v%d" % r.randrange(5000) for _ in range(150)]
+    def near(k):
+        w = base[:]
+        for _ in range(k % 9):
+            w[r.randrange(len(w))] = "x%d" % r.randrange(10**6)
+        return " ".join(w)
+    data = [(i, near(i)) for i in range(400)]
+    got = {x.doc_id: x.component_id for x in near_dedup.near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in data]
+    comp = list(range(400))
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+    for i in range(400):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                comp[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(400)}
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_quality_counts(docs, rows):
+    want = []
+    for i, t in unique(rows):
+        t = t or ""
+        w = WS.findall(t)
+        c = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        cov = [False] * len(w)
+        for k in range(len(w) - 7):
+            if c[tuple(w[k : k + 8])] > 1:
+                cov[k : k + 8] = [True] * 8
+        lines = [x for x in t.split("\n") if WS.search(x)]
+        n, rep = len(w), sum(cov)
+        want.append((i, n, sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), rep, n < 20 or 100 * rep > 30 * n))
+    got = quality_rules.quality_rules(docs)
+    assert result(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=repr)
+    assert not got.where("base_failed and kept").count()
+
+
+def test_host_verdict(spark):
+    good, bad = " ".join("w%d" % i for i in range(40)), " ".join("### w%d" % i for i in range(40))
+    data = [(i, bad if i % 2 else good, "bad" if i < 40 else "good") for i in range(40)] + [(100 + i, bad if i == 0 else good, "good") for i in range(40)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert not got[1] and got[0] and got[100] and got[101]
+
+
+def test_decontamination(spark, docs, rows):
+    items = [(1, rows[7][1]), (2, "ONE two"), (3, None), (4, "not there at all"), (1, rows[7][1]), (None, "one")]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    win = collections.defaultdict(set)
+    for i, t in items:
+        w = word.findall((t or "").translate(LOW))
+        for k in range(max(1, len(w) - 12)) if w else ():
+            win[tuple(w[k : k + 13])] |= {str(i)} if i is not None else set()
+    want = []
+    for i, t in unique(rows):
+        w = word.findall((t or "").translate(LOW))
+        cov, its = [False] * len(w), set()
+        for key, who in win.items():
+            for k in range(len(w) - len(key) + 1):
+                if tuple(w[k : k + len(key)]) == key:
+                    its |= who
+                    cov[k : k + len(key)] = [True] * len(key)
+        n = sum(cov)
+        want.append((i, len(w), n, len(its), hashlib.sha256(",".join(sorted(its)).encode()).hexdigest(), n > 0 and 20 * n >= len(w)))
+    got = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert result(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=repr)
+
+
+def test_patience_and_blocks():
+    assert line_dedup.patience([1, 2, 3, 9, 4], [1, 7, 2, 3, 4]) == [(0, 0), (1, 2), (2, 3), (4, 4)]
+    assert line_dedup.blocks([1, 2, 3], [6, 6, 6], [9, 1, 2]) == [0, 1]
+    assert line_dedup.blocks([1, 2], [4, 4], [1, 5, 2]) == []
+
+
+def test_line_dedup(spark):
+    a = "alpha beta gamma delta eps zeta eta theta iota kappa\nsecond line of many words that are here too"
+    data = [(1, a), (2, "own words only in this one\n" + a + "\nlast"), (3, "nothing shared by this text at all"), (4, None), (5, a), (5, a)]
+    got = {r.doc_id: (r.n_lines, r.removed_lines, r.kept_text) for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string"), common=0.9).collect()}
+    assert got[1] == (2, [], a) and got[2] == (4, [1, 2], "own words only in this one\nlast") and got[3][1] == [] and got[4] == (0, [], None) and got[5][1] == [0, 1]
+
+
+def test_mixing(spark, docs, rows):
+    got = mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken").distinct().collect()
+    total = sum(len(WS.findall(r[1] or "")) for r in rows)
+    targets = {r.source: (r.source_size, r.target) for r in got}
+    assert abs(sum(t for _, t in targets.values()) - 1.5 * total) < 1e-6 * total
+    assert all(t <= 2 * s + 1e-9 for s, t in targets.values()) and all(r.taken in (0, r.size, 2 * r.size) for r in got)
+    order = sorted(targets, key=lambda s: (s is None, s or ""))
+    free = [(s, targets[s][1] / (3, 1, 2)[i % 3]) for i, s in enumerate(order) if targets[s][1] < 2 * targets[s][0] - 1e-6]
+    assert len({round(x, 6) for _, x in free}) <= 1
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_sources(docs.repartition(5)).select("doc_id", "source", "size", "source_size", "target", "taken").distinct().collect()))
+
+
+def test_audit(spark):
+    a = spark.createDataFrame([(i, "u%d" % i, "x" * i) for i in range(0, 2500, 3)] + [(None, "u", "x"), (3, None, None)], "page_id long, url string, html string")
+    b = a.where("page_id <> 300").withColumn("html", F.when(F.col("page_id") == 1500, "rot").otherwise(F.col("html"))).unionByName(spark.createDataFrame([(7, "u", "new")], a.schema))
+    got = {(r.file * 1000 + r.slot, r.kind) for r in warc.audit(warc.tree(warc.records(a)), warc.tree(warc.records(b))).collect()}
+    assert got == {(300, "missing"), (1500, "altered"), (7, "extra")}
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_pseudonyms(spark):
+    t = "card 4111 1111 1111 1111, again 4111111111111111 not 4111111111111112; ip 10.2.3.4 not 999.1.1.1; on 2023-02-28 not 2023-02-30, 28.02.2023; Jo.99@mail.example.com; +1 (017) 555-7713"
+    d = spark.createDataFrame([(1, t), (2, t), (3, None), (4, "nothing 12")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(d, "k").collect()}
+    x = got[1].new_text
+    assert x == got[2].new_text and got[3].new_text is None and got[4].new_text == "nothing 12"
+    assert "4111111111111111" not in x and "4111 1111" not in x and "4111111111111112" in x and "999.1.1.1" in x and "2023-02-30" in x and "Jo.99" not in x and "555-7713" not in x
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|(?<!\d)\d{16}", x)
+    assert luhn(cards[0].replace(" ", "")) and cards[0].replace(" ", "") == cards[1]
+    assert (got[1].n_card, got[1].n_ip, got[1].n_date, got[1].n_email, got[1].n_phone) == (2, 1, 2, 1, 1)
+
+
+def test_pseudonyms_are_a_bijection(spark):
+    d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("day"))
+    got = d.select(pii.permuted_digits(F.col("d"), "k", "x").alias("p"), pii.date(F.col("day"), "k").alias("q")).collect()
+    assert {r.p for r in got} == {f"{i:03d}" for i in range(1000)} and len({r.q for r in got}) == 1000
+
+
+def test_secret_scan(spark):
+    t = 'the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and sha256: 24be64439e3e49cf46b2d7c90f3602a3d0b907ff number 4785380592391139'
+    d = spark.createDataFrame([(1, t, "src1"), (2, None, None), (3, "", "x")], "doc_id long, text string, source string")
+    assert [(r["at"], r.is_secret) for r in secrets.scan(d).orderBy("at").collect()] == [(0, True), (1, False), (2, False)]
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    rows = secrets.labelled_findings(spark, 3000)
+    odd = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
+    trees = secrets.forest(rows.where(~odd))
+    f = secrets.features(*(F.col(c) for c in ("candidate", "before", "after", "path")))
+    right = rows.where(odd).select(((secrets.probability(trees, f) >= 0.5).cast("double") == F.col("label")).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert right > 0.97
+
+
+def test_perplexity_matches_a_plain_model(spark):
+    train = ["abab abba", "abba baab ab", "bab"]
+    kn = perplexity.model(spark.createDataFrame([("en", t) for t in train], "lang string, text string"))
+    one, many = perplexity.shards_of(kn), perplexity.shards_of(kn, 20)
+    assert len(one) == 1 and len(many) > 1
+    d = spark.createDataFrame([(1, "en", "abba"), (2, "en", "zzz"), (3, "de", "abba"), (4, "en", None)], "doc_id long, lang string, text string")
+    a, b = ({r.doc_id: (round(r._nll, 4), r._n) for r in perplexity.score(d, s, "text", "lang").collect()} for s in (one, many))
+    assert a == b and a[1][0] < a[2][0] * 4 / 3 and a[4] == (0.0, 0)
+    import numpy as np
+    grams = perplexity.packed([b"abba"])[0]
+    p = np.exp(one[0].value.scores("en", (grams[2] & ~np.int64(4095)) | np.arange(4096)))
+    assert abs(p.sum() - 1) < 1e-3  # probabilities after a context sum to one
+
+
+def test_classifier_on_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = perplexity.classify(d, labels.where("quality = 1").select("doc_id")).join(labels, "doc_id").select((F.col("kept") == (F.col("quality") == 1)).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert got > 0.9
+
+
+def test_empty_tables(spark, docs):
+    none, items = docs.limit(0), spark.createDataFrame([], "item_id long, text string")
+    outs = [substring_dedup.remove_repeats(none), near_dedup.near_dedup(none), quality_rules.quality_rules(none), decontamination.decontaminate(none, items), line_dedup.line_dedup(none), mixing.mix_sources(none), pii.pseudonymise(none, "k"), secrets.scan(none), perplexity.classify(none, none.select("doc_id"))]
+    assert [x.count() for x in outs] == [0] * len(outs)
+    assert decontamination.decontaminate(docs, items).where("contaminated").count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialize(stage(spark, docs, sf), name)
+        assert 0 < out.count() <= n and out.columns[: len(docs.columns)] == docs.columns
+        if name != "mix":
+            assert out.columns == docs.columns
+        docs, n = out, out.count()
+    assert "kept" not in docs.columns and "taken" in docs.columns
