@@ -11,7 +11,6 @@ from .documents import chunks, files, symbols
 from .registry import query
 
 LONG = "long"
-N = F.count(F.lit(1))
 
 
 def edges(t) -> DataFrame:
@@ -114,7 +113,7 @@ def dot_edges(t):
 
 @query("dep_stats", "WITH d AS (SELECT src, count(*) AS n FROM {edges} GROUP BY src) SELECT CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS mean FROM d")
 def dep_stats(t):
-    d = edges(t).groupBy("src").agg(N.alias("n"))
+    d = edges(t).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     return d.agg(F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"))
 
 
@@ -179,7 +178,7 @@ def module_top3(t):
 
 @query("module_breakdown", "SELECT source, count(*) AS n, count(DISTINCT language) AS n_languages, CAST(sum(complexity) AS BIGINT) AS total, round(avg(complexity), 6) AS mean FROM {cx} GROUP BY source")
 def module_breakdown(t):
-    return complexity(t).groupBy("source").agg(N.alias("n"), F.count_distinct("language").alias("n_languages"), F.sum("complexity").alias("total"), F.round(F.avg("complexity"), 6).alias("mean"))
+    return complexity(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("language").alias("n_languages"), F.sum("complexity").alias("total"), F.round(F.avg("complexity"), 6).alias("mean"))
 
 
 SCORE = "WITH a AS (SELECT avg(CASE WHEN complexity > 10 THEN 1.0 ELSE 0.0 END) AS hr, avg(n_out) AS d FROM {cx})"
@@ -187,7 +186,7 @@ SCORE = "WITH a AS (SELECT avg(CASE WHEN complexity > 10 THEN 1.0 ELSE 0.0 END)
 
 @query("quality_score", SCORE + " SELECT round(greatest(0.0, 100 - 30 * hr - 30 - CASE WHEN d > 5 THEN least(5 * (d - 5), 20.0) ELSE 0 END), 6) AS score FROM a")
 def quality_score(t):
-    n = graph.cycles(edges(t)).agg(N.alias("n_cycles"))
+    n = graph.cycles(edges(t)).agg(F.count(F.lit(1)).alias("n_cycles"))
     a = complexity(t).agg(F.avg((F.col("complexity") > 10).cast("double")).alias("hr"), F.avg("n_out").alias("d")).join(F.broadcast(n))  # one row
     return a.select(F.round(metrics.quality_score(F.col("hr"), F.col("n_cycles"), F.col("d")), 6).alias("score"))
 
@@ -201,60 +200,60 @@ def recommendations(t):
 
 @query("repo_overview", "SELECT count(*) AS n_files, count(DISTINCT source) AS n_modules, round(avg(complexity), 6) AS mean_complexity, CAST(sum(n_out) AS BIGINT) AS n_deps FROM {cx}")
 def repo_overview(t):
-    return complexity(t).agg(N.alias("n_files"), F.count_distinct("source").alias("n_modules"), F.round(F.avg("complexity"), 6).alias("mean_complexity"), F.sum("n_out").alias("n_deps"))
+    return complexity(t).agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("source").alias("n_modules"), F.round(F.avg("complexity"), 6).alias("mean_complexity"), F.sum("n_out").alias("n_deps"))
 
 
 @query("lang_counts", "SELECT language, count(*) AS n FROM {files} GROUP BY language")
 def lang_counts(t):
-    return files(t).groupBy("language").agg(N.alias("n"))
+    return files(t).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("significant_langs", "SELECT language, count(*) AS n FROM {files} GROUP BY language HAVING count(*) >= greatest(3, 0.05 * (SELECT count(*) FROM documents))")
 def significant_langs(t):
-    g = files(t).groupBy("language").agg(N.alias("n"))
+    g = files(t).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("total", F.sum("n").over(Window.partitionBy())).where(F.col("n") >= F.greatest(F.lit(3.0), 0.05 * F.col("total"))).select("language", "n")  # a row a language
 
 
 @query("primary_lang", "SELECT language, n FROM (SELECT language, count(*) AS n FROM {files} GROUP BY language) ORDER BY n DESC, language LIMIT 1")
 def primary_lang(t):
-    return files(t).groupBy("language").agg(N.alias("n")).orderBy(F.desc("n"), "language").limit(1)
+    return files(t).groupBy("language").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "language").limit(1)
 
 
 @query("top_dirs", "SELECT regexp_replace(file_id, '/[^/]*$', '') AS dir, count(*) AS n FROM {files} GROUP BY 1 ORDER BY n DESC, dir LIMIT 10")
 def top_dirs(t):
-    return files(t).groupBy(paths.directory(F.col("file_id")).alias("dir")).agg(N.alias("n")).orderBy(F.desc("n"), "dir").limit(10)
+    return files(t).groupBy(paths.directory(F.col("file_id")).alias("dir")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dir").limit(10)
 
 
 @query("top_exts", "SELECT 'txt' AS ext, count(*) AS n FROM {files}")
 def top_exts(t):
-    return files(t).groupBy(paths.suffix(F.col("file_id")).alias("ext")).agg(N.alias("n")).orderBy(F.desc("n"), "ext").limit(5)
+    return files(t).groupBy(paths.suffix(F.col("file_id")).alias("ext")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ext").limit(5)
 
 
 @query("dir_counts", "SELECT dir, n FROM (SELECT regexp_replace(file_id, '/[^/]*$', '') AS dir, count(*) AS n FROM {files} GROUP BY 1) WHERE n > 1 ORDER BY dir LIMIT 10")
 def dir_counts(t):
-    return files(t).groupBy(paths.directory(F.col("file_id")).alias("dir")).agg(N.alias("n")).where("n > 1").orderBy("dir").limit(10)
+    return files(t).groupBy(paths.directory(F.col("file_id")).alias("dir")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("dir").limit(10)
 
 
 @query("scan_alerts", "SELECT 'large directory' AS alert, source AS what FROM {files} GROUP BY source HAVING count(*) > 40 UNION ALL SELECT 'many files', CAST(count(*) AS VARCHAR) FROM {files} HAVING count(*) > 500")
 def scan_alerts(t):
     f = files(t)
-    big = f.groupBy("source").agg(N.alias("n")).where("n > 40").select(F.lit("large directory").alias("alert"), F.col("source").alias("what"))
-    return big.unionByName(f.agg(N.alias("n")).where("n > 500").select(F.lit("many files").alias("alert"), F.col("n").cast("string").alias("what")))
+    big = f.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n > 40").select(F.lit("large directory").alias("alert"), F.col("source").alias("what"))
+    return big.unionByName(f.agg(F.count(F.lit(1)).alias("n")).where("n > 500").select(F.lit("many files").alias("alert"), F.col("n").cast("string").alias("what")))
 
 
 @query("cost_estimate", "SELECT count(*) AS n_files, round(count(*) * 800 * 0.0001 / 1000, 6) AS cost FROM {files}")
 def cost_estimate(t):
-    return files(t).agg(N.alias("n_files"), F.round(N * 800 * 0.0001 / 1000, 6).alias("cost"))
+    return files(t).agg(F.count(F.lit(1)).alias("n_files"), F.round(F.count(F.lit(1)) * 800 * 0.0001 / 1000, 6).alias("cost"))
 
 
 @query("overview_text", "SELECT 'Files: ' || count(*) || '; languages: ' || string_agg(DISTINCT language, ', ' ORDER BY language) AS text FROM {files}")
 def overview_text(t):
-    return files(t).agg(F.concat(F.lit("Files: "), N.cast("string"), F.lit("; languages: "), F.array_join(F.sort_array(F.collect_set("language")), ", ")).alias("text"))
+    return files(t).agg(F.concat(F.lit("Files: "), F.count(F.lit(1)).cast("string"), F.lit("; languages: "), F.array_join(F.sort_array(F.collect_set("language")), ", ")).alias("text"))
 
 
 @query("analyze_groups", "SELECT source, count(*) AS n, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM {files} GROUP BY source")
 def analyze_groups(t):
-    return files(t).groupBy("source").agg(N.alias("n"), F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"))
+    return files(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("language")), ",").alias("languages"))
 
 
 @query("module_context", "WITH s AS (SELECT DISTINCT split_part(file_id, '/', 1) AS source, name FROM {symbols} WHERE kind = 'class'), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY name) AS r FROM s) SELECT source, string_agg(name, ',' ORDER BY name) AS classes FROM r WHERE r <= 10 GROUP BY source")
@@ -500,8 +499,8 @@ def ordered_distinct(t):
 @query("stale_cleanup", "SELECT count(*) FILTER (doc_id % 10 <> 1) AS kept, count(*) FILTER (doc_id % 10 = 1) AS removed FROM documents")
 def stale_cleanup(t):
     d, valid = t.documents.select("doc_id"), new(t).select("doc_id")
-    k = d.join(valid, "doc_id", "left_semi").agg(N.alias("kept"))
-    return k.join(F.broadcast(d.join(valid, "doc_id", "left_anti").agg(N.alias("removed"))))  # one row each
+    k = d.join(valid, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("kept"))
+    return k.join(F.broadcast(d.join(valid, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("removed"))))  # one row each
 
 
 @query("incremental_impact", "WITH f AS (" + DIFF + ") SELECT doc_id FROM f WHERE status <> 'deleted' UNION SELECT other FROM {near} JOIN f ON file = doc_id EXCEPT SELECT doc_id FROM f WHERE status = 'deleted'")
@@ -525,7 +524,7 @@ def impacted_pages(t):
 
 @query("shared_sources", "SELECT source, count(*) AS n_docs, min(doc_id) AS first FROM documents GROUP BY source HAVING count(*) > 1")
 def shared_sources(t):
-    return t.documents.groupBy("source").agg(N.alias("n_docs"), F.min("doc_id").alias("first")).where("n_docs > 1")
+    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first")).where("n_docs > 1")
 
 
 @query("page_sources", "SELECT file, string_agg(other, ',' ORDER BY other) AS sources FROM {near} GROUP BY file")
@@ -542,13 +541,13 @@ def dep_hash(t):
 @query("dep_tracker_stats", "SELECT count(DISTINCT src) AS n_docs, count(DISTINCT dst) AS n_sources, round(count(*) / count(DISTINCT src)::DOUBLE, 6) AS mean FROM {edges}")
 def dep_tracker_stats(t):
     e = edges(t)
-    return e.agg(F.count_distinct("src").alias("n_docs"), F.count_distinct("dst").alias("n_sources"), F.round(N / F.count_distinct("src"), 6).alias("mean"))
+    return e.agg(F.count_distinct("src").alias("n_docs"), F.count_distinct("dst").alias("n_sources"), F.round(F.count(F.lit(1)) / F.count_distinct("src"), 6).alias("mean"))
 
 
 @query("override_stats", "SELECT coalesce(kind, 'all') AS kind, n FROM (SELECT CASE WHEN toxic = 1 THEN 'skip' WHEN quality = 0 THEN 'template' ELSE 'none' END AS kind, count(*) AS n FROM labels GROUP BY ROLLUP (1))")
 def override_stats(t):
     kind = F.when(F.col("toxic") == 1, "skip").when(F.col("quality") == 0, "template").otherwise("none")
-    return t.labels.select(kind.alias("kind")).rollup("kind").agg(N.alias("n")).select(F.coalesce("kind", F.lit("all")).alias("kind"), "n")
+    return t.labels.select(kind.alias("kind")).rollup("kind").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("kind", F.lit("all")).alias("kind"), "n")
 
 
 @query("overrides_list", "SELECT doc_id FROM labels WHERE toxic = 1 ORDER BY doc_id DESC")
@@ -570,7 +569,7 @@ def skip_anti(t):
 @query("status_report", "WITH f AS (" + DIFF + ") SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM f WHERE status = 'new') AS n_new, (SELECT count(*) FROM f WHERE status = 'changed') AS n_changed, (SELECT count(*) FROM f WHERE status = 'deleted') AS n_deleted")
 def status_report(t):
     d = diff(t).agg(*(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("new", "changed", "deleted")))
-    return t.documents.agg(N.alias("n_docs")).join(F.broadcast(d))  # one row each
+    return t.documents.agg(F.count(F.lit(1)).alias("n_docs")).join(F.broadcast(d))  # one row each
 
 
 @query("file_relationships", "SELECT file AS doc_id, n_out, n_in, n_out + n_in AS centrality FROM {deg} WHERE file IN (1, 2, 3)")
@@ -590,19 +589,19 @@ def usage_by_provider(t):
 def usage_window(t):
     c = calls(t)
     c = c.join(F.broadcast(c.agg(F.max("ts").alias("last")))).where(F.col("ts") >= F.col("last") - F.expr("interval 7 days"))  # one row
-    g = c.groupingSets([[], ["provider"], ["model"]], "provider", "model").agg(N.alias("n"), F.sum("tokens").alias("tokens"), F.grouping_id("provider", "model").alias("g"))
+    g = c.groupingSets([[], ["provider"], ["model"]], "provider", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.grouping_id("provider", "model").alias("g"))
     kind = F.when(F.col("g") == 1, "provider").when(F.col("g") == 2, "model").otherwise("all")
     return g.select(kind.alias("kind"), F.coalesce("provider", "model", F.lit("")).alias("key"), "n", "tokens")
 
 
 @query("usage_totals", "SELECT count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost FROM {usage}")
 def usage_totals(t):
-    return calls(t).agg(N.alias("requests"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"))
+    return calls(t).agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
 @query("embed_usage", "SELECT CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens) / greatest(1, count(*))::DOUBLE, 6) AS per_request FROM {usage}")
 def embed_usage(t):
-    return calls(t).agg(F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / F.greatest(F.lit(1), N), 6).alias("per_request"))
+    return calls(t).agg(F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / F.greatest(F.lit(1), F.count(F.lit(1))), 6).alias("per_request"))
 
 
 COST = "round(tokens * CASE WHEN model = 'model1' THEN 0.03::DOUBLE ELSE 0.01::DOUBLE END / 1000, 6)"
