@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 import numpy as np
@@ -34,16 +33,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of so many rows while an operator's own jobs run: texts are long, and each task holds a batch or two."""
+def limit_arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on in this session: texts are long, and each task holds some batches,
+    in the JVM beside its heap and in Python. The setting must still hold when a returned DataFrame runs, so it stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

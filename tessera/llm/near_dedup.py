@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, arrow_rows, materialize, mix, row_hash, rolling, small_side, steps
+from .common import Words, limit_arrow_rows, materialize, mix, row_hash, rolling, small_side, steps
 from .components import components
 
 SHINGLE = 5
@@ -338,9 +338,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with n_shingles, component_id (smallest id reachable by links) and kept (the id is its component's)."""
     added = ["n_shingles", "component_id", "kept"]
     docs = docs.drop(*added)
-    with arrow_rows(docs.sparkSession):
-        rows = classes_of(docs, id_col, text_col)
-    rows = rows.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "n_shingles", "component_id")
+    limit_arrow_rows(docs.sparkSession)
+    rows = classes_of(docs, id_col, text_col).select(F.col("id").alias("_i"), F.col("h").alias("_h"), "n_shingles", "component_id")
     out = docs.withColumn("_k", row_hash(docs, text_col))
     out = out.join(rows, (F.col(id_col).cast("long") == F.col("_i")) & (F.col("_k") == F.col("_h")), "left")
     out = out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long"))).withColumn("component_id", F.coalesce("component_id", F.col(id_col).cast("long")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_side, steps
+from .common import limit_arrow_rows, materialize, small_side, steps
 
 ORDER = 5
 BITS = 12
@@ -195,6 +195,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     """docs with n_scored (characters), perplexity, threshold and kept. trusted_ids: a column named as id_col."""
     added = ["n_scored", "perplexity", "threshold", "kept"]
     docs = docs.drop(*added)
+    limit_arrow_rows(docs.sparkSession)
     trusted = materialize(trusted_ids.select(F.col(id_col).alias("_t")).where("_t is not null").distinct(), "kn-trusted")
     held_out = F.pmod(F.xxhash64("_t"), F.lit(10)) == 0
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _WS, Words, materialize, mix, rolling, segments_hash, small_side, steps
+from .common import _WS, Words, limit_arrow_rows, materialize, mix, rolling, segments_hash, small_side, steps
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 SYMBOLS = b"#*$%&|<>"
@@ -81,6 +81,7 @@ def count_texts(texts: list[bytes]) -> dict[str, np.ndarray]:
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with COUNTS (long) as further columns, computed over Arrow batches without a shuffle."""
     docs = docs.drop(*COUNTS)
+    limit_arrow_rows(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

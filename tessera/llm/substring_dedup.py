@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, materialize, mix, rolling, row_hash, steps
+from .common import Words, limit_arrow_rows, materialize, mix, rolling, row_hash, steps
 
 LAST_ID = (1 << 63) - 1
 BYTES = 5  # of a window's hash, beside its anchor's 8
@@ -176,6 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with n_words, n_removed, kept_text (words joined by a space) and kept_sha256."""
     added = ["n_words", "n_removed", "kept_text", "kept_sha256"]
     docs = docs.drop(*added)
+    limit_arrow_rows(docs.sparkSession)
     found = repeats(docs, id_col, text_col, span, anchor).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("runs.start").alias("_starts"), F.col("runs.n").alias("_ns"))
     keyed = docs.withColumn("_i", F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long")).withColumn("_k", row_hash(docs, text_col))
     joined = keyed.join(found, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_h")), "left").select(*docs.columns, "_starts", "_ns")
