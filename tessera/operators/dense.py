@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,6 @@ EMBEDDERS["hash"] = hash_embedding
 
 def embed(df: DataFrame, text_col: str, name: str = "hash", out: str = "embedding") -> DataFrame:
     """df with the vectors of a registered embedder, over Arrow batches; an unknown name raises ValueError."""
-    import pandas as pd
-
     if name not in EMBEDDERS:
         raise ValueError(f"no embedder {name!r}; there are {sorted(EMBEDDERS)}")
     f = EMBEDDERS[name]
