@@ -18,6 +18,8 @@ DEFAULT_SCRATCH = "/tmp/checkpoints/tessera"
 BROADCAST_ROWS = 500_000
 #: Bytes of text that one vectorised step looks at (a longer text is its own step).
 STEP_BYTES = 1_000_000
+#: Spark's setting that removes the shuffle files of an execution at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,10 +28,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write df as Parquet into the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    The shuffle files of the write go when it has ended, since nothing reads them again; other executions keep theirs.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
