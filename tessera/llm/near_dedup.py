@@ -34,7 +34,7 @@ TREES = 8
 SKETCH = 256
 #: Estimated similarity from which pairs are confirmed: four standard deviations of the sketch below 0.75.
 LIKELY = 0.64
-#: Members drawn from a node in each round, and rounds at most.
+#: Members drawn from a node in its round, and rounds, which share the trees.
 PIVOTS = 4
 ROUNDS = 4
 #: Members outside a node's largest component that one task holds, and members that one task streams past them.
@@ -271,13 +271,14 @@ def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
 def starred(tree: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """labels after comparing members with some of their node's members, as long as that finds links.
 
-    Of each node with several components `PIVOTS` members are drawn, others in every round; a member is confirmed against
-    the most alike of those that are in other components. In a group of near copies the first draws join nearly all.
+    Each round takes other trees. Of each of their nodes with several components `PIVOTS` members are drawn; a member is
+    confirmed against the most alike of those that are in other components. In a group of near copies the first draws join
+    nearly all, so that the nodes of later rounds are left with few components.
     """
     for turn in range(ROUNDS):
-        known, sizes = mixed_nodes(tree, labels)
+        known, sizes = mixed_nodes(tree.where(F.pmod("tree", F.lit(ROUNDS)) == turn), labels)
         if not sizes.take(1):
-            break
+            continue
         members = materialize(known.join(sizes.select("node"), "node"), "near-members")
         drawn = F.xxhash64("id", F.lit(turn))
         pivots = members.groupBy("node", F.pmod(drawn, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(drawn.alias("r"), "id", "component")).alias("p"))
@@ -296,7 +297,7 @@ def starred(tree: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(id, component) of representatives with links. docs: id, h, text; reps: SKETCHES, one row a class."""
-    tree = reps.select("id", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "id")
+    tree = reps.select("id", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "id", "tree")
     nodes = materialize(tree.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "near-nodes")
     tree = materialize(tree.join(nodes, "node"), "near-tree")
     none = docs.sparkSession.createDataFrame([], "id long, component long")
