@@ -272,13 +272,16 @@ def starred(tree: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame
     """labels after comparing members with some of their node's members, as long as that finds links.
 
     Of each node with several components `PIVOTS` members are drawn, others in every round; a member is confirmed against
-    the most alike of those that are in other components. In a group of near copies the first draws join nearly all.
+    the most alike of those that are in other components. In a group of near copies the first draws join nearly all. Later
+    rounds are among the members that had a likely match in the one before; the exhaustive comparison has all others too.
     """
+    active = None
     for turn in range(ROUNDS):
         known, sizes = mixed_nodes(tree, labels)
         if not sizes.take(1):
             break
-        members = materialize(known.join(sizes.select("node"), "node"), "near-members")
+        members = known.join(sizes.select("node"), "node")
+        members = materialize(members if active is None else members.join(active, "id", "left_semi"), "near-members")
         drawn = F.xxhash64("id", F.lit(turn))
         pivots = members.groupBy("node", F.pmod(drawn, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(drawn.alias("r"), "id", "component")).alias("p"))
         pivots = materialize(pivots.select("node", F.col("p.id").alias("b"), F.col("p.component").alias("cb")), "near-pivots")
@@ -289,8 +292,9 @@ def starred(tree: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame
         n = found.count()
         if n:
             labels = merged(labels, found)
-        if 10 * n < best.count():  # draws find little more: the exhaustive comparison does the rest
+        if 4 * n < best.count():  # draws find little more: the exhaustive comparison does the rest
             break
+        active = best.select(F.col("a").alias("id")).unionByName(best.select(F.col("b").alias("id"))).distinct()
     return labels
 
 
