@@ -1,13 +1,14 @@
 """Secret scan with a random forest over candidates, in DataFrame functions only.
 
-A candidate is a run of 16 or more of the characters that keys are written in, with a digit in it. Its features are its
-length, how often its characters change class, how many of its three-letter pieces belong to words of the dictionary, the
-path, and the words before and after it. A random forest, trained from labelled findings, says whether it is a secret; it
+A candidate is a run of 16 or more of the characters that keys are written in, with its padding; a '=' before it or between
+a name and it is neither. Its features are its length, how often its characters change class, its shares of digits and
+vowels, how many of its three-letter pieces belong to words of the dictionary, the path, and the words before and after it
+(other candidates among them, such as a long name). A random forest, trained from labelled findings, says whether it is a secret; it
 is read off the fitted trees as one SQL expression, so that scoring is part of the scan and reads every text whole.
 
 Labelled findings: a table (candidate, before, after, path, label); at most `MOST_LABELS` rows are used for the fit, a
 documented bound. `labelled_findings` makes such a table by rule (keys, tokens and hashes in assignments against digests,
-identifiers, numbers, placeholders and running text) for use where no reviewed findings exist.
+identifiers, names, paths, long words, numbers, placeholders and running text) for use where no reviewed findings exist.
 
 Defined cases: null texts have no candidates; null paths count as empty; rows that repeat are scanned each on its own.
 """
@@ -17,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
-AROUND = 48
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+AROUND = 48  # three candidates at most
+KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z2-7]{16}$|gh[opsur]_[A-Za-z0-9]{20}|(?:sk|pk|rk)[_-](?:live|test)[_-])"  # forms that issuers give to their keys
 MOST_LABELS = 20_000
-FEATURES = ["length", "transitions", "digits", "hex", "distinct", "dictionary", "assigned", "quoted", "keyword", "harmless", "test_path"]
+FEATURES = ["length", "transitions", "digits", "vowels", "known", "hex", "distinct", "dictionary", "assigned", "quoted", "keyword", "harmless", "test_path"]
 #: Frequent three-letter pieces of English, German, French and Spanish words.
 PIECES = "the|and|ing|ion|tio|ent|her|for|tha|nth|int|ere|ter|est|ers|ati|hat|ate|all|eth|hes|ver|his|oft|ith|fth|sth|oth|res|ont|ein|ich|nde|die|und|der|che|end|gen|sch|cht|den|hen|les|des|que|ait|lle|ont|eur|ons|par|men|con|est|ado|ara|aci|ión|nte|tra|pro|sta"
 
@@ -32,6 +34,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "length": n,
         "transitions": F.regexp_count(candidate, F.lit(r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])")) / n,
         "digits": F.regexp_count(candidate, F.lit("[0-9]")) / n,
+        "vowels": F.regexp_count(candidate, F.lit("[AEIOUaeiou]")) / n,
+        "known": candidate.rlike(KNOWN).cast("double"),
         "hex": candidate.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / n,
         "dictionary": 3 * F.regexp_count(F.lower(candidate), F.lit(PIECES)) / n,
@@ -50,13 +54,19 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64("id", F.lit(len(xs))), F.lit(len(xs))) + 1).cast("int"))
     hexes = F.substr(digest, F.lit(1), pick(32, 40, 40, 48, 64))
     mixed = F.translate(F.base64(F.unhex(F.substr(digest, F.lit(1), pick(36, 48, 60)))), "/", "_")
-    keyed = F.when(i % 3 == 0, mixed).otherwise(hexes)
+    base = F.translate(F.base64(F.unhex(digest)), "+/=", "kQz")
+    letters = F.translate(base, "0123456789", "qwZxJkVpbM")  # no digit, as one key in 30 or fewer has it
+    issued = F.concat(F.lit("AKIA"), F.substr(F.translate(F.upper(F.when(i % 20 == 6, letters).otherwise(base)), "0189", "XQJH"), F.lit(1), F.lit(16)))
+    keyed = F.when(i % 10 == 6, issued).when(i % 10 == 8, F.substr(letters, F.lit(1), pick(20, 24, 32, 36, 40, 43))).when(i % 3 == 0, mixed).otherwise(hexes)
     name = pick("token", "api_key", "secret", "password", "auth_token", "client_secret", "access_key", "signing_key")
     good = F.struct(keyed.alias("candidate"), F.concat(F.lit("words then "), name, pick(' = "', ": '", "=", ' := "', ": ")).alias("before"), pick('" and', "'", " then", '",').alias("after"), pick("src1", "app/config.py", "deploy/env", "notes.txt").alias("path"))
     number = F.substr(F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10), F.lit(1), F.lit(16))
     word = F.concat(pick("retention", "condition", "interests", "versichern"), pick("_station_", "-the-", "enting", "ation"), i.cast("string"), pick("_final", "-version", "ment"))
-    plain = F.when(i % 5 == 1, number).when(i % 5 == 2, word).when(i % 5 == 3, F.concat(F.lit("EXAMPLE0000000"), i.cast("string"), F.lit("xxxxxx"))).otherwise(hexes)
-    said = F.when(i % 5 == 4, pick("sha256: ", 'integrity = "', "commit ", "uuid=", 'checksum: "')).otherwise(pick("running text with ", "called ", "see the ", 'value = "', "order number "))
+    parts = [pick("the", "condition", "station", "versch", "heit", "internal", "public", "entre", "main", "source", "default"), pick("ening", "lichkeit", "handler", "ation", "config", "ment", "value", "client", "lecontre", "token", "secret", "access", "name"), pick("erung", "tion", "password", "key", "service", "elle", "file")]
+    joined = [F.concat_ws(sep, *parts, *parts[1:]) for sep in ("", "_", "-", "/")]
+    names = F.when(i % 3 == 0, F.upper(joined[1])).when(i % 7 == 0, F.concat(*(F.initcap(x) for x in [*parts, *parts[1:]]))).otherwise(F.element_at(F.array(*joined), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int")))
+    plain = F.when(i % 10 == 3, names).when(i % 5 == 1, number).when(i % 5 == 2, word).when(i % 5 == 3, F.concat(F.lit("EXAMPLE0000000"), i.cast("string"), F.lit("xxxxxx"))).otherwise(hexes)
+    said = F.when((i % 10 == 3) & (i % 4 == 1), F.concat(name, pick("=", ' = "', ": "))).when(i % 5 == 4, pick("sha256: ", 'integrity = "', "commit ", "uuid=", 'checksum: "')).otherwise(pick("running text with ", "called ", "see the ", 'value = "', "order number "))
     bad = F.struct(plain.alias("candidate"), said.alias("before"), pick(" and", '"', ",", ".").alias("after"), pick("src2", "tests/data.py", "package-lock", "docs/example.md").alias("path"))
     rows = spark.range(0, n, 1, 4)
     return rows.select(F.when(i % 2 == 0, good).otherwise(bad).alias("x"), (1 - i % 2).cast("double").alias("label")).select("x.*", "label")
@@ -94,8 +104,11 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c not in (text_col, "at", "candidate", "before", "after")]
     found = F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))
     some = docs.where(F.col(text_col).rlike(CANDIDATE)).select(*keep, found.alias("_c"), F.split(F.col(text_col), CANDIDATE).alias("_b"))
-    one = some.select(*keep, "_b", F.posexplode("_c").alias("at", "candidate"))
-    return one.select(*keep, "at", "candidate", F.right(F.col("_b")[F.col("at")], F.lit(AROUND)).alias("before"), F.left(F.col("_b")[F.col("at") + 1], F.lit(AROUND)).alias("after"))
+    one = some.select(*keep, "_b", "_c", F.posexplode("_c").alias("at", "candidate"))
+    text = lambda column, k: F.coalesce(F.when(F.col("at") + k >= 0, F.get(column, F.col("at") + k)), F.lit(""))
+    before = F.concat(*(x for k in (-3, -2, -1) for x in (text("_b", k), text("_c", k))), text("_b", 0))
+    after = F.concat(text("_b", 1), *(x for k in (1, 2, 3) for x in (text("_c", k), text("_b", k + 1))))
+    return one.select(*keep, "at", "candidate", F.right(before, F.lit(AROUND)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"))
 
 
 def scan(docs: DataFrame, path_col: str = "source", text_col: str = "text", labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
