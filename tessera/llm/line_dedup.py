@@ -1,12 +1,15 @@
 """Line dedup by pairwise alignment.
 
-A line is the hash of its trimmed characters; lines without a word are left alone. For each line of `ANCHOR` words or more
-that several documents hold, every later document is paired with the line's first holder (smallest id): one pair for a
-document and line, however many documents share it, so a group of copies is a star. A line that more than `common` of all
-documents hold is not rare and pairs nothing; from `BLOCK` words on it is a block of its own and goes from all documents
-but the first. Each pair is aligned by patience diff: lines that either text holds once are matched in their longest
-increasing order, the gaps between matches likewise, and matches grow over equal neighbours. A block of aligned lines
-with `BLOCK` words or more is deleted from the later document.
+A line is the hash of its trimmed characters; lines without a word are left alone. A run is the shortest sequence of
+consecutive lines from a line on, or up to a line, that has `BLOCK` words or more. Each line of a block of `BLOCK` words or
+more that two documents share is in a run inside the block, so runs find every block, of short or frequent lines too. For
+each run that several documents hold, every later document is paired with the run's first holder (smallest id): one pair
+for a document and run, however many documents share it, so a group of copies is a star. A run that more than `common` of
+all documents hold pairs nothing: it is a block that its first holder has too, and goes from all other documents. Each pair
+is aligned by patience diff: lines that either text holds once are matched in their longest increasing order, the gaps
+between matches likewise, and matches grow over equal neighbours. A block of aligned lines with `BLOCK` words or more is
+deleted from the later document. A run that the alignment with its first holder leaves out, since it stands in another order
+there, is not tried with its other holders.
 
 Hash sequences travel, not texts; the text is joined once, to what is deleted from it.
 
@@ -21,13 +24,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, materialize, row_hash, small_side
+from .common import WORDS, materialize, mix, powers, row_hash, small_side
 
-ANCHOR = 5
 BLOCK = 10
 
 
@@ -96,17 +100,52 @@ def line_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return got.select("id", "h", F.col("l.i").alias("at"), F.col("l.x").alias("line"), F.col("l.n").alias("words"))
 
 
+def shortest_runs(line: np.ndarray, words: np.ndarray, size: np.ndarray, least: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """doc, first, last, key of each run; line and words of all documents in a row, size: lines of each document."""
+    n, end = len(line), np.cumsum(size)
+    doc, total, i = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(words, dtype=np.int64)]), np.arange(n)
+    to = np.searchsorted(total, total[:-1] + least, "left") - 1
+    since = np.searchsorted(total, total[1:] - least, "right") - 1
+    down, up = to < end[doc], since >= (end - size)[doc]
+    both = np.unique(np.concatenate([i[down] * (n + 1) + to[down], since[up] * (n + 1) + i[up]]))
+    first, last = both // (n + 1), both % (n + 1)
+    pw, inv = powers(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(line.view(np.uint64)) * pw[:n], dtype=np.uint64)])
+    key = mix((sums[last + 1] - sums[first]) * inv[first] + (last - first + 1).astype(np.uint64))
+    return doc[first], first, last, key.view(np.int64)
+
+
+def run_table(lines: DataFrame, least: int, places: bool = False) -> DataFrame:
+    """id, h, run (a hash) of each run of the documents; with places also at, the numbers of its lines."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            size = np.asarray(pa.compute.list_value_length(batch.column(3))).astype(np.int64)
+            at, line, words = (np.asarray(batch.column(k).flatten()) for k in (2, 3, 4))
+            doc, first, last, key = shortest_runs(line, words, size, least)
+            cols = [pa.array(ids[doc]), pa.array(hs[doc]), pa.array(key)]
+            if places:
+                n = last - first + 1
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                each = np.repeat(first - cuts[:-1], n) + np.arange(cuts[-1])
+                cols.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(at[each].astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, ["id", "h", "run", "at"][: len(cols)])
+
+    return lines.select("id", "h", "at", "line", "words").mapInArrow(find, "id long, h long, run long" + (", at array<int>" if places else ""))
+
+
 def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: float = 0.1, block: int = BLOCK) -> DataFrame:
     """id, h, removed (sorted line numbers): the lines that go."""
     lines = materialize(line_tables(docs, id_col, text_col), "lines")
     n = lines.count()
-    each = lines.select("id", "h", F.explode(F.arrays_zip("at", "line", "words")).alias("l")).select("id", "h", "l.at", "l.line", "l.words").where(F.col("words") >= ANCHOR)
-    held = each.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n_held")).where(F.col("first") < F.col("_last"))
-    held = materialize(held.select("line", "first", "n_held"), "lines-held")
+    each = run_table(lines, block)
+    held = each.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n_held")).where(F.col("first") < F.col("_last"))
+    held = materialize(held.select("run", "first", "n_held"), "lines-held")
     often = F.col("n_held") > F.lit(common * n)
-    shared = each.join(held.where(~often), "line").where(F.col("id") > F.col("first"))
+    shared = each.join(held.where(~often), "run").where(F.col("id") > F.col("first"))
     pairs = materialize(shared.select("id", "h", "first").distinct(), "line-pairs")
-    direct = each.where(F.col("words") >= block).join(small_side(held.where(often)), "line").where(F.col("id") > F.col("first")).select("id", "h", "at")
+    direct = run_table(lines, block, places=True).join(small_side(held.where(often)), "run").where(F.col("id") > F.col("first")).select("id", "h", F.explode("at").alias("at"))
     ours = lines.select("id", "h", "at", "line", "words")
     theirs = lines.select(F.col("id").alias("first"), F.col("line").alias("other"))
     both = pairs.join(theirs, "first").join(ours, ["id", "h"]).select("id", "h", "at", "line", "words", "other")

@@ -168,6 +168,19 @@ def test_line_dedup(spark):
     assert got[1] == (2, [], a) and got[2] == (4, [1, 2], "own words only in this one\nlast") and got[3][1] == [] and got[4] == (0, [], None) and got[5][1] == [0, 1]
 
 
+def removed(spark, data, **more):
+    return {r.doc_id: r.removed_lines for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string"), **more).collect()}
+
+
+def test_line_dedup_frequent_blocks_of_short_lines(spark):
+    own = lambda i: "\n".join(" ".join("o%d.%d.%d" % (i, k, j) for j in range(4)) for k in range(2))
+    passage = "\n".join(" ".join("p%d.%d" % (k, j) for j in range(8)) for k in range(8))
+    short = "\n\n".join("s%d of it" % k for k in range(5))
+    data = [(i, own(i) + "\n" + (passage if i % 3 == 0 else short if i % 3 == 1 else "end") + "\nlast %d" % i) for i in range(30)]
+    want = {i: [] if i < 3 or i % 3 == 2 else list(range(2, 10)) if i % 3 == 0 else [2, 4, 6, 8, 10] for i in range(30)}
+    assert removed(spark, data) == want == removed(spark, data, common=1.0)
+
+
 def test_mixing(spark, docs, rows):
     got = mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken").distinct().collect()
     total = sum(len(WS.findall(r[1] or "")) for r in rows)
