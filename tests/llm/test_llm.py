@@ -181,6 +181,22 @@ def test_line_dedup_frequent_blocks_of_short_lines(spark):
     assert removed(spark, data) == want == removed(spark, data, common=1.0)
 
 
+def test_line_dedup_first_holder_of_each_block(spark):
+    a, b, x = "a b c d e f", "g h i j k l", "one two three four five six seven eight nine ten"
+    data = [(0, a + "\nzero"), (1, b + "\none more"), (2, a + "\n" + b), (3, "own\n" + a + "\n" + b), (4, x), (5, x + "\ntail of three"), (6, "mine\n" + x + "\ntail of three")]
+    assert removed(spark, data, common=1.0) == {0: [], 1: [], 2: [], 3: [1, 2], 4: [], 5: [0], 6: [1, 2]}
+
+
+def test_line_dedup_matches_alignment_of_all_pairs(spark):
+    r = random.Random(7)
+    every = [" ".join("l%d.%d" % (k, j) for j in range(r.randint(1, 12))) for k in range(40)]
+    docs = [[k for k in range(40) if r.random() < 0.6] for _ in range(60)]  # one order, so that alignments don't cross
+    n = [len(x.split()) for x in every]
+    want = {i: sorted({k for b in docs[:i] for k in line_dedup.blocks(a, [n[x] for x in a], b)}) for i, a in enumerate(docs)}
+    data = [(i, "\n".join(every[k] for k in a)) for i, a in enumerate(docs)]
+    assert removed(spark, data, common=1.0) == want and removed(spark, data) == want
+
+
 def test_mixing(spark, docs, rows):
     got = mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken").distinct().collect()
     total = sum(len(WS.findall(r[1] or "")) for r in rows)
