@@ -54,7 +54,7 @@ def count_texts(texts: list[bytes]) -> dict[str, np.ndarray]:
     if len(line_start):
         doc = np.searchsorted(w.at, line_start, "right") - 1
         # an empty text starts where no line with a word can; the last text that starts at or before is the line's
-        h = segments_hash(buf, line_start, line_end, ~newline) ^ mix((doc + 1).astype(np.uint64))
+        h = segments_hash(buf, line_start, line_end) ^ mix((doc + 1).astype(np.uint64))
         order = np.lexsort((h, doc))
         same = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
         out["n_dup_lines"] = np.bincount(doc[order][1:][same], minlength=n)

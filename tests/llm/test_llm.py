@@ -125,6 +125,14 @@ def test_quality_counts(docs, rows):
     assert not got.where("base_failed and kept").count()
 
 
+def test_repeated_lines_beside_lines_of_white_space():
+    texts = ["abc def\n \nabc def\nx", "a b\r\n\r\na b\r\nlast", " \t\nx y\n\t\n\r\nx y\nx y", "", " \n ", "one\ntwo"]
+    got = quality_rules.count_texts([t.encode() for t in texts])
+    lines = [[x for x in t.split("\n") if WS.search(x)] for t in texts]
+    assert got["n_dup_lines"].tolist() == [len(x) - len(set(x)) for x in lines] == [1, 1, 2, 0, 0, 0]
+    assert got["n_lines"].tolist() == [len(x) for x in lines]
+
+
 def test_host_verdict(spark):
     good, bad = " ".join("w%d" % i for i in range(40)), " ".join("### w%d" % i for i in range(40))
     data = [(i, bad if i % 2 else good, "bad" if i < 40 else "good") for i in range(40)] + [(100 + i, bad if i == 0 else good, "good") for i in range(40)]
