@@ -1,14 +1,19 @@
-"""Substring dedup over the suffixes of all texts.
+"""Substring dedup by hashes of all windows of `span` words, filed under minimizers.
 
-A suffix tree of the corpus is split by variable-length prefixes: each window of `span` words (a suffix cut off at the
-depth that matters) is filed under its anchor, the smallest-hashed `anchor`-gram that it holds, so that equal windows meet
-under equal anchors while consecutive windows share one row. An anchor's group is a subtree; its internal nodes at depth
-`span` are the windows found twice or more, and runs of them are the maximal repeats. A group is read in document order
-from Spark's external sort, so its first window is the earliest and only the distinct windows of one anchor are held in
-memory, however many documents share them. Before the shuffle each task drops the windows that it has seen in an earlier
-document, so a passage shared by a third of all documents leaves one row for each step of a task.
+This takes the place of a suffix tree split by variable-length prefixes: no suffix is sorted and no tree is built. What the
+result needs of the tree is which suffixes agree in their first `span` words, and equal windows of `span` words are just
+these. Each window is filed under its anchor, the smallest-hashed `anchor`-gram anywhere inside it (a minimizer), so that
+equal windows meet under equal anchors while consecutive windows share one row. A group is read in document order from
+Spark's external sort, so its first window is the earliest and only the distinct windows of one anchor are held in memory,
+however many documents share them. Before the shuffle each task drops the windows that it has seen in an earlier document,
+so a passage shared by a third of all documents leaves one row for each step of a task.
 
-Words are 64-bit hashes, anchors 64 bits, windows 40 bits within their anchor: equality is by 104 bits, never by texts.
+A pass before counts the windows of each anchor. Those of an anchor with more than `group` are filed each under its own
+hash, so that they spread over all tasks and their groups have one window each. To keep the count small a step reports
+only anchors with `STEP_LEAST` windows or more in it: an anchor that stays whole has at most `group` in such steps, and
+fewer than `STEP_LEAST` in each of the others.
+
+Words are 64-bit hashes, anchors 64 bits, windows 40 bits within their anchor: equality is by hashes, never by texts.
 
 Order: documents by id (null ids last), then by a hash of the text. Rows that repeat both are one document, each of them
 gets the same result. A null text has no words, a text with fewer words than `span` loses nothing, an empty table gives an
@@ -31,6 +36,8 @@ from .common import Words, limit_arrow_rows, materialize, mix, rolling, row_hash
 LAST_ID = (1 << 63) - 1
 BYTES = 5  # of a window's hash, beside its anchor's 8
 RUNS = T.StructType([T.StructField(n, t) for n, t in (("anchor", T.LongType()), ("id", T.LongType()), ("h", T.LongType()), ("start", T.IntegerType()), ("n", T.IntegerType()), ("windows", T.BinaryType()))])
+GROUP = 1 << 18  # distinct windows that a task holds in memory for one anchor
+STEP_LEAST = 8
 COVERED = T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("h", T.LongType()), ("start", T.IntegerType()), ("n", T.IntegerType()))])
 
 
@@ -80,12 +87,30 @@ def binary(codes: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def runs_of(ids: np.ndarray, hs: np.ndarray, texts: list[bytes], span: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Rows of RUNS for some texts: windows that may be the first of their kind, and runs that are not (windows null)."""
+def frequent_anchors(texts: list[bytes], span: int, anchor: int, least: int) -> pa.RecordBatch:
+    """anchor, n: the anchors with at least so many different windows in some texts."""
+    x = window_runs(texts, span, anchor)
+    order = np.lexsort((x["code"], x["anchor"]))
+    a, c = x["anchor"][order], x["code"][order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    keys, n = np.unique(a[new], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys[n >= least].view(np.int64)), pa.array(n[n >= least])], ["anchor", "n"])
+
+
+def runs_of(ids: np.ndarray, hs: np.ndarray, texts: list[bytes], span: int, anchor: int, split: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of RUNS for some texts: windows that may be the first of their kind, and runs that are not (windows null).
+
+    split: sorted anchors whose windows are filed each under its own hash.
+    """
     x = window_runs(texts, span, anchor)
     n = len(x["doc"])
     if not n:
         return
+    if split is not None and len(split):
+        own = split[np.minimum(np.searchsorted(split, x["anchor"]), len(split) - 1)] == x["anchor"]
+        x["anchor"] = np.where(own, mix(x["anchor"] ^ mix(x["code"])), x["anchor"])
+        x["at"] = np.where(own, -1 - np.arange(n), x["at"])  # a row each
     rank = np.empty(len(ids), np.int64)
     rank[np.lexsort((hs, ids))] = np.arange(len(ids))
     if len(ids) > 1:  # rows that repeat id and text share a rank
@@ -157,27 +182,36 @@ def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(hs[d]), pa.array(begin[cuts].astype(np.int32)), pa.array(np.diff(np.append(cuts, len(at))).astype(np.int32))], COVERED.names)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 20, anchor: int = 8) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 20, anchor: int = 8, group: int = GROUP) -> DataFrame:
     """id, h, runs: for each document with windows that start earlier elsewhere, the runs (start, n) of such windows."""
 
+    least = min(STEP_LEAST, group)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in steps(batch, "text"):
+                yield frequent_anchors(texts, span, anchor, least)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for rows, texts in steps(batch, "text"):
-                yield from runs_of(ids[rows], hs[rows], texts, span, anchor)
+                yield from runs_of(ids[rows], hs[rows], texts, span, anchor, split)
 
     keyed = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("id"), row_hash(docs, text_col).alias("h"), F.col(text_col).alias("text"))
+    frequent = keyed.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > group)
+    split = np.sort(np.array([r.anchor for r in frequent.select("anchor").toLocalIterator()], np.int64).view(np.uint64))  # fewer than windows / group
     runs = keyed.mapInArrow(run, RUNS)
     met = runs.repartition(F.col("anchor")).sortWithinPartitions("anchor", "id", "h", "start").mapInArrow(later, COVERED)
     return materialize(met.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs")), "substring-runs")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 20, anchor: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 20, anchor: int = 8, group: int = GROUP) -> DataFrame:
     """docs with n_words, n_removed, kept_text (words joined by a space) and kept_sha256."""
     added = ["n_words", "n_removed", "kept_text", "kept_sha256"]
     docs = docs.drop(*added)
     limit_arrow_rows(docs.sparkSession)
-    found = repeats(docs, id_col, text_col, span, anchor).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("runs.start").alias("_starts"), F.col("runs.n").alias("_ns"))
+    found = repeats(docs, id_col, text_col, span, anchor, group).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("runs.start").alias("_starts"), F.col("runs.n").alias("_ns"))
     keyed = docs.withColumn("_i", F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long")).withColumn("_k", row_hash(docs, text_col))
     joined = keyed.join(found, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_h")), "left").select(*docs.columns, "_starts", "_ns")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])

@@ -61,6 +61,26 @@ def test_substring_dedup(docs, rows):
     assert got.count() == len(rows)
 
 
+def test_substring_dedup_splits_large_groups(spark, docs):
+    cols = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    want = result(substring_dedup.remove_repeats(docs), *cols)
+    assert want == result(substring_dedup.remove_repeats(docs, group=0), *cols) == result(substring_dedup.remove_repeats(docs, group=30), *cols)
+    r = random.Random(9)
+    around = lambda: " ".join("u%d" % r.randrange(10**6) for _ in range(30))
+    texts = [f"{around()} one line of more than a dozen words that a tenth of all documents hold {around()}".encode() for _ in range(200)]
+    import numpy as np
+    import pyarrow as pa
+    counts = substring_dedup.frequent_anchors(texts, 20, 8, 31)
+    split = np.sort(np.asarray(counts.column(0)).view(np.uint64))
+    ids = np.arange(200)
+
+    def largest(*split):
+        t = pa.Table.from_batches(substring_dedup.runs_of(ids, ids, texts, 20, 8, *split)).filter(pa.compute.field("windows").is_valid())
+        return max(t.group_by("anchor").aggregate([("n", "sum")]).column("n_sum").to_pylist())
+
+    assert len(split) and largest() > 100 and largest(split) <= 30
+
+
 def test_near_dedup(docs, rows):
     sets = {}
     for i, t in unique(rows):
