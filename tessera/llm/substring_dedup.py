@@ -13,7 +13,7 @@ hash, so that they spread over all tasks and their groups have one window each.
 only anchors with `STEP_LEAST` windows or more in it: an anchor that stays whole has at most `group` in such steps, and
 fewer than `STEP_LEAST` in each of the others.
 
-Words are 64-bit hashes, anchors 64 bits, windows 40 bits within their anchor: equality is by hashes, never by texts.
+Words are 64-bit hashes, anchors 64 bits, windows 64 bits beside their anchor: equality is by 128 bits of hash, never by texts.
 
 Order: documents by id (null ids last), then by a hash of the text. Rows that repeat both are one document, each of them
 gets the same result. A null text has no words, a text with fewer words than `span` loses nothing, an empty table gives an
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import Words, limit_arrow_rows, materialize, mix, rolling, row_hash, steps
 
 LAST_ID = (1 << 63) - 1
-BYTES = 5  # of a window's hash, beside its anchor's 8
+BYTES = 8  # of a window's hash, beside its anchor's 8
 RUNS = T.StructType([T.StructField(n, t) for n, t in (("anchor", T.LongType()), ("id", T.LongType()), ("h", T.LongType()), ("start", T.IntegerType()), ("n", T.IntegerType()), ("windows", T.BinaryType()))])
 GROUP = 1 << 18  # distinct windows that a task holds in memory for one anchor
 STEP_LEAST = 8

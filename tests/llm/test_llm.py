@@ -81,6 +81,14 @@ def test_substring_dedup_splits_large_groups(spark, docs):
     assert len(split) and largest() > 100 and largest(split) <= 30
 
 
+def test_substring_dedup_tells_windows_of_one_anchor_apart(spark):
+    head = " ".join("f%d" % i for i in range(18))
+    data = [(1, head + " v320 v977"), (2, head + " v282 v158"), (3, head + " v282 v158")]  # alike in 40 bits of the first two's hashes
+    for group in (0, 1000):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), group=group)
+        assert result(got, "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 20)]
+
+
 def test_near_dedup(docs, rows):
     sets = {}
     for i, t in unique(rows):
