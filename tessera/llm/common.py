@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Words of most contracts: runs of anything but ASCII white space (a Java regular expression).
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Used only where the session has no spark.checkpoint.dir (tests, notebooks).
+#: Used only where a local session has no spark.checkpoint.dir (tests, notebooks).
 DEFAULT_SCRATCH = "/tmp/checkpoints/tessera"
 #: Rows that a side may have to be broadcast; above it joins are shuffled.
 BROADCAST_ROWS = 500_000
@@ -23,8 +25,15 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a default only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
+    """The shared folder that the cluster names. Only a local session, whose executors share one disk, may have none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or DEFAULT_SCRATCH).rstrip("/")
+
+
+#: The tables written inside each open scratch(), the innermost last.
+_open: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,9 +49,49 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are materialized inside go at the end, but for those written by the function that it gives."""
+    mine: list[str] = []
+    _open.append(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        path = mine.pop()
+        for outer in _open[-2:-1]:
+            outer.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _open.remove(mine)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in mine:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def shielded(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns renamed to c0, c1, ... in their order, and the new names of the columns `named`.
+
+    So no name that an operator gives inside can meet one of the input's, and names that repeat do no harm.
+    """
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), [f"c{docs.columns.index(n)}" for n in named]
+
+
+def restored(out: DataFrame, docs: DataFrame, added: Sequence[str], *without: str) -> DataFrame:
+    """out, made from shielded(docs), with docs' columns under their own names and the added ones behind them. Columns of
+    docs named like an added one, in capitals or not, are replaced; those shielded as `without` are left out."""
+    keep = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c.lower() not in added and f"c{i}" not in without]
+    return out.select(*(k for k, _ in keep), *added).toDF(*(c for _, c in keep), *added)
+
+
 def limit_arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows from now on in this session: texts are long, and each task holds some batches,
     in the JVM beside its heap and in Python. The setting must still hold when a returned DataFrame runs, so it stays."""

@@ -23,11 +23,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         step = lambda df, name, parts=max(1, -(-2 * n // ROWS)): materialize(df.coalesce(parts), name)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = step(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m")), "low")
-        large = both.where("b > a").join(low, both["a"] == low["u"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
+        large = both.where("b > a").join(low, both["a"] == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = step(large.where("a <> b").distinct(), "large")
-        low = step(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "low")
-        small = large.join(low, large["a"] == low["u"])
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(low, large["a"] == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = step(small.where("a <> b").distinct(), "links")
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
