@@ -4,9 +4,8 @@ A line is the hash of its trimmed characters; lines without a word are left alon
 consecutive lines from a line on, or up to a line, that has `BLOCK` words or more. Each line of a block of `BLOCK` words or
 more that two documents share is in a run inside the block, so runs find every block, of short or frequent lines too. For
 each run that several documents hold, every later document is paired with the run's first holder (smallest id): one pair
-for a document and run, however many documents share it, so a group of copies is a star. A run that more than `common` of
-all documents hold pairs nothing: it is a block that its first holder has too, and goes from all other documents. Each pair
-is aligned by patience diff: lines that either text holds once are matched in their longest increasing order, the gaps
+for a document and run, however many documents share it and however frequent it is, so a group of copies is a star. Each
+pair is aligned by patience diff: lines that either text holds once are matched in their longest increasing order, the gaps
 between matches likewise, and matches grow over equal neighbours. A block of aligned lines with `BLOCK` words or more is
 deleted from the later document. A run that the alignment with its first holder leaves out, since it stands in another order
 there, is not tried with its other holders.
@@ -14,8 +13,9 @@ there, is not tried with its other holders.
 Hash sequences travel, not texts; the text is joined once, to what is deleted from it.
 
 Defined cases: a null or wordless text has no lines and stays as it is; null ids come last and are not compared with one
-another, nor are rows that repeat an id; rows that repeat id and text get the same result; an empty table gives an empty
-result.
+another, nor are rows that repeat an id; rows that repeat id and text get the same result; a text of any length is read
+whole; an empty table gives an empty result. Columns of the input named like a result column are replaced, any other names
+do no harm.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, materialize, mix, powers, row_hash, small_side
+from .common import WORDS, materialize, mix, powers, restored, row_hash, shielded
 
 BLOCK = 10
 
@@ -115,37 +115,28 @@ def shortest_runs(line: np.ndarray, words: np.ndarray, size: np.ndarray, least:
     return doc[first], first, last, key.view(np.int64)
 
 
-def run_table(lines: DataFrame, least: int, places: bool = False) -> DataFrame:
-    """id, h, run (a hash) of each run of the documents; with places also at, the numbers of its lines."""
+def run_table(lines: DataFrame, least: int) -> DataFrame:
+    """id, h, run (a hash) of each run of the documents."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            size = np.asarray(pa.compute.list_value_length(batch.column(3))).astype(np.int64)
-            at, line, words = (np.asarray(batch.column(k).flatten()) for k in (2, 3, 4))
-            doc, first, last, key = shortest_runs(line, words, size, least)
-            cols = [pa.array(ids[doc]), pa.array(hs[doc]), pa.array(key)]
-            if places:
-                n = last - first + 1
-                cuts = np.concatenate([[0], np.cumsum(n)])
-                each = np.repeat(first - cuts[:-1], n) + np.arange(cuts[-1])
-                cols.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(at[each].astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(cols, ["id", "h", "run", "at"][: len(cols)])
+            size = np.asarray(pa.compute.list_value_length(batch.column(2))).astype(np.int64)
+            line, words = (np.asarray(batch.column(k).flatten()) for k in (2, 3))
+            doc, _, _, key = shortest_runs(line, words, size, least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(hs[doc]), pa.array(key)], ["id", "h", "run"])
 
-    return lines.select("id", "h", "at", "line", "words").mapInArrow(find, "id long, h long, run long" + (", at array<int>" if places else ""))
+    return lines.select("id", "h", "line", "words").mapInArrow(find, "id long, h long, run long")
 
 
-def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: float = 0.1, block: int = BLOCK) -> DataFrame:
+def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """id, h, removed (sorted line numbers): the lines that go."""
     lines = materialize(line_tables(docs, id_col, text_col), "lines")
-    n = lines.count()
     each = run_table(lines, block)
-    held = each.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n_held")).where(F.col("first") < F.col("_last"))
-    held = materialize(held.select("run", "first", "n_held"), "lines-held")
-    often = F.col("n_held") > F.lit(common * n)
-    shared = each.join(held.where(~often), "run").where(F.col("id") > F.col("first"))
+    held = each.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where(F.col("first") < F.col("_last"))
+    held = materialize(held.select("run", "first"), "lines-held")
+    shared = each.join(held, "run").where(F.col("id") > F.col("first"))
     pairs = materialize(shared.select("id", "h", "first").distinct(), "line-pairs")
-    direct = run_table(lines, block, places=True).join(small_side(held.where(often)), "run").where(F.col("id") > F.col("first")).select("id", "h", F.explode("at").alias("at"))
     ours = lines.select("id", "h", "at", "line", "words")
     theirs = lines.select(F.col("id").alias("first"), F.col("line").alias("other"))
     both = pairs.join(theirs, "first").join(ours, ["id", "h"]).select("id", "h", "at", "line", "words", "other")
@@ -160,20 +151,25 @@ def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 at += [place[k] for k in gone]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(at, pa.int32())], ["id", "h", "at"])
 
-    gone = both.mapInArrow(align, "id long, h long, at int").unionByName(direct)
+    gone = both.mapInArrow(align, "id long, h long, at int")
     return materialize(gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("at")).alias("removed")), "lines-removed")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: float = 0.1, block: int = BLOCK) -> DataFrame:
-    """docs with n_lines (lines with a word), n_removed, removed_lines (numbers from 0) and kept_text."""
-    added = ["n_lines", "n_removed", "removed_lines", "kept_text"]
-    docs = docs.drop(*added)
-    gone = deleted_lines(docs, id_col, text_col, common, block).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("removed").alias("removed_lines"))
-    keyed = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("_k", row_hash(docs, text_col))
-    n_lines = F.coalesce(F.size(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.trim(x, F.lit(" \t\r\f\x0b")) != "")).cast("long"), F.lit(0).cast("long"))
-    keyed = keyed.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_lines))
-    out = keyed.join(gone, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_h")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
-    out = out.withColumn("kept_text", F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(kept))
+ADDED = ["n_lines", "n_removed", "removed_lines", "kept_text"]
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs with n_lines (lines with a word), n_removed, removed_lines (numbers from 0) and kept_text.
+
+    The texts are shuffled once, to the lines that go, at every size: how many documents have such lines has no bound.
+    """
+    own, (i, t) = shielded(docs, id_col, text_col)
+    gone = deleted_lines(own, i, t, block).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("removed").alias("removed_lines"))
+    keyed = own.withColumn("_i", F.coalesce(F.col(i).cast("long"), F.lit((1 << 63) - 1))).withColumn("_k", row_hash(own, t))
+    out = keyed.join(gone.hint("merge"), (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_h")), "left")
+    kept = F.array_join(F.filter(F.split(F.col(t), "\n"), lambda x, k: ~F.array_contains(F.col("removed_lines"), k)), "\n")
+    n_lines = F.coalesce(F.size(F.filter(F.split(F.col(t), "\n"), lambda x: F.trim(x, F.lit(" \t\r\f\x0b")) != "")).cast("long"), F.lit(0).cast("long"))
+    out = out.withColumn("n_lines", F.when(F.col(t).isNull(), F.lit(0).cast("long")).otherwise(n_lines))
+    out = out.withColumn("kept_text", F.when(F.col("removed_lines").isNull(), F.col(t)).otherwise(kept))
     out = out.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>"))).withColumn("n_removed", F.size("removed_lines").cast("long"))
-    return out.select(*docs.columns, *added)
+    return restored(out, docs, ADDED)

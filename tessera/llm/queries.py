@@ -66,7 +66,7 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     got = line_dedup.line_dedup(docs)
-    return got.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"))
+    return got.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
