@@ -1,16 +1,22 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document of a source is placed in a shuffled order (a hash of the document and a seed); its virtual finish time is
-the source's cumulative size up to it, divided by the source's target. A second pass over the source queues behind the
-first. All queued documents are ordered by virtual finish time and cut off at the total budget.
+Every document of a source is placed in a shuffled order (a hash of the document and a seed); the virtual finish time of its
+words is the source's cumulative size up to them, divided by the source's target. A second pass over the source queues
+behind the first. All words are ordered by virtual finish time and cut off at the total budget.
 
-Nothing is ordered in one task: within a source the cumulative size comes from sums of about sqrt(n) hash ranges and a
-window inside each range; the global order is cut into about sqrt(n) ranges of virtual time, of which only the one that
-holds the cut is ordered. What a source contributes is a prefix of its shuffled order, so the decision is one row for each
-source (the last key taken of either pass), and the texts are not shuffled at all.
+The targets add up to the budget, and up to virtual time t a source has t times its target, so this order reaches the budget
+at time 1, in every source at once: what is taken of a source is the part of its queue with a finish time of at most 1. So
+the global order needs no sort, and the document on a source's cut is taken in part, which leaves no source short by a
+long document. (A test sorts all words and cuts them off.)
+
+Within a source the cumulative size comes from sums of about sqrt(n) hash ranges and a window inside the one range that
+holds the cut. What a source contributes is one row (the key on the cut, and the words that it gives), and the texts are
+not shuffled at all.
 
 Defined cases: a null text has size 0 and takes 0 words; null sources are one source that sorts last; rows that repeat id,
-source and text have equal keys and are taken or left together; an empty table gives an empty result.
+source and text have equal keys and take as much each, so that a cut inside them may leave less than one word for each row;
+texts of any length are read whole; an empty table gives an empty result. Columns of the input named like a result column
+are replaced, any other names do no harm.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, materialize, small_side
+from .common import WORDS, materialize, restored, scratch, shielded, small_side
 
 ADDED = ["size", "source_size", "target", "taken"]
 
@@ -53,48 +59,35 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20240) -> DataFrame:
     """docs with size, source_size, target (their source's) and taken: the words that the mix takes, repeats counted."""
-    docs = docs.drop(*ADDED)
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(source_col))
-    units = materialize(docs.select(F.col(source_col).alias("source"), key.alias("key"), text_size(text_col).alias("size")), "mix-units")
-    cut = decide(units, weights, share, most)
-    out = docs.withColumn("size", text_size(text_col)).withColumn("_key", key)
-    cut = small_side(cut.withColumnRenamed("source", "_source"))
-    out = out.join(cut, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    times = sum((F.coalesce((F.col("_key") <= F.col(k)).cast("long"), F.lit(0).cast("long")) for k in ("k0", "k1")), F.lit(0).cast("long"))
-    return out.withColumn("taken", F.col("size") * times).drop("_key", "_source", "k0", "k1").select(*docs.columns, *ADDED)
+    own, (i, source, text) = shielded(docs, id_col, source_col, text_col)
+    key = F.xxhash64(F.lit(seed), F.col(i), F.coalesce(F.col(text), F.lit("")), F.col(source))
+    units = own.select(F.col(source).alias("source"), key.alias("key"), text_size(text).alias("size"))
+    with scratch(docs.sparkSession) as keep:
+        cut = small_side(keep(decide(materialize(units, "mix-units"), weights, share, most), "mix-cut"))
+    out = own.withColumn("size", text_size(text)).withColumn("_key", key)
+    out = out.join(cut.withColumnRenamed("source", "_source"), F.col(source).eqNullSafe(F.col("_source")), "left")
+    more = F.when(F.col("_key") < F.col("edge"), F.col("size")).when(F.col("_key") == F.col("edge"), F.least("size", "part"))
+    return restored(out.withColumn("taken", F.coalesce(F.col("size") * F.col("whole") + F.coalesce(more, F.lit(0)), F.lit(0)).cast("long")), docs, ADDED)
 
 
 def decide(units: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """units (source, key, size) -> source, source_size, target, k0, k1: the last key taken of the first and second pass."""
-    n = units.count()
-    bits = max(4, math.ceil(math.log2(n + 1) / 2))
+    """units (source, key, size) -> source, source_size, target, whole (passes taken in full), and of the pass on the cut
+    edge (the key on it, null if the target is a number of whole passes) and part (the words that each row of it gives)."""
+    bits = max(4, math.ceil(math.log2(units.count() + 1) / 2))
     units = units.withColumn("range", F.shiftright("key", 64 - bits))
     ranges = materialize(units.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    t = materialize(targets(sizes, weights, share, most), "mix-targets")
-    budget = t.agg(F.sum("target")).first()[0] or 0.0
-    up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(up_to), F.lit(0)))
-    ranges = ranges.join(small_side(t.withColumnRenamed("source", "_t")), F.col("source").eqNullSafe(F.col("_t")))
-    ranges = small_side(materialize(ranges.where("target > 0").select(F.col("source").alias("_s"), F.col("range").alias("_r"), "offset", "sid", "source_size", "target"), "mix-offsets"))
-    within = units.withColumn("cum", F.sum("size").over(Window.partitionBy("source", "range").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
-    queued = within.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r"))).where("size > 0")
-    passes = F.explode(F.array(F.lit(0), F.lit(1)))
-    queued = queued.select("sid", "key", "size", (F.col("offset") + F.col("cum")).alias("cum"), "source_size", "target", passes.alias("pass"))
-    queued = queued.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("cum")) / F.col("target"))
-    # ranges of virtual time, finer about 1, where a queue that fits the targets is cut
-    queued = materialize(queued.withColumn("slot", F.floor((1 - 1 / (1 + F.col("finish"))) * (1 << bits))).drop("cum", "source_size", "target"), "mix-queue")
-    slots = queued.groupBy("slot").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)))
-    first = slots.where(F.col("upto") > budget).agg(F.min(F.struct("slot", (F.col("upto") - F.col("s")).alias("before"))).alias("x")).first()["x"]
-    order = F.struct("finish", "sid", "key", "pass")
-    if first is None:
-        taken = F.lit(True)
-    else:
-        last = queued.where(F.col("slot") == first["slot"]).withColumn("run", first["before"] + F.sum("size").over(Window.orderBy("finish", "sid", "key", "pass").rowsBetween(Window.unboundedPreceding, 0)))
-        x = last.where(F.col("run") <= budget).agg(F.max(order).alias("x")).first()["x"]
-        taken = F.col("slot") < first["slot"]
-        if x is not None:
-            c = F.struct(F.lit(x["finish"]).alias("finish"), F.lit(x["sid"]).alias("sid"), F.lit(x["key"]).cast("long").alias("key"), F.lit(x["pass"]).alias("pass"))
-            taken = taken | ((F.col("slot") == first["slot"]) & (order <= c))
-    keys = queued.where(taken).groupBy("sid").agg(*(F.max(F.when(F.col("pass") == p, F.col("key"))).alias(f"k{p}") for p in (0, 1)))
-    return materialize(t.join(keys, "sid", "left").drop("sid"), "mix-cut")
+    words = F.floor(F.col("target") + 1e-6)
+    t = targets(sizes, weights, share, most).withColumn("whole", F.coalesce(F.floor(words / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)))
+    t = materialize(t.withColumn("rest", words - F.col("whole") * F.col("source_size")).drop("sid"), "mix-targets")
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
+    some = small_side(t.where("rest > 0").select(F.col("source").alias("_t"), "rest"))
+    at = ranges.join(some, F.col("source").eqNullSafe(F.col("_t"))).where("offset < rest and rest <= offset + range_size")
+    at = small_side(materialize(at.select("_t", F.col("range").alias("_r"), (F.col("rest") - F.col("offset")).alias("left")), "mix-cuts"))
+    near = units.join(at, F.col("source").eqNullSafe(F.col("_t")) & (F.col("range") == F.col("_r")))
+    keys = near.groupBy("source", "left", "key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    edge = keys.withColumn("upto", upto).where("upto >= left and upto - size < left")
+    edge = edge.select(F.col("source").alias("_e"), F.col("key").alias("edge"), F.floor((F.col("left") - F.col("upto") + F.col("size")) / F.col("n")).alias("part"))
+    return t.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left").select("source", "source_size", "target", "whole", "edge", "part")
