@@ -4,14 +4,17 @@ Validated values are replaced by others of the same format under a key: card num
 test; the payload digits are permuted and the check digit follows), telephone numbers with a country code (the digits
 after it), IPv4 addresses (as one 32-bit number) and dates (as a day between 1900 and 2099). The permutation is an
 alternating Feistel network over Z_a x Z_b with SHA-256 as round function, walked until it falls inside the format; it is a
-bijection, so equal values stay linked across documents and different values stay different. In addition the local part
-of a mail address is enciphered character by character within letters and digits, keyed by the whole address (equal
-addresses stay linked; this part is a keyed substitution, no permutation).
+bijection, so equal values stay linked across documents and different values stay different. The local part of a mail address
+keeps its format too, which characters are digits, small or capital letters and which are others: the letters and digits
+are cut into two halves, and in each round those of one half are shifted within their classes by a keyed stream that the
+other half picks. That is a Feistel network as well, so two addresses of a domain never become one.
 
 What fails validation (a number that is no card, 999.1.1.1, 2023-02-30) stays as it is. Texts are read whole; rows without
 a match are returned unchanged.
 
-Defined cases: a null text stays null with no findings; rows that repeat give the same; empty tables give empty results.
+Defined cases: a null text stays null with no findings; an empty text stays empty; texts of any length are read whole; rows
+that repeat give the same; empty tables give empty results. Columns of the input named like a result column are replaced,
+any other names do no harm.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored, shielded
+
 ROUNDS = 8
 KINDS = ["email", "phone", "date", "ip", "card"]
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -117,21 +122,45 @@ def date(t: Column, key: str) -> Column:
     return shown[0]
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def email(t: Column, key: str) -> Column:
-    """Letters and digits of the local part are shifted within their class by a keyed stream that the address picks."""
+    """The address with another local part of the same format, by a Feistel network over its letters and digits."""
     local = F.regexp_extract(t, "^([^@]*)@", 1)
-    whole = F.lower(t)
+    form = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    tweak = F.concat_ws("|", F.lit(key), F.lit("email"), form, F.lower(F.substr(t, F.length(local) + 2, F.length(t))))
+    base = lambda c: F.when(c.rlike("^[0-9]$"), 48).when(c.rlike("^[a-z]$"), 97).otherwise(65)
+    room = lambda c: F.when(c.rlike("^[0-9]$"), 10).otherwise(26)
+
+    def half(odd: int) -> Column:
+        """(value, room) of every second letter or digit."""
+        live = F.filter(F.split(local, ""), lambda c: c.rlike("^[0-9A-Za-z]$"))
+        return F.transform(F.filter(live, lambda c, i: i % 2 == odd), lambda c: F.struct((F.ascii(c) - base(c)).alias("v"), room(c).alias("n")))
+
+    def turn(acc: Column, i: Column) -> Column:
+        def shifted(own: Column, other: Column) -> Column:
+            stream = F.sha2(F.concat_ws("|", tweak, i.cast("string"), F.array_join(F.transform(other, lambda x: x["v"].cast("string")), ",")), 512)
+            by = lambda d, k: F.conv(F.substr(d, 4 * (k % 32) + 1, F.lit(4)), 16, 10).cast("int")
+            return let(stream, lambda d: F.transform(own, lambda x, k: F.struct(F.pmod(x["v"] + by(d, k), x["n"]).alias("v"), x["n"].alias("n"))))
 
-    def shifted(c: Column, i: Column) -> Column:
-        by = number(i, key, F.concat(F.lit("email"), whole), F.lit(0))
-        return (
-            F.when(c.rlike("^[0-9]$"), F.chr(F.pmod(F.ascii(c) - 48 + by, F.lit(10)) + 48))
-            .when(c.rlike("^[a-z]$"), F.chr(F.pmod(F.ascii(c) - 97 + by, F.lit(26)) + 97))
-            .when(c.rlike("^[A-Z]$"), F.chr(F.pmod(F.ascii(c) - 65 + by, F.lit(26)) + 65))
-            .otherwise(c)
-        )
+        return F.when(i % 2 == 0, F.struct(shifted(acc["l"], acc["r"]).alias("l"), acc["r"].alias("r"))).otherwise(F.struct(acc["l"].alias("l"), shifted(acc["r"], acc["l"]).alias("r")))
 
-    return F.concat(F.array_join(F.transform(F.split(local, ""), shifted), ""), F.substr(t, F.length(local) + 1, F.length(t)))
+    got = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(half(0).alias("l"), half(1).alias("r")), turn)
+    blank = F.struct(F.lit("").alias("s"), F.lit(0).alias("i"))
+
+    def put(new: Column):
+        def one(acc: Column, c: Column) -> Column:
+            side = F.when(acc["i"] % 2 == 0, new["l"]).otherwise(new["r"])
+            v = F.get(side, F.floor(acc["i"] / 2).cast("int"))["v"]
+            live = c.rlike("^[0-9A-Za-z]$")
+            return F.struct(F.concat(acc["s"], F.when(live, F.chr(base(c) + v)).otherwise(c)).alias("s"), (acc["i"] + live.cast("int")).alias("i"))
+
+        return F.aggregate(F.split(local, ""), blank, one)["s"]
+
+    return F.concat(let(got, put), F.substr(t, F.length(local) + 1, F.length(t)))
 
 
 def parsed_date(t: Column) -> Column:
@@ -158,18 +187,19 @@ def is_kind(kind: str):
     return lambda x: x == kind
 
 
+ADDED = [*(f"n_{k}" for k in KINDS), "new_text"]
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with n_<kind> of each kind and new_text. The key is the caller's secret."""
-    added = [f"n_{k}" for k in KINDS] + ["new_text"]
-    docs = docs.drop(*added)
-    found = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
-    out = docs.withColumn("_found", found)
-    out = out.withColumn("_as", F.transform("_found", lambda t: F.struct(t.alias("t"), kind_of(t).alias("k"))))
+    out, (t,) = shielded(docs, text_col)
+    out = out.withColumn("_found", F.regexp_extract_all(F.col(t), F.lit(ANY), F.lit(0)))
+    out = out.withColumn("_as", F.transform("_found", lambda x: F.struct(x.alias("t"), kind_of(x).alias("k"))))
     out = out.withColumn("_kinds", F.col("_as.k"))
     new = F.transform("_as", lambda x: pseudonym(x["t"], x["k"], key))
-    between = F.split(F.col(text_col), ANY)
+    between = F.split(F.col(t), ANY)
     joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda b, n: F.concat(b, n)), "")
-    out = out.withColumn("new_text", F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col)))
+    out = out.withColumn("new_text", F.when(F.size("_found") > 0, joined).otherwise(F.col(t)))
     for k in KINDS:
         out = out.withColumn(f"n_{k}", F.coalesce(F.size(F.filter("_kinds", is_kind(k))).cast("long"), F.lit(0).cast("long")))
-    return out.select(*docs.columns, *added)
+    return restored(out, docs, ADDED)
