@@ -12,7 +12,10 @@ the `quantile` of trusted documents of its language that the model was not train
 are first shrunk towards the language's by the weight of `PRIOR` characters, since a few characters say little.
 
 Defined cases: null and empty texts have no characters, no perplexity, and are kept; a null language is a language of its
-own; languages without held-out trusted texts have no threshold and keep everything; labels that repeat count once.
+own; languages without held-out trusted texts have no threshold and keep everything; labels that repeat count once, rows
+that repeat are each scored and trained on; orders without an n-gram that occurs once or twice take fixed discounts; texts of
+any length are read whole; an empty table gives an empty result. Columns of the input named like a result column are
+replaced, any other names do no harm.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limit_arrow_rows, materialize, small_side, steps
+from .common import limit_arrow_rows, materialize, restored, shielded, small_side, steps
 
 ORDER = 5
 BITS = 12
@@ -73,7 +76,7 @@ def model(trusted: DataFrame) -> DataFrame:
     for k in range(ORDER, 0, -1):
         ctx = F.shiftright("gram", BITS)
         of = level.groupBy("lang").agg(*(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.coalesce(F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0)), F.lit(0.5))
         fit = lambda i: F.greatest(F.lit(0.1), F.least(F.lit(float(i)) * 0.95, F.coalesce(F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0)), F.lit(0.5 * i))))
         of = F.broadcast(of.select(F.col("lang").alias("_l"), *(fit(i).alias(f"d{i}") for i in (1, 2, 3))))  # a row a language
         rows = level.join(of, F.col("lang").eqNullSafe(F.col("_l")))
@@ -191,25 +194,26 @@ def score(docs: DataFrame, shards: list, text_col: str, lang_col: str) -> DataFr
     return out
 
 
+ADDED = ["n_scored", "perplexity", "threshold", "kept"]
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.25, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """docs with n_scored (characters), perplexity, threshold and kept. trusted_ids: a column named as id_col."""
-    added = ["n_scored", "perplexity", "threshold", "kept"]
-    docs = docs.drop(*added)
     limit_arrow_rows(docs.sparkSession)
+    own, (i, text, lang) = shielded(docs, id_col, text_col, lang_col)
     trusted = materialize(trusted_ids.select(F.col(id_col).alias("_t")).where("_t is not null").distinct(), "kn-trusted")
     held_out = F.pmod(F.xxhash64("_t"), F.lit(10)) == 0
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    narrow = own.select(F.col(i).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     train = narrow.join(small_side(trusted.where(~held_out)), F.col("id") == F.col("_t"), "left_semi").select("lang", "text")
     kn = shards_of(model(train), shard_rows)
     probe = narrow.join(small_side(trusted.where(held_out)), F.col("id") == F.col("_t"), "left_semi")
     probe = materialize(score(probe, kn, "text", "lang").where("_n > 0").select("lang", "_nll", "_n"), "kn-held-out")
-    mean = probe.groupBy("lang").agg((F.sum("_nll") / F.sum("_n")).alias("mean"))
-    shrunk = (F.col("_nll") + PRIOR * F.col("mean")) / (F.col("_n") + PRIOR)
+    mean = probe.groupBy("lang").agg((F.sum("_nll") / F.sum("_n")).alias("_mean"))
+    shrunk = (F.col("_nll") + PRIOR * F.col("_mean")) / (F.col("_n") + PRIOR)
     limits = probe.join(F.broadcast(mean.withColumnRenamed("lang", "_l")), F.col("lang").eqNullSafe(F.col("_l")))  # a row a language
-    limits = limits.groupBy("lang").agg(F.first("mean").alias("mean"), (F.exp(F.percentile_approx(shrunk, quantile, 10_000)) * slack).alias("threshold"))
+    limits = limits.groupBy("lang").agg(F.first("_mean").alias("_mean"), (F.exp(F.percentile_approx(shrunk, quantile, 10_000)) * slack).alias("threshold"))
     limits = small_side(materialize(limits, "kn-limits").withColumnRenamed("lang", "_l"))
-    out = score(docs, kn, text_col, lang_col).join(limits, F.col(lang_col).eqNullSafe(F.col("_l")), "left")
+    out = score(own, kn, text, lang).join(limits, F.col(lang).eqNullSafe(F.col("_l")), "left")
     nll = F.coalesce(shrunk, F.col("_nll") / F.col("_n"))
     out = out.withColumn("n_scored", F.col("_n")).withColumn("perplexity", F.when(F.col("_n") > 0, F.exp(nll)))
-    out = out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
-    return out.select(*docs.columns, *added)
+    return restored(out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))), docs, ADDED)

@@ -10,7 +10,8 @@ The texts are read twice and never shuffled: the first pass leaves one row of su
 joins the table of hosts (broadcast only if it has at most BROADCAST_ROWS rows).
 
 Defined cases: a null or wordless text has no words and fails the base rule; null hosts are one host; rows that repeat
-are judged each on its own; an empty table gives an empty result. Columns of the input named like a count are replaced.
+are judged each on its own; a text of any length is read whole; an empty table gives an empty result. Columns of the input
+named like a result column are replaced, any other names do no harm.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _WS, Words, limit_arrow_rows, materialize, mix, rolling, segments_hash, small_side, steps
+from .common import _WS, Words, limit_arrow_rows, materialize, mix, restored, rolling, segments_hash, shielded, small_side, steps
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 SYMBOLS = b"#*$%&|<>"
@@ -79,8 +80,7 @@ def count_texts(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with COUNTS (long) as further columns, computed over Arrow batches without a shuffle."""
-    docs = docs.drop(*COUNTS)
+    """docs (no column named like a count) with COUNTS (long), computed over Arrow batches without a shuffle."""
     limit_arrow_rows(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
@@ -133,12 +133,15 @@ def beta_prior(k: int, n: float, f: float, nn: float, ff: float) -> tuple[float,
     return p * m, (1 - p) * m
 
 
+ADDED = [*COUNTS, "base_failed", "soft_failed", "host_rate", "kept"]
+
+
 def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", host_limit: float = 0.25) -> DataFrame:
     """docs with COUNTS, base_failed, soft_failed, host_rate and kept."""
-    docs = docs.drop("base_failed", "soft_failed", "host_rate", "kept")
-    hosts = host_rates(with_counts(docs.select(host_col, text_col), text_col), host_col)
+    own, (host, text) = shielded(docs, host_col, text_col)
+    hosts = host_rates(with_counts(own.select(host, text), text), host)
     hosts = small_side(hosts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate")))
-    out = with_counts(docs, text_col).withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failures())
-    out = out.join(hosts, F.col(host_col).eqNullSafe(F.col("_host")), "left").drop("_host")
+    out = with_counts(own, text).withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failures())
+    out = out.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
     bad = F.coalesce(F.col("host_rate") > host_limit, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("soft_failed") < F.when(bad, 1).otherwise(2)))
+    return restored(out.withColumn("kept", ~F.col("base_failed") & (F.col("soft_failed") < F.when(bad, 1).otherwise(2))), docs, ADDED)

@@ -10,7 +10,9 @@ Labelled findings: a table (candidate, before, after, path, label); at most `MOS
 documented bound. `labelled_findings` makes such a table by rule (keys, tokens and hashes in assignments against digests,
 identifiers, names, paths, long words, numbers, placeholders and running text) for use where no reviewed findings exist.
 
-Defined cases: null texts have no candidates; null paths count as empty; rows that repeat are scanned each on its own.
+Defined cases: null texts have no candidates; null paths count as empty; rows that repeat are scanned each on its own; texts
+of any length are read whole; an empty table gives an empty result. Columns of the input named like a result column are
+replaced, any other names do no harm.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import restored, shielded
+
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 AROUND = 48  # three candidates at most
 KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z2-7]{16}$|gh[opsur]_[A-Za-z0-9]{20}|(?:sk|pk|rk)[_-](?:live|test)[_-])"  # forms that issuers give to their keys
@@ -99,24 +103,29 @@ def probability(trees: list, cols: dict[str, Column]) -> Column:
     return sum((tree(t) for t in trees), F.lit(0.0)) / len(trees)
 
 
+ADDED = ["at", "candidate", "before", "after"]
+
+
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' other columns, at (from 0, within the text), candidate, before, after."""
-    keep = [c for c in docs.columns if c not in (text_col, "at", "candidate", "before", "after")]
-    found = F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0))
-    some = docs.where(F.col(text_col).rlike(CANDIDATE)).select(*keep, found.alias("_c"), F.split(F.col(text_col), CANDIDATE).alias("_b"))
-    one = some.select(*keep, "_b", "_c", F.posexplode("_c").alias("at", "candidate"))
-    text = lambda column, k: F.coalesce(F.when(F.col("at") + k >= 0, F.get(column, F.col("at") + k)), F.lit(""))
+    """docs' columns but the text, at (from 0, within the text), candidate, before, after."""
+    own, (t,) = shielded(docs, text_col)
+    text = lambda column, k: F.coalesce(F.when(F.col("_at") + k >= 0, F.get(column, F.col("_at") + k)), F.lit(""))
+    found = F.regexp_extract_all(F.col(t), F.lit(CANDIDATE), F.lit(0))
+    some = own.where(F.col(t).rlike(CANDIDATE)).withColumn("_c", found).withColumn("_b", F.split(F.col(t), CANDIDATE))
+    one = some.select(*(c for c in own.columns if c != t), "_b", "_c", F.posexplode("_c").alias("_at", "candidate"))
     before = F.concat(*(x for k in (-3, -2, -1) for x in (text("_b", k), text("_c", k))), text("_b", 0))
     after = F.concat(text("_b", 1), *(x for k in (1, 2, 3) for x in (text("_c", k), text("_b", k + 1))))
-    return one.select(*keep, "at", "candidate", F.right(before, F.lit(AROUND)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"))
+    one = one.withColumn("at", F.col("_at")).withColumn("before", F.right(before, F.lit(AROUND))).withColumn("after", F.left(after, F.lit(AROUND)))
+    return restored(one, docs, ADDED, t)
 
 
 def scan(docs: DataFrame, path_col: str = "source", text_col: str = "text", labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """docs' other columns, at, candidate, before, after, score and is_secret: a row a candidate."""
-    docs = docs.drop("score", "is_secret")
+    added = [*ADDED, "score", "is_secret"]
+    own, (path, t) = shielded(docs, path_col, text_col)
     trees = forest(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    found = candidates(docs, text_col)
-    f = features(F.col("candidate"), F.col("before"), F.col("after"), F.col(path_col))
-    found = found.select(*found.columns, *(f[k].cast("double").alias(f"_f_{k}") for k in FEATURES))
+    found = candidates(own, t)
+    f = features(F.col("candidate"), F.col("before"), F.col("after"), F.col(path))
+    found = found.select("*", *(f[k].cast("double").alias(f"_f_{k}") for k in FEATURES))
     found = found.withColumn("score", F.round(probability(trees, {k: F.col(f"_f_{k}") for k in FEATURES}), 6))
-    return found.drop(*(f"_f_{k}" for k in FEATURES)).withColumn("is_secret", F.col("score") >= least)
+    return restored(found.withColumn("is_secret", F.col("score") >= least), docs, added, t)

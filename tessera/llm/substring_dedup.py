@@ -16,8 +16,9 @@ fewer than `STEP_LEAST` in each of the others.
 Words are 64-bit hashes, anchors 64 bits, windows 64 bits beside their anchor: equality is by 128 bits of hash, never by texts.
 
 Order: documents by id (null ids last), then by a hash of the text. Rows that repeat both are one document, each of them
-gets the same result. A null text has no words, a text with fewer words than `span` loses nothing, an empty table gives an
-empty result.
+gets the same result. A null text has no words, a text with fewer words than `span` loses nothing, a text of any length is
+read whole, an empty table gives an empty result. Columns of the input named like a result column are replaced, any other
+names do no harm.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, limit_arrow_rows, materialize, mix, rolling, row_hash, steps
+from .common import Words, limit_arrow_rows, materialize, mix, restored, rolling, row_hash, shielded, steps
 
 LAST_ID = (1 << 63) - 1
 BYTES = 8  # of a window's hash, beside its anchor's 8
@@ -206,20 +207,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spa
     return materialize(met.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs")), "substring-runs")
 
 
+ADDED = ["n_words", "n_removed", "kept_text", "kept_sha256"]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 20, anchor: int = 8, group: int = GROUP) -> DataFrame:
     """docs with n_words, n_removed, kept_text (words joined by a space) and kept_sha256."""
-    added = ["n_words", "n_removed", "kept_text", "kept_sha256"]
-    docs = docs.drop(*added)
     limit_arrow_rows(docs.sparkSession)
-    found = repeats(docs, id_col, text_col, span, anchor, group).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("runs.start").alias("_starts"), F.col("runs.n").alias("_ns"))
-    keyed = docs.withColumn("_i", F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long")).withColumn("_k", row_hash(docs, text_col))
-    joined = keyed.join(found, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_h")), "left").select(*docs.columns, "_starts", "_ns")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
+    own, (i, t) = shielded(docs, id_col, text_col)
+    found = repeats(own, i, t, span, anchor, group).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("runs.start").alias("_starts"), F.col("runs.n").alias("_ns"))
+    keyed = own.withColumn("_i", F.coalesce(F.col(i), F.lit(LAST_ID)).cast("long")).withColumn("_k", row_hash(own, t))
+    joined = keyed.join(found.hint("merge"), (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_h")), "left").select(*own.columns, "_starts", "_ns")
+    new = T.StructType([T.StructField(c, t) for c, t in zip(ADDED, (T.LongType(), T.LongType(), T.StringType(), T.StringType()), strict=True)])
+    schema = T.StructType([*own.schema.fields, *new.fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            for rows, texts in steps(batch, text_col):
+            for rows, texts in steps(batch, t):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 starts, ns = (part.column(names.index(c)).to_pylist() for c in ("_starts", "_ns"))
                 n_words, n_removed, kept, sha = [], [], [], []
@@ -237,7 +241,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     n_removed.append(total - len(words))
                     kept.append(left)
                     sha.append(hashlib.sha256(left).hexdigest())
-                cols = [c for c, name in zip(part.columns, names, strict=True) if name not in ("_starts", "_ns")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha)], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha)], schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return restored(joined.mapInArrow(cut, schema), docs, ADDED)
