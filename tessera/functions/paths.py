@@ -9,10 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extension -> language.
-LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "md": "markdown", "html": "html", "css": "css", "json": "json", "yml": "yaml", "yaml": "yaml", "txt": "text"}
+LANGUAGES = {
+    "py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "c", "h": "c", "hpp": "cpp", "cs": "csharp", "php": "php", "rb": "ruby", "swift": "swift", "kt": "kotlin",
+    "md": "markdown", "txt": "text", "html": "html", "css": "css", "sql": "sql", "json": "json", "xml": "xml", "yaml": "yaml", "yml": "yaml", "toml": "toml",
+}
 #: Category -> substrings of the lower-cased path; the first category that has one wins.
 CATEGORIES = {"core": ["core", "src", "lib", "main"], "api": ["api", "endpoint", "route"], "models": ["model", "schema", "entity"], "services": ["service", "business", "logic"], "utils": ["util", "helper", "common"], "tests": ["test", "spec"], "config": ["config", "setting"], "docs": ["doc", "readme"]}
 
+#: What names say where no category does.
+NAMED = {"tests": "test_|_test|spec_|_spec", "config": r"\.conf|\.config|\.yaml|\.yml|\.json", "docs": r"\.md$|\.rst$|\.txt$"}
+
 
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
@@ -23,10 +29,13 @@ def language_of(path: Column, languages: Mapping[str, str] = LANGUAGES) -> Colum
 
 
 def category(path: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> Column:
+    """The first category with a part of it in the path; else, by the name, tests, config or docs; else other."""
     p, out = F.lower(path), None
     for name, parts in categories.items():
         hit = p.rlike("|".join(map(re.escape, parts)))
         out = F.when(hit, name) if out is None else out.when(hit, name)
+    for name, pattern in NAMED.items():
+        out = out.when(p.rlike(pattern), name)
     return out.otherwise("other")
 
 

@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 ACCENTED, PLAIN = "äçèéêíñóöü", "aceeeinoou"
-#: Intents in order of precedence.
-INTENTS = {"architectural": "architecture|structure|design|overview|organi[sz]", "implementation": "how does|implement|algorithm|works|code for", "usage": "how to|use|example|call", "debugging": "error|bug|fix|issue|debug|fail"}
+#: Intents in order of precedence, each with patterns between word boundaries, in lower case.
+INTENTS = {
+    "architectural": ["architecture|design|structure|overview|how.*work|organization", "system|module|component|relationship|dependency", "flow|process|pattern|framework", "where.*defined|where.*located|where.*find|location.*of", "which.*file|what.*file|file.*contain", r"what.*defined|what.*functions|what.*classes|what.*in.*\.py", r"cli\.py|main\.py|app\.py|server\.py"],
+    "implementation": ["implement|code|algorithm|function|method|class", "how.*implement|how.*code|how.*build", "detail|specific|actual|concrete"],
+    "usage": ["how.*use|how.*call|example|usage|tutorial", "getting started|quick start|guide", "api|interface|public"],
+    "debugging": ["error|bug|issue|problem|fix|debug", "why.*not|what.*wrong|troubleshoot"],
+}
+#: Names of symbols (camelCase or PascalCase, snake_case), of calls, and extensions of source files.
+SYMBOL, CALL, SOURCES = "^(?:[a-z][a-zA-Z0-9_]*[A-Z][a-zA-Z0-9_]*|[A-Z][a-zA-Z0-9_]*|[a-z][a-z0-9_]*_[a-z0-9_]*)$", "^[a-z][a-z0-9_]*$", "py|js|ts|java|cpp|c|h|go|rs|rb|php"
+#: A character of words, and white space, as the patterns of texts mean them.
+WORD, SPACE = r"\p{L}\p{N}_", r"\t-\r\x1c-\x20\x85\p{Z}"
 
 
 def tokens(text: Column) -> Column:
@@ -34,33 +43,47 @@ def tokens_div4(text: Column) -> Column:
 
 def tokens_generic(text: Column) -> Column:
     """Code characters / 2.5 + other characters / 4.2 + white space / 1.5, at least 1 unless empty."""
-    code = F.regexp_count(text, F.lit(r"[{}()\[\];:,.=<>!&|+*/%^~-]")).cast("double")
-    space = F.regexp_count(text, F.lit(r"[ \t\n\r]")).cast("double")
+    code = F.regexp_count(text, F.lit(r"[{}()\[\];,.:=+\-*/]")).cast("double")
+    space = F.regexp_count(text, F.lit(f"[{SPACE}]")).cast("double")
     other = F.length(text) - code - space
     return F.when(F.length(text) == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(code / 2.5 + other / 4.2 + space / 1.5).cast("long")))
 
 
-def truncate_to(text: Column, budget: int, marker: str = "...") -> Column:
-    """The longest prefix within the budget under length div 4, and a marker."""
-    return F.when(tokens_div4(text) <= budget, text).otherwise(F.concat(F.left(text, F.lit(4 * budget + 3)), F.lit(marker)))
+def truncate_to(text: Column, budget: int, keep_end: bool = False) -> Column:
+    """The longest prefix (or suffix) within the budget under length div 4, and a marker where something went."""
+    n = F.lit(4 * budget + 3)
+    cut = F.concat(F.lit("...[truncated]\n"), F.right(text, n)) if keep_end else F.concat(F.left(text, n), F.lit("\n[truncated]..."))
+    return F.when(tokens_div4(text) <= budget, text).otherwise(cut)
 
 
 def intent(text: Column) -> Column:
+    """The first of INTENTS with a pattern that the text holds, else general."""
     q, out = F.lower(text), None
-    for name, pattern in INTENTS.items():
-        out = F.when(q.rlike(pattern), name) if out is None else out.when(q.rlike(pattern), name)
+    for name, patterns in INTENTS.items():
+        hit = q.rlike("(?d)(?:^|[^" + WORD + "])(?:" + "|".join(patterns) + ")(?:$|[^" + WORD + "])")
+        out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("general")
 
 
+def complexity(text: Column, symbols: Column) -> Column:
+    """low, medium or high by the words and the symbols of a query."""
+    n = F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    return F.when((n > 20) | (F.size(symbols) > 4), "high").when((n > 10) | (F.size(symbols) > 2), "medium").otherwise("low")
+
+
 def query_symbols(text: Column) -> Column:
-    """camelCase, PascalCase, snake_case and call() names, sorted."""
-    patterns = [r"\b[a-z]+(?:[A-Z][a-z0-9]*)+\b", r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b", r"\b[a-z]+(?:_[a-z0-9]+)+\b", r"\b([A-Za-z_][A-Za-z0-9_]*)\("]
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1 if "(?" not in p else 0)) for p in patterns]
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
+    """Names that look like symbols or calls, sorted."""
+    words = F.filter(F.regexp_extract_all(text, F.lit(f"[{WORD}]+"), F.lit(0)), lambda x: x.rlike(SYMBOL))
+    calls = F.filter(F.regexp_extract_all(text, F.lit(rf"([{WORD}]+)\(\)"), F.lit(1)), lambda x: x.rlike(CALL))
+    return F.array_sort(F.array_distinct(F.concat(words, calls)))
 
 
 def query_files(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_/.-]+\.[a-z]{1,4}\b"), F.lit(0))))
+    """Words with an extension, and the extensions alone of paths to source files, sorted."""
+    paths = F.regexp_extract_all(text, F.lit(f"[{WORD}][{WORD}/.\\-]*"), F.lit(0))
+    ends = F.filter(F.transform(paths, lambda x: F.regexp_extract(x, rf"^.+\.({SOURCES})(?:$|[^{WORD}])", 1)), lambda x: x != "")
+    names = F.regexp_extract_all(text, F.lit(rf"[{WORD}][{WORD}.\-]*\.[{WORD}]+"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.concat(ends, names)))
 
 
 def is_external(link: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +18,54 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that are sent out at a time, and numbers that one step of a comparison holds.
+BLOCK, STEP = 10_000, 4_000_000
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", where: Column | None = None, skip_self: bool = True) -> DataFrame:
-    """query_id, id, distance, rank. queries: query_id, q; a stated set of queries against all rows, so they are broadcast."""
-    v = vectors if where is None else vectors.where(where)
-    d = v.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(F.broadcast(queries))
-    if skip_self:
-        d = d.where(F.col("id") != F.col("query_id"))
-    d = d.select("query_id", "id", F.round(distance(F.col("v"), F.col("q")), 6).alias("distance"))
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long"))
-    return d.where(F.col("rank") <= k)
+    """query_id, id, distance, rank: the exact k nearest of all rows for each query; ties go to the smaller id. queries: query_id, q.
+
+    A stated set of queries against all rows, in blocks of BLOCK. Each task keeps its k best a query, so that a query's
+    shuffle is k rows a task, however many rows there are.
+    """
+    v = (vectors if where is None else vectors.where(where)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
+    out, held = None, []
+
+    def add(block: list) -> DataFrame:
+        ids, q = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+        return v.mapInArrow(lambda batches: nearest(batches, *sent.value, k, skip_self), "query_id long, id long, distance double")
+
+    for row in queries.select("query_id", F.col("q").cast("array<double>")).where("q is not null").toLocalIterator():
+        held.append(row)
+        if len(held) == BLOCK:
+            out, held = add(held) if out is None else out.unionByName(add(held)), []
+    if held:
+        out = add(held) if out is None else out.unionByName(add(held))
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "query_id long, id long, distance double")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long"))
+    return out.where(F.col("rank") <= k)
+
+
+def nearest(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool) -> Iterator[pa.RecordBatch]:
+    """The k best rows of a task for each query."""
+    best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, v = np.asarray(batch.column(0)), np.stack(batch.column(1).to_numpy(zero_copy_only=False))
+        step = max(1, STEP // max(1, q.size))
+        for a in range(0, len(ids), step):
+            d = np.round(((q[:, None, :] - v[None, a : a + step]) ** 2).sum(axis=2), 6)
+            if skip_self:
+                d[query_ids[:, None] == ids[None, a : a + step]] = np.inf
+            d = np.concatenate([best_d, d], axis=1)
+            i = np.concatenate([best_i, np.broadcast_to(ids[a : a + step], (len(q), len(ids[a : a + step])))], axis=1)
+            order = np.lexsort((i, d), axis=1)[:, :k]
+            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+    ok = np.isfinite(best_d)
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, k).reshape(-1, k)[ok]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["query_id", "id", "distance"])
 
 
 def hash_embedding(text: str, size: int = 8) -> list[float]:

@@ -4,19 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def rrf(lists: Sequence[DataFrame], k: int = 60, n: int | None = None) -> DataFrame:
-    """id, score, sources. Each list: id, rank (from 1); their order is their priority."""
+    """query_id, id, score, source. Each list: query_id, id, rank (from 1); their order is their priority. The n best a query."""
     every = None
     for i, x in enumerate(lists):
-        x = x.select("id", "rank", F.lit(i).alias("src"))
+        x = x.select("query_id", "id", "rank", F.lit(i).alias("src"))
         every = x if every is None else every.unionByName(x)
-    out = every.groupBy("id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 6).alias("score"), F.min("src").cast("long").alias("source"))
-    out = out.orderBy(F.desc("score"), "id")
-    return out if n is None else out.limit(n)
+    out = every.groupBy("query_id", "id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 6).alias("score"), F.min("src").cast("long").alias("source"))
+    if n is None:
+        return out
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def first_ranks(hits: DataFrame, order: str, n: int) -> DataFrame:
+    """query_id, id, rank of the n first hits (query_id, id) of each query."""
+    w = Window.partitionBy("query_id").orderBy(order, "id")
+    return hits.select("query_id", "id", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= n)
+
+
+def hybrid(dense: DataFrame | None, texts: DataFrame, symbols: DataFrame, n: int) -> DataFrame:
+    """query_id, id, source, rank: the fused lists where there are vectors, else the texts and then the symbols."""
+    if dense is None:
+        return in_order([texts, symbols], n)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rrf([dense, texts, symbols], n=n).select("query_id", "id", "source", F.row_number().over(w).cast("long").alias("rank"))
+
+
+def in_order(lists: Sequence[DataFrame], n: int) -> DataFrame:
+    """query_id, id, source, rank: the lists one behind the other, cut to n a query (lexical search without vectors)."""
+    every = None
+    for i, x in enumerate(lists):
+        x = x.select("query_id", "id", F.col("rank").alias("r"), F.lit(i).cast("long").alias("source"))
+        every = x if every is None else every.unionByName(x)
+    w = Window.partitionBy("query_id").orderBy("source", "r")
+    return every.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n).drop("r")
 
 
 def example_score(kind: Column, content: Column, symbols: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .sizes import small_side
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -43,6 +44,56 @@ def bm25(rows: DataFrame, query: str, id_col: str, text_col: str, n: int = 50, w
     return hit.select("id", F.round(sum(parts[1:], parts[0]), 6).alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
 
+def search(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, n: int = 50, every: bool = True) -> DataFrame:
+    """query_id, id, score, rank: BM25 for a table of queries (query_id, text); rows with all terms, or with any.
+
+    Only the postings of the queries' terms leave the scan: the terms are joined to the words of a row inside its task.
+    """
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    t = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", "t", F.size("t").cast("long").alias("dl"))
+    whole = t.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl"))
+    p = t.select("id", "dl", F.explode("t").alias("term")).join(small_side(q.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    return ranked(p, whole, q, n, every)
+
+
+def ranked(p: DataFrame, whole: DataFrame, q: DataFrame, n: int, every: bool) -> DataFrame:
+    """The best n rows a query. p: id, dl, term, tf; whole: n_rows, avgdl; q: query_id, term."""
+    df = p.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("held"))
+    d = p.join(df, "term").join(F.broadcast(whole))  # one row
+    idf = F.greatest(F.ln((F.col("n_rows") - F.col("held") + 0.5) / (F.col("held") + 0.5)), F.lit(FLOOR))
+    d = d.select("term", "id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("part"))
+    hit = d.join(small_side(q), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("have"))
+    if every:
+        hit = hit.join(small_side(q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))), "query_id").where("have = terms")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return hit.select("query_id", "id", "score", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= n)
+
+
+BUCKETS = 64
+
+
+class Index:
+    """Postings and statistics as tables of a store, built once; a search reads the buckets of its terms only."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def build(self, rows: DataFrame, id_col: str, text_col: str) -> None:
+        p = postings(rows, id_col, text_col)
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+        p.withColumn("bucket", bucket).repartition(BUCKETS, "bucket").sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings")
+        t = rows.select(F.size(tokens(F.col(text_col))).alias("dl"))
+        t.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/whole")
+
+    def search(self, queries: DataFrame, n: int = 50, every: bool = True) -> DataFrame:
+        """As search(). The terms of the queries (at most a few thousand words) choose buckets and rows of the scan."""
+        q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        p = self.spark.read.parquet(f"{self.root}/postings")
+        terms = small_side(q.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")))
+        p = p.join(terms, ["bucket", "term"], "left_semi").select("id", "dl", "term", F.col("tf").cast("double").alias("tf"))
+        return ranked(p, self.spark.read.parquet(f"{self.root}/whole"), q, n, every)
+
+
 def equals(term: str):
     return lambda x: x == term
 
@@ -62,7 +113,7 @@ def bm25_phrase(rows: DataFrame, phrase: str, id_col: str, text_col: str, n: int
     d = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
     spaced = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))
     d = d.select("id", F.size("t").alias("dl"), F.regexp_count(spaced, F.lit(f"(?= {' '.join(words)} )")).cast("double").alias("tf"))
-    s = d.agg(F.count(F.lit(1)).cast("double").alias("N"), F.avg("dl").alias("avgdl"), F.sum((F.col("tf") > 0).cast("double")).alias("k"))
-    idf = F.greatest(F.ln((F.col("N") - F.col("k") + 0.5) / (F.col("k") + 0.5)), F.lit(FLOOR))
+    s = d.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl"), F.sum((F.col("tf") > 0).cast("double")).alias("k"))
+    idf = F.greatest(F.ln((F.col("n_rows") - F.col("k") + 0.5) / (F.col("k") + 0.5)), F.lit(FLOOR))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return d.where("tf > 0").join(F.broadcast(s)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,26 @@ def histogram(c: DataFrame) -> DataFrame:
 def quality_score(high_ratio: Column, n_cycles: Column, mean_deps: Column) -> Column:
     much = F.when(mean_deps > 5, F.least(5 * (mean_deps - 5), F.lit(20.0))).otherwise(0.0)
     return F.greatest(F.lit(0.0), 100 - 30 * high_ratio - F.least(10.0 * n_cycles, F.lit(30.0)) - much)
+
+
+def recommendations(high: Column, n_cycles: Column, coupled: Column) -> Column:
+    """Texts of the rules that fire: complex files, cycles, coupled files; one text where none does."""
+    n = lambda x: x.cast("string")
+    rules = F.array_compact(F.array(
+        F.when(high > 0, F.concat(F.lit("Consider refactoring "), n(high), F.lit(" high-complexity files"))),
+        F.when(n_cycles > 0, F.concat(F.lit("Break "), n(n_cycles), F.lit(" dependency cycles to improve maintainability"))),
+        F.when(coupled > 0, F.concat(F.lit("Reduce coupling in "), n(coupled), F.lit(" highly coupled files"))),
+    ))
+    return F.when(F.size(rules) > 0, rules).otherwise(F.array(F.lit("Code quality metrics look good! Keep up the good work.")))
+
+
+def scan_alerts(files: DataFrame, problems: Sequence[str], few: int = 5, many: int = 5000, large: int = 500) -> DataFrame:
+    """alert, what, n of a listing (dir: each file's directory): too few or many files, large directories, and directories
+    with a part that should have been excluded."""
+    d = files.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
+    a = files.agg(F.count(F.lit(1)).alias("n"))
+    alert = lambda df, name, what: df.select(F.lit(name).alias("alert"), what.alias("what"), "n")
+    out = alert(a.where((F.col("n") > 0) & (F.col("n") < few)), "few files", F.lit("")).unionByName(alert(a.where(F.col("n") > many), "many files", F.lit("")))
+    out = out.unionByName(alert(d.where(F.col("n") > large), "large directory", F.col("dir")))
+    parts = d.select(F.explode(F.array_distinct(F.split("dir", "/"))).alias("part"), "n").where(F.col("part").isin(*problems))
+    return out.unionByName(alert(parts.groupBy("part").agg(F.sum("n").alias("n")), "should be excluded", F.col("part")))

@@ -181,23 +181,6 @@ def module_breakdown(t):
     return complexity(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("language").alias("n_languages"), F.sum("complexity").alias("total"), F.round(F.avg("complexity"), 6).alias("mean"))
 
 
-SCORE = "WITH a AS (SELECT avg(CASE WHEN complexity > 10 THEN 1.0 ELSE 0.0 END) AS hr, avg(n_out) AS d FROM {cx})"
-
-
-@query("quality_score", SCORE + " SELECT round(greatest(0.0, 100 - 30 * hr - 30 - CASE WHEN d > 5 THEN least(5 * (d - 5), 20.0) ELSE 0 END), 6) AS score FROM a")
-def quality_score(t):
-    n = graph.cycles(edges(t)).agg(F.count(F.lit(1)).alias("n_cycles"))
-    a = complexity(t).agg(F.avg((F.col("complexity") > 10).cast("double")).alias("hr"), F.avg("n_out").alias("d")).join(F.broadcast(n))  # one row
-    return a.select(F.round(metrics.quality_score(F.col("hr"), F.col("n_cycles"), F.col("d")), 6).alias("score"))
-
-
-@query("recommendations", "WITH a AS (SELECT count(*) FILTER (complexity > 10) AS high, max(n_out) AS ce FROM {cx}), r AS (SELECT unnest([CASE WHEN high > 0 THEN 'split ' || high || ' complex files' END, CASE WHEN ce > 10 THEN 'reduce coupling' END]) AS text FROM a) SELECT text FROM r WHERE text IS NOT NULL UNION ALL SELECT 'nothing to do' WHERE NOT EXISTS (SELECT 1 FROM r WHERE text IS NOT NULL)")
-def recommendations(t):
-    a = complexity(t).agg(F.count_if(F.col("complexity") > 10).alias("high"), F.max("n_out").alias("ce"))
-    rules = F.array_compact(F.array(F.when(F.col("high") > 0, F.concat(F.lit("split "), F.col("high").cast("string"), F.lit(" complex files"))), F.when(F.col("ce") > 10, F.lit("reduce coupling"))))
-    return a.select(F.explode(F.when(F.size(rules) > 0, rules).otherwise(F.array(F.lit("nothing to do")))).alias("text"))
-
-
 @query("repo_overview", "SELECT count(*) AS n_files, count(DISTINCT source) AS n_modules, round(avg(complexity), 6) AS mean_complexity, CAST(sum(n_out) AS BIGINT) AS n_deps FROM {cx}")
 def repo_overview(t):
     return complexity(t).agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("source").alias("n_modules"), F.round(F.avg("complexity"), 6).alias("mean_complexity"), F.sum("n_out").alias("n_deps"))
@@ -224,23 +207,11 @@ def top_dirs(t):
     return files(t).groupBy(paths.directory(F.col("file_id")).alias("dir")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dir").limit(10)
 
 
-@query("top_exts", "SELECT 'txt' AS ext, count(*) AS n FROM {files}")
-def top_exts(t):
-    return files(t).groupBy(paths.suffix(F.col("file_id")).alias("ext")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ext").limit(5)
-
-
 @query("dir_counts", "SELECT dir, n FROM (SELECT regexp_replace(file_id, '/[^/]*$', '') AS dir, count(*) AS n FROM {files} GROUP BY 1) WHERE n > 1 ORDER BY dir LIMIT 10")
 def dir_counts(t):
     return files(t).groupBy(paths.directory(F.col("file_id")).alias("dir")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("dir").limit(10)
 
 
-@query("scan_alerts", "SELECT 'large directory' AS alert, source AS what FROM {files} GROUP BY source HAVING count(*) > 40 UNION ALL SELECT 'many files', CAST(count(*) AS VARCHAR) FROM {files} HAVING count(*) > 500")
-def scan_alerts(t):
-    f = files(t)
-    big = f.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n > 40").select(F.lit("large directory").alias("alert"), F.col("source").alias("what"))
-    return big.unionByName(f.agg(F.count(F.lit(1)).alias("n")).where("n > 500").select(F.lit("many files").alias("alert"), F.col("n").cast("string").alias("what")))
-
-
 @query("cost_estimate", "SELECT count(*) AS n_files, round(count(*) * 800 * 0.0001 / 1000, 6) AS cost FROM {files}")
 def cost_estimate(t):
     return files(t).agg(F.count(F.lit(1)).alias("n_files"), F.round(F.count(F.lit(1)) * 800 * 0.0001 / 1000, 6).alias("cost"))
@@ -306,55 +277,6 @@ def postings(t):
     return lexical.postings(chunks(t), "chunk_id", "content")
 
 
-KNN = "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 10 AND v.vec_id <> q.vec_id"
-
-
-def query_vectors(t) -> DataFrame:
-    """The stated set of queries: vectors 0 to 9."""
-    return t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-
-
-@query("knn_l2", "WITH d AS (" + KNN + "), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT * FROM r WHERE rank <= 10")
-def knn_l2(t):
-    return dense.knn(t.embeddings, query_vectors(t), 10)
-
-
-@query("knn_filtered", "WITH d AS (" + KNN + " AND v.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT * FROM r WHERE rank <= 5")
-def knn_filtered(t):
-    return dense.knn(t.embeddings, query_vectors(t), 5, where=F.col("label") == 3)
-
-
-@query("similar_files", "WITH d AS (" + KNN + "), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT query_id, id, rank FROM r WHERE rank <= 3")
-def similar_files(t):
-    return dense.knn(t.embeddings, query_vectors(t), 3).select("query_id", "id", "rank")
-
-
-LEX = "lx AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, len(list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), lambda x: x = 'the')) AS n, lang FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 50), dn AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM (" + KNN.replace("q.vec_id < 10", "q.vec_id = 0") + ") ORDER BY distance, id LIMIT 40)"
-RRF = "WITH " + LEX + ", u AS (SELECT id, rank, 0 AS src FROM dn UNION ALL SELECT id, rank, 1 FROM lx) SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, CAST(min(src) AS BIGINT) AS source FROM u GROUP BY id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 6) DESC, id LIMIT 20"
-
-
-def ranked_lists(t, where: str = "true") -> list[DataFrame]:
-    d = dense.knn(t.embeddings, t.embeddings.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 40).select("id", "rank")
-    n = F.size(F.filter(text.tokens(F.col("text")), lambda x: x == "the"))
-    best = t.documents.where(where).select(F.col("doc_id").alias("id"), n.alias("n")).where("n > 0").orderBy(F.desc("n"), "id").limit(50)
-    return [d, best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")).cast(LONG)).select("id", "rank")]  # 50 rows
-
-
-@query("rrf_fusion", RRF)
-def rrf_fusion(t):
-    return fusion.rrf(ranked_lists(t), n=20)
-
-
-@query("rrf_lang", RRF.replace("WHERE n > 0", "WHERE n > 0 AND lang = 'en'"))
-def rrf_lang(t):
-    return fusion.rrf(ranked_lists(t, "lang = 'en'"), n=20)
-
-
-@query("lexical_fallback", BM.replace("\nr AS", "\nr AS") + "SELECT id, 0 AS src FROM (SELECT id FROM r ORDER BY score DESC, id LIMIT 10)")
-def lexical_fallback(t):
-    return lexical.bm25(chunks(t), "public license", "chunk_id", "content", 10).select("id", F.lit(0).alias("src"))
-
-
 @query("symbol_to_chunk", "SELECT s.symbol_id, min_by(c.chunk_id, c.start_line) AS chunk_id FROM {symbols} s JOIN {chunks} c ON c.file_id = s.file_id AND s.line BETWEEN c.start_line AND c.end_line GROUP BY s.symbol_id")
 def symbol_to_chunk(t):
     return fusion.symbols_to_chunks(symbols(t), chunks(t))
@@ -376,29 +298,6 @@ def symbol_line(t):
     return symbols(t).select("symbol_id", F.expr(r"try_cast(regexp_extract(symbol_id, '::L(-?\\d+)$', 1) as bigint)").alias("line"))
 
 
-@query("query_intent", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'architecture|structure|design|overview|organi[sz]') THEN 'architectural' WHEN regexp_matches(lower(text), 'how does|implement|algorithm|works|code for') THEN 'implementation' WHEN regexp_matches(lower(text), 'how to|use|example|call') THEN 'usage' WHEN regexp_matches(lower(text), 'error|bug|fix|issue|debug|fail') THEN 'debugging' ELSE 'general' END AS intent FROM conversations")
-def query_intent(t):
-    return t.conversations.select("conv_id", "turn", text.intent(F.col("text")).alias("intent"))
-
-
-@query("query_symbols", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\\b[a-z]+(?:[A-Z][a-z0-9]*)+\\b'), regexp_extract_all(text, '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\\b')), list_concat(regexp_extract_all(text, '\\b[a-z]+(?:_[a-z0-9]+)+\\b'), regexp_extract_all(text, '\\b([A-Za-z_][A-Za-z0-9_]*)\\(', 1))))), ',') AS symbols FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def query_symbols(t):
-    c = t.conversations.where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return c.select("conv_id", "turn", F.array_join(text.query_symbols(F.col("text")), ",").alias("symbols"))
-
-
-@query("query_files", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_/.-]+\\.[a-z]{1,4}\\b'))), ',') AS files FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def query_files(t):
-    c = t.conversations.where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return c.select("conv_id", "turn", F.array_join(text.query_files(F.col("text")), ",").alias("files"))
-
-
-@query("prioritize", "SELECT chunk_id, CASE WHEN contains(lower(content), 'the') THEN 2 ELSE 0 END + CASE WHEN contains(lower(content), 'license') THEN 2 ELSE 0 END + 1 AS score FROM {chunks} ORDER BY score DESC, chunk_id LIMIT 50")
-def prioritize(t):
-    score = sum((F.when(F.lower("content").contains(s), 2).otherwise(0) for s in ("the", "license")), F.lit(1))
-    return chunks(t).select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(50)
-
-
 @query("budget_pack", "SELECT chunk_id FROM (SELECT chunk_id, sum(length(content) // 4) OVER (PARTITION BY file_id ORDER BY start_line ROWS UNBOUNDED PRECEDING) AS s FROM {chunks}) WHERE s <= 200")
 def budget_pack(t):
     return context.pack(chunks(t), text.tokens_div4(F.col("content")), 200, "file_id", "start_line").select("chunk_id")
@@ -410,22 +309,6 @@ def pack_priority(t):
     return context.pack_priority(items, 2000, "source")
 
 
-@query("relevant_modules", "SELECT DISTINCT f.file_id FROM {files} f JOIN {symbols} s ON s.file_id = f.file_id WHERE s.name IN ('The', 'And') ORDER BY 1 LIMIT 3")
-def relevant_modules(t):
-    return files(t).join(symbols(t).where(F.col("name").isin("The", "And")), "file_id", "left_semi").select("file_id").orderBy("file_id").limit(3)
-
-
-@query("symbol_category", "SELECT name, min_by(split_part(file_id, '/', 2), (file_id, line)) AS category FROM {symbols} WHERE name IN ('The', 'And') GROUP BY name")
-def symbol_category(t):
-    s = symbols(t).where(F.col("name").isin("The", "And")).groupBy("name").agg(F.min(F.struct("file_id", "line")).alias("m"))
-    return s.select("name", paths.parent(F.col("m.file_id")).alias("category"))
-
-
-@query("code_samples", "SELECT chunk_id, substr(content, 1, 500) AS sample FROM {chunks} WHERE contains(content, 'License') ORDER BY chunk_id LIMIT 3")
-def code_samples(t):
-    return chunks(t).where(F.col("content").contains("License")).orderBy("chunk_id").limit(3).select("chunk_id", F.left("content", F.lit(500)).alias("sample"))
-
-
 @query("doc_with_chunks", "SELECT file_id, count(*) AS n_chunks, string_agg(chunk_id, ',' ORDER BY start_line) AS chunk_ids FROM {chunks} GROUP BY file_id")
 def doc_with_chunks(t):
     c = chunks(t).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id"))).alias("c"))
@@ -491,11 +374,6 @@ def delete_file(t):
     return chunks(t).join(one(t, (3,), (4,), schema="doc_id long"), "doc_id", "left_anti").select("chunk_id")
 
 
-@query("ordered_distinct", "SELECT doc_id, array_to_string(list_transform(list_distinct_ordered, lambda x: x), ' ') AS words FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, string_split(text, ' ')[1:50] AS w FROM documents))")
-def ordered_distinct(t):
-    return t.documents.select("doc_id", F.array_join(F.array_distinct(F.slice(F.split("text", " "), 1, 50)), " ").alias("words"))
-
-
 @query("stale_cleanup", "SELECT count(*) FILTER (doc_id % 10 <> 1) AS kept, count(*) FILTER (doc_id % 10 = 1) AS removed FROM documents")
 def stale_cleanup(t):
     d, valid = t.documents.select("doc_id"), new(t).select("doc_id")
@@ -650,33 +528,3 @@ def followups(t):
 @query("usage_percent", "SELECT conv_id, round(100.0 * sum(length(text) // 4) / 8192::DOUBLE, 4) AS percent FROM conversations GROUP BY conv_id")
 def usage_percent(t):
     return t.conversations.groupBy("conv_id").agg(F.round(100.0 * F.sum(text.tokens_div4(F.col("text"))) / 8192, 4).alias("percent"))
-
-
-# --- evaluation
-
-CASES = "ex AS (SELECT b.item_id AS c, d.doc_id AS file FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ra AS (SELECT b.item_id AS c, d.doc_id AS file, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(length(d.text) - 10 * length(b.text)), d.doc_id) AS rank FROM benchmark b, documents d), rk AS (SELECT * FROM ra WHERE rank <= 100), fm AS (SELECT b.item_id AS c, min(rk.rank) AS rank FROM benchmark b LEFT JOIN ex ON ex.c = b.item_id LEFT JOIN rk ON rk.c = b.item_id AND rk.file = ex.file GROUP BY 1)"
-
-
-def matches(t) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ranked, expected, cases: the stated questions of the benchmark against all documents, 100 ranks a question."""
-    b = t.benchmark.select(F.col("item_id").alias("case"), F.col("text").alias("q"))
-    r = t.documents.select(F.col("doc_id").alias("file"), "text").join(F.broadcast(b))
-    w = Window.partitionBy("case").orderBy(F.abs(F.length("text") - 10 * F.length("q")), "file")
-    ranked = r.withColumn("rank", F.row_number().over(w).cast(LONG)).where("rank <= 100").select("case", "file", "rank")
-    return ranked, r.where(F.col("text").contains(F.col("q"))).select("case", "file"), b.select("case")
-
-
-@query("first_match", "WITH " + CASES + " SELECT c AS \"case\", rank FROM fm")
-def first_match(t):
-    return context.first_match(*matches(t))
-
-
-@query("recall_at_k", "WITH " + CASES + " SELECT count(*) AS total, count(rank) AS passed, round(coalesce(count(rank) / count(*)::DOUBLE, 0), 6) AS recall FROM fm")
-def recall_at_k(t):
-    return context.recall(context.first_match(*matches(t)))
-
-
-@query("distinct_topk", "WITH " + CASES + ", f AS (SELECT c, file % 7 AS file, min(rank) AS first FROM rk GROUP BY ALL), o AS (SELECT c AS \"case\", file, row_number() OVER (PARTITION BY c ORDER BY first) AS rank FROM f) SELECT * FROM o WHERE rank <= 3")
-def distinct_topk(t):
-    ranked = matches(t)[0].withColumn("file", F.col("file") % 7)
-    return context.distinct_files(ranked, 3)

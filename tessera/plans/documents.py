@@ -89,11 +89,6 @@ def filter_patterns(t):
     return files(t).where(F.col("file_id").startswith("src3/") & ~paths.ignored(F.col("file_id"), ["de/"])).select("file_id")
 
 
-@query("lang_of_ext", "SELECT file_id, CASE WHEN file_id LIKE '%.txt' THEN 'text' END AS detected FROM {files}")
-def lang_of_ext(t):
-    return files(t).select("file_id", paths.language_of(F.col("file_id")).alias("detected"))
-
-
 @query("exclude_parts", "SELECT file_id FROM {files} WHERE source NOT IN ('src4', 'src5')")
 def exclude_parts(t):
     return files(t).where(~F.arrays_overlap(F.split("file_id", "/"), F.array(F.lit("src4"), F.lit("src5")))).select("file_id")
@@ -137,12 +132,6 @@ def grep(f: DataFrame, where: Column) -> DataFrame:
     return d.select("file_id", (F.col("i") + 1).cast(LONG).alias("line_number"), F.trim("s").alias("line"))
 
 
-@query("json_probe", "SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events WHERE CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) > 50")
-def json_probe(t):
-    k = F.get_json_object("props", "$.k").cast(LONG)
-    return t.events.select("event_id", k.alias("k")).where("k > 50")
-
-
 @query("path_match", "SELECT file_id FROM {files} WHERE file_id = 'en/doc_1.txt' OR file_id LIKE '%/en/doc_1.txt'")
 def path_match(t):
     return files(t).where((F.col("file_id") == "en/doc_1.txt") | F.col("file_id").endswith("/en/doc_1.txt")).select("file_id")
@@ -153,12 +142,6 @@ def glob_match(t):
     return files(t).where(paths.fnmatch(F.col("file_id"), "src1[0-9]/*/doc_*5.txt")).select("file_id")
 
 
-@query("external_links", "SELECT page_id, count(*) AS n FROM {hrefs} WHERE contains(target, '://') OR starts_with(target, 'mailto:') OR starts_with(target, 'tel:') GROUP BY page_id")
-def external_links(t):
-    d = t.pages.select("page_id", F.explode(text.hrefs(F.col("html"))).alias("target"))
-    return d.where(text.is_external(F.col("target"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("extract_links", "SELECT page_id, target FROM {hrefs} WHERE NOT (contains(target, '://') OR starts_with(target, 'mailto:') OR starts_with(target, 'tel:') OR starts_with(target, '#'))")
 def extract_links(t):
     links = F.filter(text.hrefs(F.col("html")), lambda x: ~(text.is_external(x) | x.startswith("#")))
@@ -269,22 +252,6 @@ def make_ids(t):
     return files(t).select(paths.chunk_id(p, F.lit(1), F.col("line_count")).alias("chunk_id"), paths.symbol_id(p, F.lit("file"), F.col("doc_id").cast("string"), F.lit(1)).alias("symbol_id"))
 
 
-@query("module_category", "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'core|src|lib|main') THEN 'core' WHEN regexp_matches(lower(url), 'api|endpoint|route') THEN 'api' WHEN regexp_matches(lower(url), 'model|schema|entity') THEN 'models' WHEN regexp_matches(lower(url), 'service|business|logic') THEN 'services' WHEN regexp_matches(lower(url), 'util|helper|common') THEN 'utils' WHEN regexp_matches(lower(url), 'test|spec') THEN 'tests' WHEN regexp_matches(lower(url), 'config|setting') THEN 'config' WHEN regexp_matches(lower(url), 'doc|readme') THEN 'docs' ELSE 'other' END AS category FROM pages")
-def module_category(t):
-    return t.pages.select("page_id", paths.category(F.col("url")).alias("category"))
-
-
-@query("parent_dir", "SELECT file_id, language AS parent FROM {files}")
-def parent_dir(t):
-    return files(t).select("file_id", paths.parent(F.col("file_id")).alias("parent"))
-
-
-@query("codebase_type", "WITH c AS (SELECT language, count(*) AS n FROM {files} GROUP BY language) SELECT CASE WHEN count(*) > 3 THEN 'polyglot' WHEN max(n) > 100 THEN 'large' ELSE 'small' END AS kind FROM c")
-def codebase_type(t):
-    c = files(t).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-    return c.agg(F.when(F.count(F.lit(1)) > 3, "polyglot").when(F.max("n") > 100, "large").otherwise("small").alias("kind"))
-
-
 @query("flatten_meta", "SELECT file_id, CASE WHEN len(regexp_extract_all(text, 'CC BY[A-Z0-9. -]*')) = 0 THEN '[]' ELSE array_to_string(regexp_extract_all(text, 'CC BY[A-Z0-9. -]*'), ', ') END AS licences FROM {files}")
 def flatten_meta(t):
     a = F.regexp_extract_all(F.col("text"), F.lit("CC BY[A-Z0-9. -]*"), F.lit(0))
@@ -296,14 +263,6 @@ def tokens_div4(t):
     return files(t).select("file_id", text.tokens_div4(F.col("text")).alias("n"))
 
 
-GENERIC = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(c / 2.5::DOUBLE + (length(text) - c - w) / 4.2::DOUBLE + w / 1.5::DOUBLE) AS BIGINT)) END"
-
-
-@query("tokens_generic", "WITH k AS (SELECT file_id, text, CAST(len(regexp_extract_all(text, '[{{}}()\\[\\]:;,.=<>!&|+*/%^~-]')) AS DOUBLE) AS c, CAST(len(regexp_extract_all(text, '[ \\t\\n\\r]')) AS DOUBLE) AS w FROM {files}) SELECT file_id, CAST(".replace("{{}}", "\\{\\}") + GENERIC + " AS BIGINT) AS n FROM k")
-def tokens_generic(t):
-    return files(t).select("file_id", text.tokens_generic(F.col("text")).alias("n"))
-
-
 @query("budget_table", "SELECT mode, CAST(floor(0.8 * ctx * share) AS BIGINT) AS budget, model FROM (VALUES ('small', 8192), ('large', 128000)) m(model, ctx), (VALUES ('low', 0.3), ('medium', 0.6), ('high', 0.9)) s(mode, share)")
 def budget_table(t):
     m = t.spark.createDataFrame([("small", 8192), ("large", 128000)], "model string, ctx long")
@@ -311,11 +270,6 @@ def budget_table(t):
     return m.select("model", "ctx", F.explode(shares).alias("mode", "tenths")).select("mode", F.floor(8 * F.col("ctx") * F.col("tenths") / 100).cast(LONG).alias("budget"), "model")
 
 
-@query("truncate_budget", "SELECT file_id, CASE WHEN length(text) // 4 <= 20 THEN text ELSE substr(text, 1, 83) || '...' END AS cut FROM {files}")
-def truncate_budget(t):
-    return files(t).select("file_id", text.truncate_to(F.col("text"), 20).alias("cut"))
-
-
 @query("fits_budget", "SELECT file_id FROM {files} WHERE length(text) // 4 <= 100")
 def fits_budget(t):
     return files(t).where(text.tokens_div4(F.col("text")) <= 100).select("file_id")

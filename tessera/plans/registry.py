@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def scratch(self) -> str:
+        """A new folder in the shared one that the cluster names; only a local session may have none."""
+        folder = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not self.spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return f"{(folder or '/tmp/checkpoints/tessera').rstrip('/')}/plans-{uuid.uuid4().hex}"
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

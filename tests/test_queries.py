@@ -12,6 +12,10 @@ from .conftest import SF
 TABLES = "documents embeddings pages benchmark labels conversations events".split()
 
 
+#: Queries for a phrase that the smallest tables do not hold; over larger ones they give rows.
+EMPTY = {"bm25_chunks", "bm25_filtered", "bm25_phrase", "grep_lines", "grep_regex", "regex_extract"}
+
+
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
@@ -32,8 +36,8 @@ def test_query(spark, db, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     rows = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+    assert rows or name in EMPTY
     if name not in ORACLE:
-        assert rows
         return
     got = db.execute(ORACLE[name])
     names = [x[0] for x in got.description]
