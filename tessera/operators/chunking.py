@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +86,20 @@ def semantic(docs: DataFrame, most: int = 100, least: int = 10) -> DataFrame:
     return d.select("file_id", F.col("s").cast("long").alias("start_line"), end.cast("long").alias("end_line"), F.array_join(F.slice(lines(F.col("text")), F.col("s"), end - F.col("s") + 1), "\n").alias("content"))
 
 
+def pipeline(docs: DataFrame, by: Mapping[str, tuple[str, dict]], other: tuple[str, dict] = ("whole", {})) -> DataFrame:
+    """file_id, language, start_line, end_line, content, chunk_type: each language's files cut by its registered strategy, (name,
+    options); the files of other languages by `other`. An unknown strategy raises ValueError."""
+    out = None
+    for languages, (name, options) in [*(([k], v) for k, v in by.items()), (None, other)]:
+        if name not in CHUNKERS:
+            raise ValueError(f"no strategy {name!r}; there are {sorted(CHUNKERS)}")
+        mine = docs.where(F.col("language").isin(languages) if languages else ~F.coalesce(F.col("language"), F.lit("")).isin(*by))
+        cut = CHUNKERS[name](mine.select("file_id", "text"), **options)
+        cut = cut.select("file_id", "start_line", "end_line", "content", F.lit(name).alias("chunk_type"))
+        out = cut if out is None else out.unionByName(cut)
+    return out.join(docs.select("file_id", "language"), "file_id")
+
+
 def line_symbols(docs: DataFrame) -> DataFrame:
     """The first capitalised word of each line as a symbol: class on even lines, function on odd ones."""
     d = docs.select("file_id", F.posexplode(F.split("text", "\n")).alias("i", "s"))

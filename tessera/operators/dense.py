@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EMBEDDERS: dict[str, Callable[[str], list[float]]] = {}
+EMBEDDERS: dict[str, Callable[[list[str]], list]] = {}
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -68,23 +68,24 @@ def nearest(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, q: np.ndar
     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, k).reshape(-1, k)[ok]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["query_id", "id", "distance"])
 
 
-def hash_embedding(text: str, size: int = 8) -> list[float]:
-    """Deterministic vector of a text: bytes of SHA-256 on [-1, 1]."""
-    digest = hashlib.sha256(text.encode()).digest()
-    return [digest[i % 32] / 127.5 - 1 for i in range(size)]
+def hash_embedding(texts: list[str], size: int = 8) -> list[list[float]]:
+    """Deterministic vectors of texts: bytes of SHA-256 on [-1, 1]."""
+    digests = np.frombuffer(b"".join(hashlib.sha256(t.encode()).digest() for t in texts), np.uint8).reshape(len(texts), 32)
+    return list(digests[:, np.arange(size) % 32] / 127.5 - 1)
 
 
 EMBEDDERS["hash"] = hash_embedding
 
 
 def embed(df: DataFrame, text_col: str, name: str = "hash", out: str = "embedding") -> DataFrame:
-    """df with the vectors of a registered embedder, over Arrow batches; an unknown name raises ValueError."""
+    """df with the vectors of a registered embedder, which gets a batch of texts at a time (null as empty); an unknown name
+    raises ValueError."""
     if name not in EMBEDDERS:
         raise ValueError(f"no embedder {name!r}; there are {sorted(EMBEDDERS)}")
     f = EMBEDDERS[name]
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: f(t or ""))
+        return pd.Series(f(s.fillna("").tolist()) if len(s) else [], dtype=object)
 
     return df.withColumn(out, run(F.col(text_col)))

@@ -7,12 +7,21 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 SCHEMA = "file_id string, kind string, name string, start_line long, end_line long, parents array<string>, content string"
-JS = {"import": r"^\s*import\s.+?from\s+['\"].+?['\"]|require\(['\"].+?['\"]\)", "class": r"\bclass\s+(\w+)", "function": r"\bfunction\s+(\w+)|\bconst\s+(\w+)\s*=\s*(?:async\s*)?\("}
-JAVA = {"import": r"^\s*import\s+[\w.*]+;", "class": r"\b(?:class|interface)\s+(\w+)", "function": r"\b(?:public|private|protected)\s+[\w<>\[\]]+\s+(\w+)\s*\("}
-PATTERNS = {"javascript": JS, "typescript": JS, "java": JAVA}
+JS = {"import": r"^\s*import\s.+?from\s+['\"].+?['\"]|require\(['\"].+?['\"]\)", "class": r"\bclass\s+(\w+)", "function": r"\bfunction\s+(\w+)|\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"}
+TS = {**JS, "class": r"\b(?:class|interface)\s+(\w+)"}
+JAVA = {"import": r"^\s*import\s+[\w.*]+;", "class": r"\b(?:class|interface|enum)\s+(\w+)", "function": r"\b(?:public|private|protected)\s+(?:(?:static|final|abstract)\s+)*[\w<>\[\], ]+?\s+(\w+)\s*\("}
+C = {"import": r"^\s*#include\s+[<\"].+?[>\"]", "class": r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{", "function": r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;{)]*\)\s*\{"}
+CPP = {**C, "class": r"\b(?:class|struct)\s+(\w+)[^;{]*\{", "function": r"^\s*[A-Za-z_][\w\s*&:<>,]*?\b(\w+)\s*\([^;{)]*\)\s*(?:const\s*)?\{"}
+GO = {"import": r"^\s*import\s+(?:\([^)]*\)|\".+?\")", "class": r"^type\s+(\w+)\s+(?:struct|interface)", "function": r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\("}
+RUST = {"import": r"^\s*use\s+[^;]+;", "class": r"\b(?:struct|enum|trait|impl)\s+(\w+)", "function": r"\bfn\s+(\w+)"}
+RUBY = {"import": r"^\s*require(?:_relative)?\s+['\"].+?['\"]", "class": r"^\s*(?:class|module)\s+(\w+)", "function": r"^\s*def\s+(?:self\.)?(\w+[?!]?)"}
+PHP = {"import": r"^\s*use\s+[^;]+;", "class": r"\b(?:class|interface|trait)\s+(\w+)", "function": r"\bfunction\s+(\w+)\s*\("}
+CSHARP = {"import": r"^\s*using\s+[\w.]+;", "class": r"\b(?:class|interface|struct|record)\s+(\w+)", "function": r"\b(?:public|private|protected|internal)\s+(?:(?:static|async|override|virtual)\s+)*[\w<>\[\], ]+?\s+(\w+)\s*\("}
+PATTERNS = {"javascript": JS, "typescript": TS, "java": JAVA, "c": C, "cpp": CPP, "go": GO, "rust": RUST, "ruby": RUBY, "php": PHP, "csharp": CSHARP}
 
 
 def parse_python(text: str) -> list[tuple]:
@@ -36,16 +45,64 @@ def parse_python(text: str) -> list[tuple]:
     return rows
 
 
+def block_end(text: str, at: int) -> int:
+    """Where the block ends that opens behind a place: its closing brace, or the end of the line where none opens before a ;."""
+    i, depth = at, 0
+    while i < len(text):
+        c = text[i]
+        if c == "{":
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if not depth:
+                return i + 1
+        elif c == ";" and not depth:
+            break
+        i += 1
+    stop = text.find("\n", at)
+    return len(text) if stop < 0 else stop
+
+
+def ruby_end(text: str, at: int) -> int:
+    """The end of a block that is closed by an `end` at its own indent."""
+    begin = text.rfind("\n", 0, at) + 1
+    indent = re.match(r"[ \t]*", text[begin:]).group()
+    m = re.compile(rf"^{indent}end\b", re.M).search(text, at)
+    return m.end() if m else len(text)
+
+
 def parse_patterns(text: str, patterns: dict[str, str]) -> list[tuple]:
-    rows = []
+    """(kind, name, start, end, parents, content) in the order of the text; parents are the classes around, innermost first."""
+    found = []
     for kind, pattern in patterns.items():
         for m in re.finditer(pattern, text, re.M):
-            line = text.count("\n", 0, m.start()) + 1
+            at = m.start() + len(m.group()) - len(m.group().lstrip())
             name = next((g for g in m.groups() if g), m.group().strip())
-            rows.append((kind, name, line, line, [], m.group()))
+            end = m.end() if kind == "import" else ruby_end(text, at) if patterns is RUBY else block_end(text, at)
+            found.append((at, -end, kind, name))
+    rows, line = [], lambda i: text.count("\n", 0, i) + 1
+    around: list[tuple[int, str]] = []
+    for at, end, kind, name in sorted(found):
+        around = [x for x in around if x[0] >= -end]
+        parents = [x[1] for x in reversed(around)]
+        rows.append(("method" if kind == "function" and parents else kind, name, line(at), line(-end), parents, text[at:-end]))
+        if kind == "class":
+            around.append((-end, name))
     return rows
 
 
+def symbol_table(parsed: DataFrame) -> DataFrame:
+    """file_id, name, lines: all lines that define a name."""
+    d = parsed.where(F.col("kind").isin("class", "function", "method"))
+    return d.groupBy("file_id", "name").agg(F.sort_array(F.collect_list("start_line")).alias("lines"))
+
+
+def nodes_of(parsed: DataFrame, *kinds: str) -> DataFrame:
+    """The rows of some kinds with their place in the order of the text (outer ones first)."""
+    w = Window.partitionBy("file_id").orderBy("start_line", F.desc("end_line"), "name")
+    return parsed.where(F.col("kind").isin(*kinds)).withColumn("rank", F.row_number().over(w).cast("long"))
+
+
 def parse(docs: DataFrame) -> DataFrame:
     """docs (file_id, language, text) -> SCHEMA, and a module row for each text without a definition."""
 

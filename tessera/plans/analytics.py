@@ -122,15 +122,6 @@ def highly_coupled(t):
     return graph.degrees(edges(t)).select("file", (F.col("n_out") + F.col("n_in")).alias("n")).where("n > 2").orderBy(F.desc("n"), "file").limit(10)
 
 
-@query("import_edges")
-def import_edges(t):
-    from ..operators.docs import resolve_imports
-
-    modules = files(t).select(F.concat_ws(".", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("module"), "file_id")
-    imports = files(t).select(F.col("file_id").alias("source"), F.concat(F.lit("from "), F.col("source"), F.lit(" import doc_"), (F.col("doc_id") + 20).cast("string"), F.lit(", missing")).alias("raw_text"))
-    return resolve_imports(imports, modules)
-
-
 # --- statistics
 
 

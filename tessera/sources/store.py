@@ -14,13 +14,13 @@ TABLES = ("files", "chunks", "symbols", "imports", "edges", "embeddings", "docs"
 
 
 class Store:
-    """Parquet tables below a root; a table's current version is named in a small pointer table, so readers never see half a write."""
+    """Parquet tables below a root; a table's current version is named in a small pointer table, which is replaced by a rename, so readers see one whole version or another."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+        return f"{self.root}/{table}/current"
 
     def exists(self, table: str) -> bool:
         jvm = self.spark._jvm
@@ -33,9 +33,43 @@ class Store:
         return self.spark.read.parquet(self.spark.read.text(self._pointer(table)).first().value)
 
     def save(self, table: str, df: DataFrame) -> None:
+        """Write a new version, then name it in the pointer by one rename over the old one; older versions stay until clean()."""
         path = f"{self.root}/{table}/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        self.spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        new, now = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.pointer", self._pointer(table)))
+        out = new.getFileSystem(conf).create(new)
+        out.write(bytearray(path.encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, now, options)
+
+    def clean(self, table: str) -> None:
+        """Delete the versions of a table that are not the current one (no reader may still use them)."""
+        jvm, current = self.spark._jvm, self.spark.read.text(self._pointer(table)).first().value
+        home = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        fs = home.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for x in fs.listStatus(home):
+            if x.isDirectory() and x.getPath().getName() != current.rsplit("/", 1)[1]:
+                fs.delete(x.getPath(), True)
+
+    def append(self, table: str, rows: DataFrame, key: str) -> None:
+        """Add the rows whose key the table does not hold; of rows that repeat a key one is added."""
+        new = rows.dropDuplicates([key])
+        if self.exists(table):
+            old = self.load(table)
+            new = old.unionByName(new.join(old.select(key), key, "left_anti"))
+        self.save(table, new)
+
+    def clear(self, *tables: str) -> None:
+        """Empty tables of the same columns."""
+        for t in tables or TABLES:
+            if self.exists(t):
+                self.save(t, self.load(t).limit(0))
+
+    def load_or_empty(self, table: str, schema: str) -> DataFrame:
+        return self.load(table) if self.exists(table) else self.spark.createDataFrame([], schema)
 
     def replace_files(self, table: str, rows: DataFrame, owner: str = "file_id", owners: DataFrame | None = None) -> None:
         self.save(table, replace_by(self.load(table), rows, owner, owners) if self.exists(table) else rows)

@@ -106,3 +106,182 @@ def test_store_and_stream(spark, tmp_path):
 def test_diff(spark):
     a, b = (spark.createDataFrame(x, "k long, v string") for x in ([(1, "a"), (2, "b"), (3, None)], [(2, "c"), (3, None), (4, "d")]))
     assert {(r.k, r.status) for r in incremental.snapshot_diff(a, b, "k", "v").collect()} == {(1, "deleted"), (2, "changed"), (4, "new")}
+
+
+def test_embedder_gets_batches(spark):
+    seen = spark.sparkContext.accumulator(0)
+    dense.EMBEDDERS["length"] = lambda texts: (seen.add(1), [[float(len(t))] for t in texts])[1]
+    d = spark.createDataFrame([("ab",), ("",), ("abc",)], "t string").coalesce(1)
+    assert [r.embedding for r in dense.embed(d, "t", "length").collect()] == [[2.0], [0.0], [3.0]] and seen.value == 1
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    d = spark.createDataFrame([(i, [float(i % 7), float(i // 7)]) for i in range(60)] + [(99, None)], "vec_id long, embedding array<float>").repartition(3)
+    q = d.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    whole = sorted(map(tuple, dense.knn(d, q, 4).collect()))
+    monkeypatch.setattr(dense, "BLOCK", 2)
+    assert sorted(map(tuple, dense.knn(d, q, 4).collect())) == whole and len(whole) == 24
+    assert dense.knn(d, q.limit(0), 4).count() == 0
+
+
+def brute_semantic(body, most, least):
+    all_lines = body.split("\n")
+    n = len(all_lines) - (len(all_lines) > 1 and all_lines[-1] == "")
+    if n <= most:
+        return [(1, n)]
+    marks, before = [], None
+    for i, s in enumerate(all_lines):
+        if not s.strip(" "):
+            continue
+        indent, x = len(s) - len(s.lstrip(" ")), s.lstrip(" ")
+        if x.startswith(("def ", "class ", "async def ", "if __name__")) or (x.startswith("#") and len(s.strip(" ")) > 2) or (indent == 0 and before):
+            marks.append(i + 1)
+        before = indent
+    cuts = [1]
+    if len(marks) <= 1:
+        cuts = list(range(1, n + 1, most))
+    else:
+        for x in marks:
+            if x - cuts[-1] >= least:
+                cuts.append(x)
+    return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], n + 1], strict=True)]
+
+
+def test_semantic_chunks_against_a_loop(spark):
+    import random
+
+    r = random.Random(4)
+    line = lambda: r.choice(["def f():", "    x = 1", "# a comment", "class A:", "  y", "", "plain words", "#", "if __name__:"])
+    data = [(str(i), "\n".join(line() for _ in range(r.randint(1, 70))) + r.choice(["", "\n"])) for i in range(40)]
+    d = spark.createDataFrame(data, "file_id string, text string")
+    for most, least in ((20, 10), (5, 3), (100, 10)):
+        got = {}
+        for x in chunking.semantic(d, most, least).orderBy("file_id", "start_line").collect():
+            got.setdefault(x.file_id, []).append((x.start_line, x.end_line))
+        assert got == {f: brute_semantic(s, most, least) for f, s in data}
+
+
+def test_symbols_to_chunks_once_against_a_loop(spark):
+    import random
+
+    r = random.Random(6)
+    c = [("f%d" % f, "c%d.%d" % (f, k), a, a + r.randint(0, 20)) for f in range(6) for k in range(8) for a in [r.randint(1, 60)]]
+    h = [("f%d" % f, "s%d.%d" % (f, k), r.randint(1, 80), k) for f in range(6) for k in range(12)]
+    want = set()
+    for f in sorted({x[0] for x in h}):
+        taken = set()
+        for _, s, line, _ in sorted((x for x in h if x[0] == f), key=lambda x: x[3]):
+            free = [x for x in sorted((a, b, i) for g, i, a, b in c if g == f) if x[0] <= line <= x[1] and x[2] not in taken]
+            if free:
+                taken.add(free[0][2])
+                want.add((f, free[0][2], s))
+    got = fusion.symbols_to_chunks_once(spark.createDataFrame(h, "file_id string, symbol_id string, line long, rank long"), spark.createDataFrame(c, "file_id string, chunk_id string, start_line long, end_line long"))
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_pack_priority_against_a_loop(spark):
+    import random
+
+    r = random.Random(8)
+    items = [("g%d" % g, k, k, "x" * (4 * r.randint(1, 200))) for g in range(8) for k in range(12)]
+    want = {}
+    for g in {x[0] for x in items}:
+        left, taken, cut = 500, [], 0
+        for _, i, _, s in sorted((x for x in items if x[0] == g), key=lambda x: x[2]):
+            n = len(s) // 4
+            if left > 50 and n <= left:
+                taken, left = [*taken, i], left - n
+            elif left > 100 and n > left:
+                taken, cut, left = [*taken, i], left, 0
+        want[g] = (",".join(map(str, taken)), cut)
+    got = context.pack_priority(spark.createDataFrame(items, "g string, id long, rank long, text string"), 500, "g")
+    assert {x.g: (x.taken, x.cut) for x in got.collect()} == want
+
+
+def test_ordered_distinct_reads_whole_texts(spark):
+    from tessera.plans import QUERIES
+
+    from .conftest import SF
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.words for r in QUERIES["ordered_distinct"](spark, SF).collect()}
+    assert got == {i: " ".join(dict.fromkeys(s.split(" "))) for i, s in texts.items()}
+
+
+def test_answer_context(spark):
+    from tessera.plans import QUERIES
+
+    from .conftest import SF
+
+    rows = QUERIES["rag_context"](spark, SF).collect()
+    room, order = {}, {}
+    for r in rows:
+        room[r.query_id, r.section] = room.get((r.query_id, r.section), 0) + r.tokens
+        order.setdefault((r.query_id, r.section), []).append(r["rank"])
+    shares = {k: {**v, "chunks": 1 - sum(v.values())} for k, v in context.SHARES.items()}
+    intent = {r.query_id: r.intent for r in rows}
+    assert rows and all(n <= 2000 * shares[intent[q]][s] for (q, s), n in room.items())
+    assert {r.section for r in rows} >= {"overview", "symbols", "chunks", "modules"} and len(set(intent.values())) >= 4
+
+
+def test_git_changes_and_file_lists(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@x.org", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a").write_text("1")
+    (tmp_path / "b").write_text("1")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (tmp_path / "a").write_text("2")
+    (tmp_path / "b").unlink()
+    (tmp_path / "c").write_text("1")
+    git("add", "-A")
+    git("commit", "-qm", "two")
+    assert {tuple(r) for r in tree.git_changes(spark, str(tmp_path)).collect()} == {("a", "changed"), ("b", "deleted"), ("c", "new")}
+    with pytest.raises(RuntimeError):
+        tree.git_changes(spark, str(tmp_path), "no-such-commit")
+    assert {tuple(r) for r in tree.split_by_existence(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()} == {(str(tmp_path / "a"), "changed"), (str(tmp_path / "b"), "deleted")}
+
+
+def test_directory_into_a_store(spark, tmp_path):
+    from tessera.sources import ingest
+
+    for p, s in {"pkg/__init__.py": "", "pkg/a.py": "class A:\n    pass\n", "main.py": "from pkg import a\nimport pkg.b, os\n\ndef run():\n    pass\n", "pkg/b.py": "x = 1\n", "dist/z.py": "def no(): pass\n"}.items():
+        (tmp_path / "repo" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "repo" / p).write_text(s)
+    s = store.Store(spark, str(tmp_path / "store"))
+    ingest.ingest_directory(spark, str(tmp_path / "repo"), s, ["py"])
+    assert {tuple(r) for r in s.load("edges").collect()} == {("main.py", "pkg/a.py"), ("main.py", "pkg/b.py")}
+    assert {(r.file_id, r.name) for r in s.load("symbols").collect()} == {("pkg/a.py", "A"), ("main.py", "run")}
+    assert {r.file_id for r in s.load("files").collect()} == {"pkg/__init__.py", "pkg/a.py", "main.py", "pkg/b.py"}
+
+
+def test_usage_by_window_as_a_stream(spark, tmp_path):
+    feed = tmp_path / "events"
+    spark.createDataFrame([("a", "2024-01-01 00:10:00", 1.0), ("a", "2024-01-01 00:50:00", 2.0), ("b", "2024-01-01 01:10:00", 4.0), ("b", "2024-01-02 00:00:00", 8.0)], "provider string, ts string, cost double").selectExpr("provider", "cast(ts as timestamp) as ts", "cost").write.parquet(str(feed))
+    stream = spark.readStream.schema("provider string, ts timestamp, cost double").parquet(str(feed))
+    out = changes.usage_by_window(stream).writeStream.format("memory").queryName("usage_seen").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    out.awaitTermination(60)
+    assert {(r.provider, r.n, r.cost) for r in spark.table("usage_seen").collect()} == {("a", 2, 3.0), ("b", 1, 4.0), ("b", 1, 8.0)}
+
+
+@pytest.mark.parametrize("language,body,want", [
+    ("go", "import \"fmt\"\n\ntype A struct {\n  x int\n}\n\nfunc (a A) Run() {\n  return\n}\n", {("import", 1, 1), ("class", 3, 5), ("function", 7, 9)}),
+    ("rust", "use std::io;\nimpl A {\n  fn f() {\n  }\n}\n", {("import", 1, 1), ("class", 2, 5), ("method", 3, 4)}),
+    ("c", "#include <a.h>\nint f(int x) {\n  return x;\n}\n", {("import", 1, 1), ("function", 2, 4)}),
+    ("ruby", "require 'x'\nclass A\n  def f\n  end\nend\n", {("import", 1, 1), ("class", 2, 5), ("method", 3, 4)}),
+    ("csharp", "using System;\nclass A {\n  public int F() {\n  }\n}\n", {("import", 1, 1), ("class", 2, 5), ("method", 3, 4)}),
+    ("php", "use A;\nfunction f() {\n}\n", {("import", 1, 1), ("function", 2, 3)}),
+])
+def test_parse_other_languages(language, body, want):
+    assert {(r[0], r[2], r[3]) for r in parsing.parse_patterns(body, parsing.PATTERNS[language])} == want
+
+
+def test_templates(spark):
+    from tessera.operators import pages
+
+    with pytest.raises(ValueError):
+        pages.render("no such", x=F.lit(1))
+    with pytest.raises(ValueError):
+        pages.render("answer_question", question=F.lit("x"))
