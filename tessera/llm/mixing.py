@@ -36,6 +36,16 @@ def text_size(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)).cast("long"), F.lit(0).cast("long"))
 
 
+#: Bits of a key of the shuffled order.
+KEY_BITS = 60
+
+
+def shuffle_key(seed: int, doc: Column, source: Column, text: Column) -> Column:
+    """The place of a document in the shuffled order of its source: the first 60 bits of an MD5 sum."""
+    whole = F.concat_ws("|", F.lit(str(seed)), doc.cast("string"), source.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.left(F.md5(whole), F.lit(KEY_BITS // 4)), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes (source, source_size) with sid (rank by code point, null last) and target.
 
@@ -60,7 +70,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20240) -> DataFrame:
     """docs with size, source_size, target (their source's) and taken: the words that the mix takes, repeats counted."""
     own, (i, source, text) = shielded(docs, id_col, source_col, text_col)
-    key = F.xxhash64(F.lit(seed), F.col(i), F.coalesce(F.col(text), F.lit("")), F.col(source))
+    key = shuffle_key(seed, F.col(i), F.col(source), F.col(text))
     units = own.select(F.col(source).alias("source"), key.alias("key"), text_size(text).alias("size"))
     with scratch(docs.sparkSession) as keep:
         cut = small_side(keep(decide(materialize(units, "mix-units"), weights, share, most), "mix-cut"))
@@ -74,7 +84,7 @@ def decide(units: DataFrame, weights: Sequence[float], share: float, most: float
     """units (source, key, size) -> source, source_size, target, whole (passes taken in full), and of the pass on the cut
     edge (the key on it, null if the target is a number of whole passes) and part (the words that each row of it gives)."""
     bits = max(4, math.ceil(math.log2(units.count() + 1) / 2))
-    units = units.withColumn("range", F.shiftright("key", 64 - bits))
+    units = units.withColumn("range", F.shiftright("key", KEY_BITS - bits))
     ranges = materialize(units.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     words = F.floor(F.col("target") + 1e-6)

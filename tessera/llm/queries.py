@@ -85,4 +85,54 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+WORD = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+PLAIN = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op1_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {PLAIN} AS w FROM documents), b AS (SELECT DISTINCT item_id, {PLAIN} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hit AS (SELECT * FROM dw JOIN iw USING (n, k)), cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM hit WHERE item_id IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(l), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLE["op3_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {WORD} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM rep), each AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM each WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM cov) GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE["op8_mix_sources"] = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORD}) AS BIGINT) AS size, CAST('0x' || left(md5(concat_ws('|', '20240', CAST(doc_id AS VARCHAR), source, md5(coalesce(text, '')))), 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, ([3.0, 1.0, 2.0])[(sid - 1) % 3 + 1]::DOUBLE AS w FROM s), r AS (SELECT *, cap / w AS ratio FROM c),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT arg_min(level, (ratio, sid)) FROM l WHERE level <= ratio), ratio)) AS target FROM l),
+p AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS words, CASE WHEN source_size > 0 THEN CAST(floor(target + 1e-6) AS BIGINT) // source_size ELSE 0 END AS whole FROM t),
+q AS (SELECT d.*, p.source_size, p.target, p.whole, p.words - p.whole * p.source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY key) AS upto, sum(size) OVER (PARTITION BY d.source, key) AS own, count(*) OVER (PARTITION BY d.source, key) AS n FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(size * whole + CASE WHEN upto <= rest THEN size WHEN upto - own < rest THEN least(size, (rest - upto + own) // n) ELSE 0 END AS BIGINT) AS taken FROM q
+"""
+
+ORACLE["op9_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORD} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+c AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  CAST(word_chars > 12 * n_words OR word_chars < 2 * n_words AS INT) + CAST(n_symbols > 0.3::DOUBLE * n_words AS INT) + CAST(n_dup_lines > 0.3::DOUBLE * n_lines AS INT) AS soft FROM c),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed OR soft > 0 THEN 1 ELSE 0 END)::DOUBLE AS x FROM f GROUP BY source),
+m AS (SELECT count(*) AS k, sum(n) AS n, greatest(1e-6, least(1 - 1e-6, sum(x) / sum(n))) AS p, sum(x * x / n) - sum(x) * sum(x) / sum(n) AS spread, sum(n) - sum(n * n) / sum(n) AS room FROM h),
+v AS (SELECT p, least(greatest(CASE WHEN room > 0 THEN (spread - (k - 1) * p * (1 - p)) / room ELSE 0 END, p * (1 - p) / 1e4), p * (1 - p) / 2) AS between_ FROM m), e AS (SELECT p, p * (1 - p) / between_ - 1 AS mass FROM v),
+r AS (SELECT source, (x + p * mass) / (n + mass) AS rate FROM h, e)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND soft < CASE WHEN rate > 0.25 THEN 1 ELSE 2 END AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+"""
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_substring_dedup, op4_merkle_audit, op5_secret_scan, op6_pseudonyms, op7_line_dedup, op8_mix_sources, op9_quality_rules, op10_quality_classifier)}

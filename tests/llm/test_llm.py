@@ -254,7 +254,7 @@ def test_mixing_against_a_sort_of_all_words(spark):
     r = random.Random(11)
     data = [(i, " ".join("w" for _ in range(r.choice((0, 1, 7, 40, 300)))), r.choice(("a", "b", "c", "d", None))) for i in range(300)]
     d = spark.createDataFrame(data, "doc_id long, text string, source string")
-    key = {x.doc_id: x.k for x in d.select("doc_id", F.xxhash64(F.lit(20240), "doc_id", "text", "source").alias("k")).collect()}
+    key = {x.doc_id: x.k for x in d.select("doc_id", mixing.shuffle_key(20240, F.col("doc_id"), F.col("source"), F.col("text")).alias("k")).collect()}
     got = {x.doc_id: x for x in mixing.mix_sources(d).collect()}
     target, words = {x.source: x.target for x in got.values()}, []
     for s in target:
