@@ -361,7 +361,7 @@ def distinct_topk(t):
     return context.distinct_files(matches(t)[0].withColumn("file", F.col("file") % 7), 3)
 
 
-@query("ordered_distinct")
+@query("ordered_distinct", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), f AS (SELECT doc_id, x, min(i) AS i FROM w GROUP BY ALL) SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id")
 def ordered_distinct(t):
     return t.documents.select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
