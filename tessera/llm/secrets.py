@@ -1,14 +1,20 @@
 """Secret scan with a random forest over candidates, in DataFrame functions only.
 
 A candidate is a run of 16 or more of the characters that keys are written in, with its padding; a '=' before it or between
-a name and it is neither. Its features are its length, how often its characters change class, its shares of digits and
-vowels, how many of its three-letter pieces belong to words of the dictionary, the path, and the words before and after it
-(other candidates among them, such as a long name). A random forest, trained from labelled findings, says whether it is a secret; it
-is read off the fitted trees as one SQL expression, so that scoring is part of the scan and reads every text whole.
+a name and it is neither. Its features are its length, how often its characters change class, how surprising its letters
+follow one another (character transitions of the documents' own words), how much of it words of the documents cover
+(dictionary), its shares of digits and vowels, the path, and the words before and after it (other candidates among them,
+such as a long name). A random forest, trained from labelled findings, says whether it is a secret; it is read off the
+fitted trees as one SQL expression, so that scoring is part of the scan and reads every text whole.
+
+The dictionary and the transitions come from all documents: words are counted (a sum before the shuffle), and the pairs of
+letters in them, of which there are 27 * 27. The candidates' pieces are joined to the dictionary.
 
 Labelled findings: a table (candidate, before, after, path, label); at most `MOST_LABELS` rows are used for the fit, a
-documented bound. `labelled_findings` makes such a table by rule (keys, tokens and hashes in assignments against digests,
-identifiers, names, paths, long words, numbers, placeholders and running text) for use where no reviewed findings exist.
+documented bound. Where no reviewed findings exist, `labelled_findings` makes such a table by rule and `mined_findings` adds
+what the documents themselves show: their long words, numbers and digests are no secrets, forms that issuers give to their
+keys are. Secrets stand behind any names there and some of the others behind names of secrets, so that the label does not
+follow from one feature.
 
 Defined cases: null texts have no candidates; null paths count as empty; rows that repeat are scanned each on its own; texts
 of any length are read whole; an empty table gives an empty result. Columns of the input named like a result column are
@@ -17,32 +23,74 @@ replaced, any other names do no harm.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import restored, shielded
+from .common import materialize, restored, shielded
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 AROUND = 48  # three candidates at most
 KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z2-7]{16}$|gh[opsur]_[A-Za-z0-9]{20}|(?:sk|pk|rk)[_-](?:live|test)[_-])"  # forms that issuers give to their keys
 MOST_LABELS = 20_000
-FEATURES = ["length", "transitions", "digits", "vowels", "known", "hex", "distinct", "dictionary", "assigned", "quoted", "keyword", "harmless", "test_path"]
-#: Frequent three-letter pieces of English, German, French and Spanish words.
-PIECES = "the|and|ing|ion|tio|ent|her|for|tha|nth|int|ere|ter|est|ers|ati|hat|ate|all|eth|hes|ver|his|oft|ith|fth|sth|oth|res|ont|ein|ich|nde|die|und|der|che|end|gen|sch|cht|den|hen|les|des|que|ait|lle|ont|eur|ons|par|men|con|est|ado|ara|aci|ión|nte|tra|pro|sta"
+MOST_MINED = 2_000  # of each kind
+FEATURES = ["length", "switches", "surprise", "dictionary", "digits", "vowels", "known", "hex", "distinct", "assigned", "quoted", "keyword", "harmless", "test_path"]
+#: A word of a text that is not part of a longer run; letters but a to z are one class in the transitions.
+ORDINARY = r"(?<![\p{L}0-9_/+=-])\p{L}{2,}+(?![\p{L}0-9_/+=-])"
+LETTERS = 27
+FREQUENT = 3
+
+
+def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
+    """word, n: the words of all texts, in lower case."""
+    words = F.regexp_extract_all(F.col(text_col), F.lit(ORDINARY), F.lit(0))
+    counted = docs.select(F.explode(words).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counted, "secret-words")
+
+
+def letter(text: Column, at: Column) -> Column:
+    """0 to 25 for a to z, else 26."""
+    c = F.ascii(F.substr(text, at, F.lit(1)))
+    return F.when((c >= 97) & (c <= 122), c - 97).otherwise(LETTERS - 1)
 
 
-def features(candidate: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
+def transitions(words: DataFrame) -> list[float]:
+    """-log2 of the probability of a letter after another, LETTERS * LETTERS numbers. words: word, n."""
+    at = F.explode(F.sequence(F.lit(1), F.length("word") - 1))
+    pairs = words.where(F.length("word") > 1).select("word", "n", at.alias("i"))
+    pairs = pairs.select((letter(F.col("word"), F.col("i")) * LETTERS + letter(F.col("word"), F.col("i") + 1)).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    n = [1.0] * (LETTERS * LETTERS)
+    for r in pairs.collect():  # at most LETTERS * LETTERS rows
+        n[r.pair] += r.n
+    return [math.log2(sum(n[i - i % LETTERS : i - i % LETTERS + LETTERS]) / x) for i, x in enumerate(n)]
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """found (_row, candidate) with covered: how many of its characters are in letter runs that are frequent words."""
+    piece = F.explode(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0)))
+    pieces = found.select("_row", piece.alias("piece")).select("_row", F.lower("piece").alias("piece"))
+    known = words.where((F.col("n") >= FREQUENT) & (F.length("word") > 2)).select("word")
+    n = pieces.join(known, F.col("piece") == F.col("word")).groupBy("_row").agg(F.sum(F.length("piece")).alias("covered"))
+    return found.join(n.withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+
+
+def features(candidate: Column, before: Column, after: Column, path: Column, cover: Column, follow: list[float]) -> dict[str, Column]:
     n = F.greatest(F.length(candidate), F.lit(1)).cast("double")
     last = F.lower(F.regexp_extract(before, r"([A-Za-z_]+)[^A-Za-z]*$", 1))
+    table, low = F.array(*map(F.lit, follow)), F.lower(candidate)
+    steps = F.sequence(F.lit(1), F.greatest(F.length(candidate) - 1, F.lit(1)))
+    surprise = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(table, letter(low, i) * LETTERS + letter(low, i + 1)))
     return {
         "length": n,
-        "transitions": F.regexp_count(candidate, F.lit(r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])")) / n,
+        "switches": F.regexp_count(candidate, F.lit(r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])")) / n,
+        "surprise": surprise / n,
+        "dictionary": cover / n,
         "digits": F.regexp_count(candidate, F.lit("[0-9]")) / n,
         "vowels": F.regexp_count(candidate, F.lit("[AEIOUaeiou]")) / n,
         "known": candidate.rlike(KNOWN).cast("double"),
         "hex": candidate.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / n,
-        "dictionary": 3 * F.regexp_count(F.lower(candidate), F.lit(PIECES)) / n,
         "assigned": before.rlike(r"[:=]\s*[\"'`]?$").cast("double"),
         "quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double"),
         "keyword": last.rlike("token|secret|passw|pwd|key|auth|cred|bearer|signature").cast("double"),
@@ -63,26 +111,40 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     issued = F.concat(F.lit("AKIA"), F.substr(F.translate(F.upper(F.when(i % 20 == 6, letters).otherwise(base)), "0189", "XQJH"), F.lit(1), F.lit(16)))
     keyed = F.when(i % 10 == 6, issued).when(i % 10 == 8, F.substr(letters, F.lit(1), pick(20, 24, 32, 36, 40, 43))).when(i % 3 == 0, mixed).otherwise(hexes)
     name = pick("token", "api_key", "secret", "password", "auth_token", "client_secret", "access_key", "signing_key")
-    good = F.struct(keyed.alias("candidate"), F.concat(F.lit("words then "), name, pick(' = "', ": '", "=", ' := "', ": ")).alias("before"), pick('" and', "'", " then", '",').alias("after"), pick("src1", "app/config.py", "deploy/env", "notes.txt").alias("path"))
+    other = pick("conn", "value", "login", "x", "DSN")  # one secret in five that is no bare hexadecimal number stands behind such a name
+    given = F.when((i % 5 == 3) & ~keyed.rlike("^[0-9a-f]+$"), other).otherwise(name)
+    good = F.struct(keyed.alias("candidate"), F.concat(F.lit("words then "), given, pick(' = "', ": '", "=", ' := "', ": ")).alias("before"), pick('" and', "'", " then", '",').alias("after"), pick("src1", "app/config.py", "deploy/env", "notes.txt").alias("path"))
     number = F.substr(F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10), F.lit(1), F.lit(16))
     word = F.concat(pick("retention", "condition", "interests", "versichern"), pick("_station_", "-the-", "enting", "ation"), i.cast("string"), pick("_final", "-version", "ment"))
     parts = [pick("the", "condition", "station", "versch", "heit", "internal", "public", "entre", "main", "source", "default"), pick("ening", "lichkeit", "handler", "ation", "config", "ment", "value", "client", "lecontre", "token", "secret", "access", "name"), pick("erung", "tion", "password", "key", "service", "elle", "file")]
     joined = [F.concat_ws(sep, *parts, *parts[1:]) for sep in ("", "_", "-", "/")]
     names = F.when(i % 3 == 0, F.upper(joined[1])).when(i % 7 == 0, F.concat(*(F.initcap(x) for x in [*parts, *parts[1:]]))).otherwise(F.element_at(F.array(*joined), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int")))
     plain = F.when(i % 10 == 3, names).when(i % 5 == 1, number).when(i % 5 == 2, word).when(i % 5 == 3, F.concat(F.lit("EXAMPLE0000000"), i.cast("string"), F.lit("xxxxxx"))).otherwise(hexes)
-    said = F.when((i % 10 == 3) & (i % 4 == 1), F.concat(name, pick("=", ' = "', ": "))).when(i % 5 == 4, pick("sha256: ", 'integrity = "', "commit ", "uuid=", 'checksum: "')).otherwise(pick("running text with ", "called ", "see the ", 'value = "', "order number "))
+    said = F.when((i % 10 == 3) & (i % 4 == 1) | ~i.cast("string").rlike("[49]$") & (F.pmod(F.xxhash64("id"), F.lit(5)) == 1), F.concat(name, pick("=", ' = "', ": "))).when(i % 5 == 4, pick("sha256: ", 'integrity = "', "commit ", "uuid=", 'checksum: "')).otherwise(pick("running text with ", "called ", "see the ", 'value = "', "order number "))
     bad = F.struct(plain.alias("candidate"), said.alias("before"), pick(" and", '"', ",", ".").alias("after"), pick("src2", "tests/data.py", "package-lock", "docs/example.md").alias("path"))
     rows = spark.range(0, n, 1, 4)
     return rows.select(F.when(i % 2 == 0, good).otherwise(bad).alias("x"), (1 - i % 2).cast("double").alias("label")).select("x.*", "label")
 
 
-def forest(labelled: DataFrame, trees: int = 12, depth: int = 5, seed: int = 5) -> list:
+def mined_findings(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(candidate, before, after, path, label) that the documents show: long words of theirs, numbers and named digests among
+    the candidates (found) are no secrets, keys in an issuer's form are. At most MOST_MINED of each."""
+    some = lambda df, label: df.orderBy(F.xxhash64("candidate", "before"), "candidate", "before").limit(MOST_MINED).select("candidate", "before", "after", F.lit("").alias("path"), F.lit(label).alias("label"))
+    long = words.where((F.length("word") >= 16) & F.col("word").rlike("^[a-z]+$")).select(F.col("word").alias("candidate"), F.lit("in the words ").alias("before"), F.lit(", and").alias("after"))
+    known = F.col("candidate").rlike(KNOWN)
+    number = F.col("candidate").rlike("^[0-9]+$") | F.lower("before").rlike("(?:sha[0-9]*|md5|commit|checksum|digest|uuid)[^A-Za-z]*$")
+    return some(long, 0.0).unionByName(some(found.where(number & ~known), 0.0)).unionByName(some(found.where(known), 1.0))
+
+
+def forest(labelled: DataFrame, words: DataFrame, follow: list[float], trees: int = 16, depth: int = 6, seed: int = 5) -> list:
     """Fitted trees as nested (feature, threshold, left, right) with leaves p(secret)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    f = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
-    rows = labelled.limit(MOST_LABELS).select(*(f[k].cast("double").alias(k) for k in FEATURES), "label")
+    rows = labelled.orderBy(F.xxhash64("candidate", "before", "after"), "candidate", "before", "after").limit(MOST_LABELS).withColumn("_row", F.monotonically_increasing_id())
+    rows = covered(materialize(rows, "secret-labels"), words)
+    f = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), F.col("covered"), follow)
+    rows = rows.select(*(f[k].cast("double").alias(k) for k in FEATURES), "label")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
@@ -123,9 +185,15 @@ def scan(docs: DataFrame, path_col: str = "source", text_col: str = "text", labe
     """docs' other columns, at, candidate, before, after, score and is_secret: a row a candidate."""
     added = [*ADDED, "score", "is_secret"]
     own, (path, t) = shielded(docs, path_col, text_col)
-    trees = forest(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    found = candidates(own, t)
-    f = features(F.col("candidate"), F.col("before"), F.col("after"), F.col(path))
-    found = found.select("*", *(f[k].cast("double").alias(f"_f_{k}") for k in FEATURES))
+    found = materialize(candidates(own, t).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
+    words = dictionary(own, t)
+    follow = transitions(words)
+    if labelled is None:
+        labelled = labelled_findings(docs.sparkSession).unionByName(mined_findings(found, words))
+    trees = forest(labelled, words, follow)
+    found = covered(found, words)
+    f = features(F.col("candidate"), F.col("before"), F.col("after"), F.col(path), F.col("covered"), follow)
+    # written, since the optimizer would put a feature's expression in the place of each of its uses in the trees
+    found = materialize(found.select("*", *(f[k].cast("double").alias(f"_f_{k}") for k in FEATURES)), "secret-features")
     found = found.withColumn("score", F.round(probability(trees, {k: F.col(f"_f_{k}") for k in FEATURES}), 6))
     return restored(found.withColumn("is_secret", F.col("score") >= least), docs, added, t)

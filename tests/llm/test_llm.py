@@ -333,25 +333,34 @@ def test_secrets_in_assignments_without_quotes(spark):
 
 def test_secret_forest_on_held_out_findings(spark):
     rows = secrets.labelled_findings(spark, 3000)
+    words = secrets.dictionary(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "text")
+    follow = secrets.transitions(words)
     odd = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
-    trees = secrets.forest(rows.where(~odd))
-    f = secrets.features(*(F.col(c) for c in ("candidate", "before", "after", "path")))
-    right = rows.where(odd).select(((secrets.probability(trees, f) >= 0.5).cast("double") == F.col("label")).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
-    assert right > 0.97
-
-
-def test_perplexity_matches_a_plain_model(spark):
-    train = ["abab abba", "abba baab ab", "bab"]
-    kn = perplexity.model(spark.createDataFrame([("en", t) for t in train], "lang string, text string"))
-    one, many = perplexity.shards_of(kn), perplexity.shards_of(kn, 20)
-    assert len(one) == 1 and len(many) > 1
-    d = spark.createDataFrame([(1, "en", "abba"), (2, "en", "zzz"), (3, "de", "abba"), (4, "en", None)], "doc_id long, lang string, text string")
-    a, b = ({r.doc_id: (round(r._nll, 4), r._n) for r in perplexity.score(d, s, "text", "lang").collect()} for s in (one, many))
-    assert a == b and a[1][0] < a[2][0] * 4 / 3 and a[4] == (0.0, 0)
-    import numpy as np
-    grams = perplexity.packed([b"abba"])[0]
-    p = np.exp(one[0].value.scores("en", (grams[2] & ~np.int64(4095)) | np.arange(4096)))
-    assert abs(p.sum() - 1) < 1e-3  # probabilities after a context sum to one
+    trees = secrets.forest(rows.where(~odd), words, follow)
+    held = secrets.covered(secrets.materialize(rows.where(odd).withColumn("_row", F.monotonically_increasing_id()), "held"), words)
+    f = secrets.features(*(F.col(c) for c in ("candidate", "before", "after", "path", "covered")), follow)
+    said = held.select((secrets.probability(trees, f) >= 0.5).alias("said"), "label", f["keyword"].alias("keyword")).collect()
+    assert sum(r.said == (r.label > 0.5) for r in said) > 0.95 * len(said)
+    assert sum((r.keyword > 0.5) == (r.label > 0.5) for r in said) < 0.9 * len(said)  # no feature gives the label away
+
+
+def test_secrets_planted_in_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = collections.Counter((r.doc_id, x) for r in d.collect() for x in re.findall(r'token = "([0-9a-f]{40})"', r.text))
+    got = collections.Counter((r.doc_id, r.candidate) for r in secrets.scan(d).where("is_secret").collect())
+    right = sum((planted & got).values())
+    assert planted and right == sum(planted.values()) and right >= 0.95 * sum(got.values())
+
+
+def test_transitions_and_dictionary(spark):
+    words = secrets.dictionary(spark.createDataFrame([("Abc abc, ABC x-abc /abc abcd2 Über über",), (None,), ("",)], "text string"), "text")
+    assert {r.word: r.n for r in words.collect()} == {"abc": 3, "über": 2}
+    t = secrets.transitions(words)
+    ab, count = 0 * 27 + 1, {(0, 1): 3, (1, 2): 3, (26, 1): 2, (1, 4): 2, (4, 17): 2}
+    total = {a: 27 + sum(n for (x, _), n in count.items() if x == a) for a in range(27)}
+    assert t == pytest.approx([math.log2(total[i // 27] / (1 + count.get((i // 27, i % 27), 0))) for i in range(729)]) and t[ab] < t[5]
+    c = spark.createDataFrame([(1, "abcAbc_2xyz"), (2, "0123")], "_row long, candidate string")
+    assert {r._row: r.covered for r in secrets.covered(c, words).collect()} == {1: 6, 2: 0}
 
 
 def plain_kneser_ney(train):
