@@ -181,6 +181,16 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return restored(one, docs, ADDED, t)
 
 
+def scored(found: DataFrame, path: Column, trees: list, follow: list[float]) -> DataFrame:
+    """found (candidate, before, after, covered) with its features as _f_... and score.
+
+    The features are written, since the optimizer would put a feature's expression in the place of each use in the trees.
+    """
+    f = features(F.col("candidate"), F.col("before"), F.col("after"), path, F.col("covered"), follow)
+    found = materialize(found.select("*", *(f[k].cast("double").alias(f"_f_{k}") for k in FEATURES)), "secret-features")
+    return found.withColumn("score", F.round(probability(trees, {k: F.col(f"_f_{k}") for k in FEATURES}), 6))
+
+
 def scan(docs: DataFrame, path_col: str = "source", text_col: str = "text", labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """docs' other columns, at, candidate, before, after, score and is_secret: a row a candidate."""
     added = [*ADDED, "score", "is_secret"]
@@ -191,9 +201,5 @@ def scan(docs: DataFrame, path_col: str = "source", text_col: str = "text", labe
     if labelled is None:
         labelled = labelled_findings(docs.sparkSession).unionByName(mined_findings(found, words))
     trees = forest(labelled, words, follow)
-    found = covered(found, words)
-    f = features(F.col("candidate"), F.col("before"), F.col("after"), F.col(path), F.col("covered"), follow)
-    # written, since the optimizer would put a feature's expression in the place of each of its uses in the trees
-    found = materialize(found.select("*", *(f[k].cast("double").alias(f"_f_{k}") for k in FEATURES)), "secret-features")
-    found = found.withColumn("score", F.round(probability(trees, {k: F.col(f"_f_{k}") for k in FEATURES}), 6))
+    found = scored(covered(found, words), F.col(path), trees, follow)
     return restored(found.withColumn("is_secret", F.col("score") >= least), docs, added, t)

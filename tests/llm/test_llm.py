@@ -338,8 +338,7 @@ def test_secret_forest_on_held_out_findings(spark):
     odd = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
     trees = secrets.forest(rows.where(~odd), words, follow)
     held = secrets.covered(secrets.materialize(rows.where(odd).withColumn("_row", F.monotonically_increasing_id()), "held"), words)
-    f = secrets.features(*(F.col(c) for c in ("candidate", "before", "after", "path", "covered")), follow)
-    said = held.select((secrets.probability(trees, f) >= 0.5).alias("said"), "label", f["keyword"].alias("keyword")).collect()
+    said = secrets.scored(held, F.col("path"), trees, follow).select((F.col("score") >= 0.5).alias("said"), "label", F.col("_f_keyword").alias("keyword")).collect()
     assert sum(r.said == (r.label > 0.5) for r in said) > 0.95 * len(said)
     assert sum((r.keyword > 0.5) == (r.label > 0.5) for r in said) < 0.9 * len(said)  # no feature gives the label away
 
