@@ -103,9 +103,10 @@ def strip_blocks(text: Column, tag: str = "think") -> Column:
     return F.ltrim(F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>\s*", ""))
 
 
-def list_and_more(items: Column, most: int = 10) -> Column:
+def list_and_more(items: Column, n: Column, most: int = 10) -> Column:
+    """A list of the first items, and how many of the n there are beside them."""
     shown = F.array_join(F.transform(F.slice(items, 1, most), lambda x: F.concat(F.lit("- "), x)), "\n")
-    return F.concat(shown, F.when(F.size(items) > most, F.concat(F.lit("\n- ... and "), (F.size(items) - most).cast("string"), F.lit(" more"))).otherwise(""))
+    return F.concat(shown, F.when(n > most, F.concat(F.lit("\n- ... and "), (n - most).cast("string"), F.lit(" more"))).otherwise(""))
 
 
 def header(parts: Sequence[Column]) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import context, dense, fusion, graph, incremental, lexical, metrics, usage
+from ..operators import context, fusion, graph, incremental, lexical, metrics, usage
+from ..operators.sizes import small_side
 from .documents import chunks, files, symbols
 from .registry import query
 
@@ -141,9 +142,11 @@ def file_summary(t):
     return complexity(t).join(s, "file_id", "left").fillna(0, ["n_classes", "n_functions"]).select("file_id", "n_classes", "n_functions", F.col("n_out").alias("n_deps"), "complexity")
 
 
-@query("module_overview", "SELECT source AS category, string_agg(file_id, ',' ORDER BY file_id) AS files FROM {files} GROUP BY source")
+@query("module_overview", "SELECT source AS category, file_id, count(*) OVER (PARTITION BY source) AS n_files FROM {files}")
 def module_overview(t):
-    return files(t).groupBy(F.col("source").alias("category")).agg(F.array_join(F.sort_array(F.collect_list("file_id")), ",").alias("files"))
+    """A row a file, with the number of files of its module: no module's files are gathered in one place."""
+    f = files(t).select(F.col("source").alias("category"), "file_id")
+    return f.join(small_side(f.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"))), "category")
 
 
 @query("complexity_agg", "SELECT count(*) AS n, round(avg(complexity), 6) AS mean, max(complexity) AS most, min(complexity) AS least, CAST(count(*) FILTER (complexity > 10) AS BIGINT) AS high FROM {cx}")
@@ -220,8 +223,9 @@ def analyze_groups(t):
 
 @query("module_context", "WITH s AS (SELECT DISTINCT split_part(file_id, '/', 1) AS source, name FROM {symbols} WHERE kind = 'class'), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY name) AS r FROM s) SELECT source, string_agg(name, ',' ORDER BY name) AS classes FROM r WHERE r <= 10 GROUP BY source")
 def module_context(t):
-    s = symbols(t).where("kind = 'class'").groupBy(F.split("file_id", "/")[0].alias("source")).agg(F.collect_set("name").alias("a"))
-    return s.select("source", F.array_join(F.slice(F.sort_array("a"), 1, 10), ",").alias("classes"))
+    s = symbols(t).where("kind = 'class'").select(F.split("file_id", "/")[0].alias("source"), "name").distinct()
+    s = s.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("name"))).where("r <= 10")  # before they are gathered
+    return s.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("classes"))
 
 
 @query("api_surface", "SELECT file_id, count(*) FILTER (kind = 'class') AS n_classes, count(*) FILTER (kind = 'function') AS n_functions FROM {symbols} WHERE NOT starts_with(name, 'A') GROUP BY file_id HAVING count(*) FILTER (kind = 'class') > 0 OR count(*) FILTER (kind = 'function') > 3")

@@ -308,8 +308,10 @@ def strip_blocks(t):
 
 @query("list_and_more", "WITH g AS (SELECT source, list(file_id ORDER BY file_id) AS a FROM {files} GROUP BY source) SELECT source, array_to_string(list_transform(a[1:10], lambda x: '- ' || x), chr(10)) || CASE WHEN len(a) > 10 THEN chr(10) || '- ... and ' || (len(a) - 10) || ' more' ELSE '' END AS listing FROM g")
 def list_and_more(t):
-    g = files(t).groupBy("source").agg(F.sort_array(F.collect_list("file_id")).alias("a"))
-    return g.select("source", text.list_and_more(F.col("a")).alias("listing"))
+    f = files(t).select("source", "file_id")
+    first = f.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("file_id"))).where("r <= 10")  # before they are gathered
+    g = first.groupBy("source").agg(F.sort_array(F.collect_list("file_id")).alias("a")).join(f.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
+    return g.select("source", text.list_and_more(F.col("a"), F.col("n")).alias("listing"))
 
 
 @query("prompt_context", "SELECT string_agg('--- ' || file_id || ' (lines ' || start_line || '-' || end_line || ') ---' || chr(10) || content, chr(10) ORDER BY chunk_id) AS prompt FROM {chunks} WHERE doc_id IN (1, 2, 3)")

@@ -285,3 +285,45 @@ def test_templates(spark):
         pages.render("no such", x=F.lit(1))
     with pytest.raises(ValueError):
         pages.render("answer_question", question=F.lit("x"))
+
+
+def test_engine(spark, tmp_path):
+    from tessera.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "store"))
+    e.ingest(spark.createDataFrame([("helpers.py", "python", "def load_all():\n    return 'the public helper'\n"), ("app.py", "python", "import helpers\n\nclass App:\n    pass\n"), ("cli.py", "python", "import app\n")], "file_id string, language string, text string"))
+    assert [r.file_id for r in e.lookup_symbol("load_all").collect()] == ["helpers.py"] and e.lookup_symbol("none").count() == 0
+    assert {r.file for r in e.who_references("load_all").collect()} == {"app.py"}
+    assert {r.hit for r in e.impact(spark.createDataFrame([("helpers.py",)], "file string")).collect()} == {"app.py", "cli.py"}
+    assert [(r.n_symbols, r.n_out, r.n_in) for r in e.file_summary("app.py").collect()] == [(1, 1, 1)]
+    assert [r.id for r in e.retrieve("public helper", no_such_filter=1).collect()] == ["helpers.py#L1-L2"] and e.retrieve("public", language="go").count() == 0
+    got = [(r.source, r.id) for r in e.search("App", 5).orderBy("rank").collect()]
+    assert got[0][0] == 0 and (1, "app.py::class::App::L3") in got
+    near = spark.createDataFrame([("0", "cli.py#L1-L1", 1)], "query_id string, id string, rank long")
+    assert "cli.py#L1-L1" in {r.id for r in e.search("App", 5, near).collect()}
+    assert {r.section for r in e.context("what is defined in load_all() of helpers.py?").collect()} >= {"overview", "symbols"} - {"symbols"}
+    assert e.analyze("how do I use load_all() and getUser?").first().symbols == ["I", "getUser", "load_all"]
+    assert set(e.register_views("t_")) >= {"t_files", "t_chunks"} and spark.sql("select count(*) n from t_files").first().n == 3
+
+
+def test_watched_folder_into_the_store(spark, tmp_path):
+    from tessera.streaming import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_text("x = 1\n")
+    s = store.Store(spark, str(tmp_path / "store"))
+    for k in range(2):
+        changes.apply_changes(files.watch(spark, str(tmp_path / "in")), s, "files", str(tmp_path / "cp")).awaitTermination(60)
+        assert {(r.file_id, r.language) for r in s.load("files").collect()} == ({("a.py", "python")} if not k else {("a.py", "python"), ("b.md", "markdown")})
+        (tmp_path / "in" / "b.md").write_text("# b\n")
+
+
+def test_subword_counts(spark, tmp_path):
+    import base64
+
+    from tessera.functions.tokenizers import subword_count
+
+    pieces = [bytes([i]) for i in range(256)] + [b"ab", b"abc"]
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(pieces)))
+    d = spark.createDataFrame([("abc abc",), ("",), (None,), ("xyz",)], "t string")
+    assert [r.n for r in d.select(subword_count(F.col("t"), str(tmp_path / "ranks"), r"\S+|\s+").alias("n")).collect()] == [3, 0, None, 3]
