@@ -298,7 +298,11 @@ def budget_pack(t):
     return context.pack(chunks(t), text.tokens_div4(F.col("content")), 200, "file_id", "start_line").select("chunk_id")
 
 
-@query("pack_priority")
+@query("pack_priority", """
+WITH RECURSIVE o AS (SELECT source, doc_id, length(text) // 4 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), s AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS r, CAST(2000 AS BIGINT) AS room, '' AS taken, CAST(0 AS BIGINT) AS cut FROM documents
+UNION ALL SELECT s.source, o.r, CASE WHEN room > 50 AND t <= room THEN room - t WHEN room > 100 AND t > room THEN 0 ELSE room END,
+  CASE WHEN (room > 50 AND t <= room) OR (room > 100 AND t > room) THEN taken || CASE WHEN taken = '' THEN '' ELSE ',' END || doc_id ELSE taken END, CASE WHEN room > 100 AND t > room THEN room ELSE cut END FROM s JOIN o ON o.source = s.source AND o.r = s.r + 1)
+SELECT source, arg_max(taken, r) AS taken, arg_max(cut, r) AS cut FROM s GROUP BY source""")
 def pack_priority(t):
     items = t.documents.select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"), "text")
     return context.pack_priority(items, 2000, "source")

@@ -186,16 +186,6 @@ def chunks_ordered(t):
     return c.select("file_id", F.array_join(F.transform("c", lambda x: F.concat_ws("-", x["start_line"], x["end_line"])), ",").alias("ranges"))
 
 
-@query("chunk_semantic")
-def chunk_semantic(t):
-    return chunking.semantic(files(t).select("file_id", "text"), 20)
-
-
-@query("greedy_cuts")
-def greedy_cuts(t):
-    return chunking.semantic(files(t).select("file_id", "text"), 5, 3).select("file_id", "start_line", "end_line")
-
-
 BOUND = r"""
 WITH l AS (SELECT file_id, i - 1 AS line, string_split(text, chr(10))[i] AS s FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {files})),
 k AS (SELECT *, length(s) - length(ltrim(s, ' ')) AS indent FROM l WHERE trim(s, ' ') <> ''), p AS (SELECT *, lag(indent) OVER (PARTITION BY file_id ORDER BY line) AS before FROM k),
@@ -203,6 +193,26 @@ b AS (SELECT file_id, CAST(line AS BIGINT) AS line FROM p WHERE regexp_matches(l
 """
 
 
+def semantic_sql(most: int, least: int, columns: str) -> str:
+    """Cuts of files longer than `most`: hops from each cut to the first boundary at least so many lines on."""
+    return BOUND.replace("WITH l AS", "WITH RECURSIVE l AS") + f""", nb AS (SELECT file_id, line + 1 AS p FROM b), f AS (SELECT file_id, n, l, coalesce(k, 0) AS k FROM {{lined}} LEFT JOIN (SELECT file_id, count(*) AS k FROM nb GROUP BY file_id) USING (file_id)),
+hop AS (SELECT a.file_id, a.p, min(z.p) AS nxt FROM (SELECT file_id, CAST(1 AS BIGINT) AS p FROM f UNION SELECT file_id, p FROM nb) a JOIN nb z ON z.file_id = a.file_id AND z.p >= a.p + {least} GROUP BY ALL),
+g(file_id, p) AS (SELECT file_id, CAST(1 AS BIGINT) FROM f WHERE n > {most} AND k > 1 UNION ALL SELECT g.file_id, hop.nxt FROM g JOIN hop ON hop.file_id = g.file_id AND hop.p = g.p),
+s AS (SELECT file_id, CAST(1 AS BIGINT) AS p FROM f WHERE n <= {most} UNION ALL SELECT file_id, unnest(range(1, n + 1, {most})) FROM f WHERE n > {most} AND k <= 1 UNION ALL SELECT file_id, p FROM g),
+e AS (SELECT file_id, p AS start_line, CAST(coalesce(lead(p) OVER (PARTITION BY file_id ORDER BY p) - 1, n) AS BIGINT) AS end_line, l FROM s JOIN f USING (file_id)) SELECT {columns} FROM e"""
+
+
+@query("chunk_semantic", semantic_sql(20, 10, "file_id, start_line, end_line, array_to_string(l[start_line:end_line], chr(10)) AS content"))
+def chunk_semantic(t):
+    return chunking.semantic(files(t).select("file_id", "text"), 20)
+
+
+@query("greedy_cuts", semantic_sql(5, 3, "file_id, start_line, end_line").replace("WITH RECURSIVE l AS", "WITH RECURSIVE x AS (SELECT file_id, replace(text, 'The ', 'def ') AS text FROM {files}), l AS").replace("FROM {files})),", "FROM x)),"))
+def greedy_cuts(t):
+    """Over texts in which a frequent word is a definition, so that there is something to cut at."""
+    return chunking.semantic(files(t).select("file_id", F.replace("text", F.lit("The "), F.lit("def ")).alias("text")), 5, 3).select("file_id", "start_line", "end_line")
+
+
 @query("semantic_boundaries", BOUND.replace("WITH l AS", "WITH x AS (SELECT file_id, replace(text, 'The ', 'def ') AS text FROM {files}), l AS").replace("FROM {files}))", "FROM x))") + "SELECT * FROM b")
 def semantic_boundaries(t):
     return chunking.boundaries(files(t).select("file_id", F.replace("text", F.lit("The "), F.lit("def ")).alias("text")))
