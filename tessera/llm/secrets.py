@@ -49,17 +49,20 @@ def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
     return materialize(counted, "secret-words")
 
 
-def letter(text: Column, at: Column) -> Column:
-    """0 to 25 for a to z, else 26."""
-    c = F.ascii(F.substr(text, at, F.lit(1)))
-    return F.when((c >= 97) & (c <= 122), c - 97).otherwise(LETTERS - 1)
+def pairs_of(text: Column) -> Column:
+    """The place in the table of transitions of each character and the next; one pass, however long the text is."""
+
+    def letter(x: Column) -> Column:
+        c = F.ascii(x)
+        return F.when((c >= 97) & (c <= 122), c - 97).otherwise(LETTERS - 1)
+
+    codes = F.transform(F.split(text, ""), letter)
+    return F.transform(F.array(codes), lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda x, y: x * LETTERS + y))[0]
 
 
 def transitions(words: DataFrame) -> list[float]:
     """-log2 of the probability of a letter after another, LETTERS * LETTERS numbers. words: word, n."""
-    at = F.explode(F.sequence(F.lit(1), F.length("word") - 1))
-    pairs = words.where(F.length("word") > 1).select("word", "n", at.alias("i"))
-    pairs = pairs.select((letter(F.col("word"), F.col("i")) * LETTERS + letter(F.col("word"), F.col("i") + 1)).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = words.where(F.length("word") > 1).select(F.explode(pairs_of(F.col("word"))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
     n = [1.0] * (LETTERS * LETTERS)
     for r in pairs.collect():  # at most LETTERS * LETTERS rows
         n[r.pair] += r.n
@@ -78,9 +81,8 @@ def covered(found: DataFrame, words: DataFrame) -> DataFrame:
 def features(candidate: Column, before: Column, after: Column, path: Column, cover: Column, follow: list[float]) -> dict[str, Column]:
     n = F.greatest(F.length(candidate), F.lit(1)).cast("double")
     last = F.lower(F.regexp_extract(before, r"([A-Za-z_]+)[^A-Za-z]*$", 1))
-    table, low = F.array(*map(F.lit, follow)), F.lower(candidate)
-    steps = F.sequence(F.lit(1), F.greatest(F.length(candidate) - 1, F.lit(1)))
-    surprise = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(table, letter(low, i) * LETTERS + letter(low, i + 1)))
+    table = F.array(*map(F.lit, follow))
+    surprise = F.aggregate(F.when(F.length(candidate) > 1, pairs_of(F.lower(candidate))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda acc, i: acc + F.get(table, i))
     return {
         "length": n,
         "switches": F.regexp_count(candidate, F.lit(r"[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])")) / n,
