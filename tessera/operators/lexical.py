@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import ACCENTED, PLAIN, TOKEN, tokens
 from .sizes import small_side
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -51,7 +51,8 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, n: i
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     t = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", "t", F.size("t").cast("long").alias("dl"))
-    whole = t.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl"))
+    size = F.regexp_count(F.translate(F.lower(F.col(text_col)), ACCENTED, PLAIN), F.lit(TOKEN))  # counts, where the terms are not needed
+    whole = rows.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg(size).alias("avgdl"))
     p = t.select("id", "dl", F.explode("t").alias("term")).join(small_side(q.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     return ranked(p, whole, q, n, every)
 
@@ -102,8 +103,6 @@ def tokens_of(query: str) -> list[str]:
     """The query's terms; runs of letters and digits, lower case, without the diacritics of the index."""
     import regex
 
-    from ..functions.text import ACCENTED, PLAIN
-
     return regex.findall(r"[\p{L}\p{N}]+", query.lower().translate(str.maketrans(ACCENTED, PLAIN)))
 
 
