@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dedup, perplexity, pii, quality_rules, secrets, substring_dedup, warc
+from . import clustering, decontamination, line_dedup, manifest, mixing, near_dedup, perplexity, pii, quality_rules, secrets, substring_dedup, url_filter, warc
 
 ORACLE: dict[str, str] = {}
 
@@ -87,6 +87,26 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The given rules of op11: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    return url_filter.filter_urls(pages, labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document (by the CRC of its id) is tampered with: its letters A-Z are made lower-case."""
+    docs = _table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(docs, tamper=F.crc32(F.col("doc_id").cast("string")) % 5 == 0, altered={"text": lower})
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 WORD = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 PLAIN = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -137,4 +157,89 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_substring_dedup, op4_merkle_audit, op5_secret_scan, op6_pseudonyms, op7_line_dedup, op8_mix_sources, op9_quality_rules, op10_quality_classifier)}
+def _url_sql() -> str:
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules) + " END"
+    by = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in rules) + " END"
+    return f"""
+WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS (SELECT *, {rule} AS rule, {by} AS by_rule, list_sort(list_distinct(list_filter(list_transform(list_concat(list_transform(string_split(host, '.'), lambda x: 'h:' || x), list_transform(string_split(path, '/'), lambda x: 'p:' || x),
+  list_transform(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), lambda x: 'q:' || string_split(x, '=')[1])), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')), lambda x: length(x) > 2))) AS t FROM u),
+k AS (SELECT doc_id, bool_or(toxic <> 0) AS marked FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT row_number() OVER () AS n, t, coalesce(by_rule = 'block', marked) AS block FROM j LEFT JOIN k ON k.doc_id = j.page_id WHERE by_rule IS NOT NULL OR marked IS NOT NULL),
+lim AS (SELECT greatest(1, ceil({url_filter.SUPPORT}::DOUBLE * count(*))) AS least FROM lab), tok AS (SELECT n, block, unnest(t) AS token FROM lab),
+often AS (SELECT token, count(*) AS c FROM tok GROUP BY token HAVING count(*) FILTER (block) >= (SELECT least FROM lim)),
+bas AS (SELECT n, block, list_sort(list(token ORDER BY c, token)[1:{url_filter.BASKET}]) AS t FROM tok JOIN often USING (token) GROUP BY n, block),
+sub AS (SELECT block, list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items FROM (SELECT block, t, unnest(range(1, CAST(1 << len(t) AS BIGINT))) AS m FROM bas)),
+r AS (SELECT items FROM sub GROUP BY items HAVING count(*) FILTER (block) >= (SELECT least FROM lim) AND count(*) FILTER (block) / count(*)::DOUBLE >= {url_filter.CONFIDENCE})
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN EXISTS (SELECT 1 FROM r WHERE list_has_all(j.t, r.items)) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""
+
+
+ORACLE["op11_url_filter"] = _url_sql()
+
+
+def _manifest_sql(inner: int = 5, outer: int = 3) -> str:
+    """Levels one by one: room for 16**inner documents a source and 16**outer sources."""
+    f = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join([*(f(c) for c in ("doc_id", "source", "lang", "n_chars")), text]) + ")"
+    out = f"""WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, {leaf(f("text"))} AS leaf,
+  CASE WHEN crc % 5 = 0 THEN {leaf("CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END")} END AS tampered
+  FROM documents JOIN (SELECT doc_id AS crc_id, {_CRC} AS crc FROM (SELECT DISTINCT doc_id FROM documents)) ON crc_id = doc_id),
+l0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, doc_id, tampered FROM d)"""
+
+    def levels(name: str, n: int) -> tuple[str, str]:
+        text = ""
+        for k in range(1, n + 1):
+            text += f""",
+{name}{k} AS (SELECT g, i // 16 AS i, CASE WHEN max(m) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {name}{k - 1}) GROUP BY g, i // 16),
+s{name}{k} AS (SELECT g, i, count(*) OVER (PARTITION BY g) > 1 AS up, coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k - 1})"""
+        joins = "".join(f" JOIN s{name}{k} ON s{name}{k}.g = {{0}} AND s{name}{k}.i = {{1}} // {16 ** (k - 1)}" for k in range(1, n + 1))
+        return text, joins
+
+    text, joins = levels("l", inner)
+    out += text + f""",
+o0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, g AS name FROM l{inner})"""
+    text, outer_joins = levels("o", outer)
+    out += text
+    fold, proof = "coalesce(tampered, l0.h)", "''"
+    for s in [*(f"sl{k}" for k in range(1, inner + 1)), *(f"so{k}" for k in range(1, outer + 1))]:
+        proof += f" || CASE WHEN {s}.up THEN {s}.b || {s}.a ELSE '' END"
+    names = [*(f"sl{k}" for k in range(1, inner + 1)), *(f"so{k}" for k in range(1, outer + 1))]
+    steps, last = "", "f0"
+    rest = ", ".join(f"{s}.up AS up{n}, {s}.b AS b{n}, {s}.a AS a{n}" for n, s in enumerate(names))
+    out += f""",
+f0 AS (SELECT doc_id, l0.h AS leaf, o0.h AS subroot, (SELECT h FROM o{outer}) AS root, sha256({proof}) AS proof_sha256, {fold} AS fold, {rest}
+  FROM l0{joins.format("l0.g", "l0.i")} JOIN o0 ON o0.name = l0.g{outer_joins.format("''", "o0.i")})"""
+    for n in range(len(names)):
+        steps += f""",
+f{n + 1} AS (SELECT * REPLACE (CASE WHEN up{n} THEN sha256(b{n} || fold || a{n}) ELSE fold END AS fold) FROM f{n})"""
+        last = f"f{n + 1}"
+    return out + steps + f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, fold AS folded_root, fold = root AS verified FROM {last}"
+
+
+#: CRC-32 of the decimal doc_id: each byte goes in, then eight shifts (the reflected polynomial 0xEDB88320).
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+ORACLE["op12_manifest"] = _manifest_sql()
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    out = f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT v, sha256('2:' || vec_id) AS h FROM v ORDER BY h NULLS LAST, v LIMIT {k}))"""
+    near = "(SELECT v.vec_id, v.v, c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS d FROM v, c{0} c)"
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, v, arg_min(c, (d, c)) AS c, CAST(min(d) AS BIGINT) AS d FROM {near.format(r)} GROUP BY vec_id, v)"""
+        if r < rounds:
+            out += f""",
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m, c.v) AS v FROM c{r} c LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM (SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) n ON n.c = c.c)"""
+    return out + f"""
+SELECT vec_id, CAST(a.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
+ORACLE["op13_clusters"] = _clusters_sql()
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_substring_dedup, op4_merkle_audit, op5_secret_scan, op6_pseudonyms, op7_line_dedup, op8_mix_sources, op9_quality_rules, op10_quality_classifier, op11_url_filter, op12_manifest, op13_clusters)}
