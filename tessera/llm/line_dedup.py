@@ -7,8 +7,10 @@ each run that several documents hold, every later document is paired with the ru
 for a document and run, however many documents share it and however frequent it is, so a group of copies is a star. Each
 pair is aligned by patience diff: lines that either text holds once are matched in their longest increasing order, the gaps
 between matches likewise, and matches grow over equal neighbours. A block of aligned lines with `BLOCK` words or more is
-deleted from the later document. A run that the alignment with its first holder leaves out, since it stands in another order
-there, is not tried with its other holders.
+deleted from the later document. An alignment leaves out a block that stands in another order in the other text, overlaps an
+aligned one or has only repeated lines; the runs of such blocks that the two texts share are matched on their own and go too.
+So what goes from a document are all blocks of `BLOCK` words or more that any earlier document holds: a block's runs all have
+a first holder, which is no later than that document.
 
 Hash sequences travel, not texts; the text is joined once, to what is deleted from it.
 
@@ -74,10 +76,24 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(a: list[int], words: list[int], b: list[int], least: int = BLOCK) -> list[int]:
-    """Positions of a in blocks that align with b and have at least so many words."""
+def blocks(a: list[int], words: list[int], b: list[int], b_words: list[int], least: int = BLOCK) -> list[int]:
+    """Positions of a in blocks that b holds too and that have at least so many words: those that align, and those left out."""
     if a == b:
         return list(range(len(a))) if sum(words) >= least else []
+    gone, held = set(aligned(a, words, b, least)), set(b)
+    left = [i for i, x in enumerate(a) if i not in gone and x in held]
+    if left:
+        lines, counts = np.array(a + b, np.int64), np.array(words + b_words, np.int64)
+        doc, first, last, key = shortest_runs(lines, counts, np.array([len(a), len(b)]), least)
+        own = doc == 0
+        shared = np.isin(key[own], key[~own])
+        for i, j in zip(first[own][shared].tolist(), last[own][shared].tolist(), strict=True):
+            gone.update(range(i, j + 1))
+    return sorted(gone)
+
+
+def aligned(a: list[int], words: list[int], b: list[int], least: int = BLOCK) -> list[int]:
+    """Positions of a in blocks that align with b and have at least so many words."""
     out: list[int] = []
     block: list[int] = []
     before = (-2, -2)
@@ -138,14 +154,14 @@ def deleted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = each.join(held, "run").where(F.col("id") > F.col("first"))
     pairs = materialize(shared.select("id", "h", "first").distinct(), "line-pairs")
     ours = lines.select("id", "h", "at", "line", "words")
-    theirs = lines.select(F.col("id").alias("first"), F.col("line").alias("other"))
-    both = pairs.join(theirs, "first").join(ours, ["id", "h"]).select("id", "h", "at", "line", "words", "other")
+    theirs = lines.select(F.col("id").alias("first"), F.col("line").alias("other"), F.col("words").alias("other_words"))
+    both = pairs.join(theirs, "first").join(ours, ["id", "h"]).select("id", "h", "at", "line", "words", "other", "other_words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hs, at = [], [], []
-            for i, h, place, line, words, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = blocks(line, words, other, block)
+            for i, h, place, line, words, other, other_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gone = blocks(line, words, other, other_words, block)
                 ids += [i] * len(gone)
                 hs += [h] * len(gone)
                 at += [place[k] for k in gone]

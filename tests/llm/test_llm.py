@@ -198,8 +198,11 @@ def test_decontamination(spark, docs, rows):
 
 def test_patience_and_blocks():
     assert line_dedup.patience([1, 2, 3, 9, 4], [1, 7, 2, 3, 4]) == [(0, 0), (1, 2), (2, 3), (4, 4)]
-    assert line_dedup.blocks([1, 2, 3], [6, 6, 6], [9, 1, 2]) == [0, 1]
-    assert line_dedup.blocks([1, 2], [4, 4], [1, 5, 2]) == []
+    assert line_dedup.blocks([1, 2, 3], [6, 6, 6], [9, 1, 2], [6, 6, 6]) == [0, 1]
+    assert line_dedup.blocks([1, 2], [4, 4], [1, 5, 2], [4, 4, 4]) == []
+    assert line_dedup.aligned([2, 1], [12, 12], [1, 2]) != [0, 1] == line_dedup.blocks([2, 1], [12, 12], [1, 2], [12, 12])
+    assert line_dedup.blocks([1, 2, 3], [6, 6, 6], [1, 2, 9, 2, 3], [6, 6, 6, 6, 6]) == [0, 1, 2]  # blocks that overlap
+    assert line_dedup.blocks([5, 1, 1, 1], [6, 4, 4, 4], [1, 1, 1, 1, 1], [4] * 5) == [1, 2, 3]  # repeated lines only
 
 
 def test_line_dedup(spark):
@@ -228,14 +231,42 @@ def test_line_dedup_first_holder_of_each_block(spark):
     assert removed(spark, data) == {0: [], 1: [], 2: [], 3: [1, 2], 4: [], 5: [0], 6: [1, 2]}
 
 
-def test_line_dedup_matches_alignment_of_all_pairs(spark):
+def test_line_dedup_of_blocks_in_another_order(spark):
+    a, b = (" ".join("%s%d" % (x, k) for k in range(12)) for x in "ab")
+    assert removed(spark, [(1, a + "\n" + b), (2, b + "\n" + a), (3, b + "\n" + a)]) == {1: [], 2: [0, 1], 3: [0, 1]}
+
+
+def common(a, words, b, least=10):
+    """Lines of a in any sequence of lines that b holds too and that has so many words: every diagonal of the two, by brute force."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[i:i + n]) >= least:
+                out.update(range(i, i + n))
+    return out
+
+
+def test_line_dedup_against_all_blocks_of_all_pairs(spark):
+    """Lines in any order, repeated within a text, with copies, reversals and moved blocks."""
     r = random.Random(7)
-    every = [" ".join("l%d.%d" % (k, j) for j in range(r.randint(1, 12))) for k in range(40)]
-    docs = [[k for k in range(40) if r.random() < 0.6] for _ in range(60)]  # one order, so that alignments don't cross
+    every = [" ".join("l%d.%d" % (k, j) for j in range(r.randint(1, 12))) for k in range(60)]
+    docs = []
+    for n in range(90):
+        if n % 3 == 0 or not docs:
+            docs.append([r.randrange(60) for _ in range(r.randint(1, 14))])
+        else:
+            x = list(r.choice(docs))
+            i, j = sorted((r.randrange(len(x) + 1), r.randrange(len(x) + 1)))
+            docs.append(r.choice([x, x[::-1], x[j:] + x[i:j] + x[:i], x[:i] + [r.randrange(60)] + x[i:], x[i:j] + x, x[i:]]) or x)
     n = [len(x.split()) for x in every]
-    want = {i: sorted({k for b in docs[:i] for k in line_dedup.blocks(a, [n[x] for x in a], b)}) for i, a in enumerate(docs)}
+    want = {i: sorted({k for b in docs[:i] for k in common(a, [n[x] for x in a], b)}) for i, a in enumerate(docs)}
     data = [(i, "\n".join(every[k] for k in a)) for i, a in enumerate(docs)]
     assert removed(spark, data) == want
+    left_out = [i for i, a in enumerate(docs) if {k for b in docs[:i] for k in line_dedup.aligned(a, [n[x] for x in a], b)} != set(want[i])]
+    assert left_out  # alignment alone would not do
 
 
 def test_mixing(spark, docs, rows):

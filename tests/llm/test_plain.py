@@ -8,7 +8,9 @@ import re
 
 import pytest
 
-from tessera.llm import line_dedup, pii
+from tessera.llm import pii
+
+from .test_llm import common
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -64,7 +66,7 @@ def lines(docs):
     for i, t, lang, source, n in sorted(docs):
         live = [(k, x) for k, x in enumerate(t.split("\n")) if WORD.search(x)]
         mine = [code.setdefault(x.strip(), len(code)) for _, x in live]
-        gone = {live[k][0] for b in earlier for k in line_dedup.blocks(mine, [len(WORD.findall(x)) for _, x in live], b)}
+        gone = {live[k][0] for b in earlier for k in common(mine, [len(WORD.findall(x)) for _, x in live], b)}
         earlier.append(mine)
         left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
         if WORD.search(left):
