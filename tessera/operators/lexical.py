@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN, TOKEN, tokens
@@ -70,29 +72,150 @@ def ranked(p: DataFrame, whole: DataFrame, q: DataFrame, n: int, every: bool) ->
     return hit.select("query_id", "id", "score", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= n)
 
 
-BUCKETS = 64
+#: Files of an index are dealt to BUCKETS by term; a part of a score is one of LEVELS; a segment has about SEGMENT rows.
+BUCKETS, LEVELS, SEGMENT = 64, 64, 8192
+#: Scores are rounded to six places, so a bound may be short of a score by so much.
+SLACK = 2e-6
 
 
 class Index:
-    """Postings and statistics as tables of a store, built once; a search reads the buckets of its terms only."""
+    """Postings in blocks ordered by impact, as tables below a folder; built once, searched with block-max pruning.
+
+    A block holds the postings of one term, one level of impact and one segment of the rows (by a hash of the id), so that no
+    term is too frequent for one task and the blocks of different terms over the same rows have the same segment. Its row
+    tells the largest impact (what a posting adds to a score, before the term's weight) and the number of postings; a search
+    reads those columns of its terms first. A row's score is at most a block's impact and, for the query's other terms, their
+    largest impacts in that segment. The best blocks are scored in full, the n-th best score is the query's threshold, and
+    only blocks with a bound that reaches it are read. Results are exact: every posting of a row that reaches the threshold is
+    in a block that does.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._schema = spark, root.rstrip("/"), None
 
-    def build(self, rows: DataFrame, id_col: str, text_col: str) -> None:
-        p = postings(rows, id_col, text_col)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
-        p.withColumn("bucket", bucket).repartition(BUCKETS, "bucket").sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings")
+    def build(self, rows: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> Index:
+        """Write the index of all terms, or of those of the queries `only` (query_id, text). Statistics cover all rows."""
         t = rows.select(F.size(tokens(F.col(text_col))).alias("dl"))
-        t.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/whole")
+        segs = F.ceil(F.col("n_rows") / SEGMENT).cast("long")
+        t.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl")).withColumn("segs", segs).withColumn("id_type", F.lit(rows.schema[id_col].dataType.simpleString())).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/whole")
+        n_segs, self._schema = max(1, self._whole().first().segs), None
+        p = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+        if only is not None:
+            p = p.join(small_side(asked(only).select("term").distinct()), "term", "left_semi")
+        p = p.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+        part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        p = p.join(F.broadcast(self._whole().select("avgdl")))  # one row
+        p = p.select("term", "id", part.alias("part"), F.pmod(F.xxhash64("id"), F.lit(n_segs)).alias("seg"))
+        p = p.withColumn("level", F.least(F.floor(F.col("part") / (K1 + 1) * LEVELS), F.lit(LEVELS - 1)).cast("int"))
+        blocks = p.groupBy("term", "level", "seg").agg(F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", "part")).alias("posts"))
+        salts = -(-n_segs // 64)
+        blocks = blocks.withColumn("bucket", bucket_of("term")).repartition(BUCKETS * salts, "bucket", F.pmod("seg", F.lit(salts)))
+        blocks.sortWithinPartitions("term", "level", "seg").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/blocks")
+        return self
+
+    def _whole(self) -> DataFrame:
+        return self.spark.read.schema("n_rows double, avgdl double, segs long, id_type string").parquet(f"{self.root}/whole")
+
+    def _blocks(self) -> DataFrame:
+        if self._schema is None:
+            kind = self._whole().first().id_type
+            self._schema = f"term string, level int, seg long, hi double, n long, posts array<struct<id:{kind},part:double>>, bucket int"
+        return self.spark.read.schema(self._schema).parquet(f"{self.root}/blocks")
 
     def search(self, queries: DataFrame, n: int = 50, every: bool = True) -> DataFrame:
-        """As search(). The terms of the queries (at most a few thousand words) choose buckets and rows of the scan."""
-        q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        p = self.spark.read.parquet(f"{self.root}/postings")
-        terms = small_side(q.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")))
-        p = p.join(terms, ["bucket", "term"], "left_semi").select("id", "dl", "term", F.col("tf").cast("double").alias("tf"))
-        return ranked(p, self.spark.read.parquet(f"{self.root}/whole"), q, n, every)
+        """query_id, id, score, rank of the n best rows a query (query_id, text): those with all its terms, or with any."""
+        q, blocks = self._narrowed(queries, n, every)
+        hits = self._scored(self._rows_of(blocks), q, every)
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return hits.select("query_id", "id", "score", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= n)
+
+    def reads(self, queries: DataFrame, n: int = 50, every: bool = True) -> DataFrame:
+        """query_id, held, kept: postings that the query's terms have, and those of them that candidates are taken from."""
+        q, blocks = self._narrowed(queries, n, every)
+        held, kept = q.groupBy("query_id").agg(F.sum("df").alias("held")), blocks.groupBy("query_id").agg(F.sum("n").alias("kept"))
+        return held.join(kept, "query_id", "left").select("query_id", "held", F.coalesce("kept", F.lit(0).cast("long")).alias("kept"))
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """A small table of a search, that several of its steps read; these go when the index is built anew or cleaned."""
+        path = f"{self.root}/searches/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _planned(self, queries: DataFrame, every: bool) -> DataFrame:
+        """query_id, term, bucket, df, idf, terms (of the query), drives: does the search take candidates from this term."""
+        q = self._written(asked(queries).withColumn("bucket", bucket_of("term")), "terms")
+        terms = small_side(q.select("bucket", "term").distinct())
+        df = self._blocks().select("bucket", "term", "n").join(terms, ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+        mine = Window.partitionBy("query_id")
+        q = q.withColumn("terms", F.count(F.lit(1)).over(mine)).join(df, ["bucket", "term"])
+        q = q.join(F.broadcast(self._whole().select("n_rows")))  # one row
+        q = q.withColumn("idf", F.greatest(F.ln((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR)))
+        if every:
+            q = q.withColumn("met", F.count(F.lit(1)).over(mine)).where("met = terms")
+        first = F.row_number().over(mine.orderBy("df", "term")) == 1 if every else F.lit(True)
+        return self._written(q.select("query_id", "term", "bucket", "df", "idf", "terms", first.alias("drives")), "planned")
+
+    def _bounds(self, q: DataFrame, every: bool) -> DataFrame:
+        """query_id, bucket, term, level, seg, n, bound of the blocks that candidates may come from.
+
+        With all terms, candidates come from the rarest one, and the bound has the tops of the others. With any, a row is taken
+        from the one of its terms with the largest top in the segment, so that the bound has the smaller tops only.
+        """
+        key = ["query_id", "term", "seg"]
+        b = self._blocks().select("bucket", "term", "level", "seg", "n", "hi").join(small_side(q), ["bucket", "term"])
+        tops = b.groupBy(*key, "terms").agg(F.max(F.col("hi") * F.col("idf")).alias("top"))
+        of_seg = Window.partitionBy("query_id", "seg")
+        if every:
+            tops = tops.withColumn("met", F.count(F.lit(1)).over(of_seg)).where("met = terms").withColumn("others", F.sum("top").over(of_seg) - F.col("top"))
+        else:
+            lower = of_seg.orderBy("top", "term").rowsBetween(Window.unboundedPreceding, -1)
+            tops = tops.withColumn("others", F.coalesce(F.sum("top").over(lower), F.lit(0.0)))
+        out = b.where("drives").join(tops.select(*key, "others"), key)
+        return out.select("query_id", "bucket", "term", "level", "seg", "n", (F.col("hi") * F.col("idf") + F.col("others")).alias("bound"))
+
+    def _narrowed(self, queries: DataFrame, n: int, every: bool) -> tuple[DataFrame, DataFrame]:
+        """_planned(), and the blocks of _bounds() that reach their query's threshold."""
+        q = self._planned(queries, every)
+        bounds = self._written(self._bounds(q, every), "bounds")
+        best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "level", "seg")
+        seeds = bounds.withColumn("r", F.row_number().over(best)).where(F.col("r") <= n)
+        before = F.coalesce(F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        seeds = seeds.withColumn("before", before).where(F.col("before") < 4 * n)
+        first = self._scored(self._rows_of(seeds), q, every)
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        least = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).where(F.col("r") == n).select("query_id", (F.col("score") - SLACK).alias("least"))
+        kept = bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).drop("least")
+        return q, self._written(kept, "kept")
+
+    def _rows_of(self, blocks: DataFrame) -> DataFrame:
+        """query_id, id, seg of the rows in blocks."""
+        key = ["bucket", "term", "level", "seg"]
+        got = self._blocks().select(*key, "posts").join(small_side(blocks.select("query_id", *key)), key)
+        return got.select("query_id", "seg", F.explode("posts.id").alias("id")).distinct()
+
+    def _scored(self, rows: DataFrame, q: DataFrame, every: bool) -> DataFrame:
+        """query_id, id, score of rows (query_id, id, seg): the parts that they have of their queries' terms, looked up."""
+        probes = rows.join(small_side(q.select("query_id", "bucket", "term", "idf", "terms")), "query_id")
+        posts = self._blocks().select("bucket", "term", "posts").join(small_side(q.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+        posts = posts.select(F.col("term").alias("_t"), F.explode("posts").alias("p")).select("_t", F.col("p.id").alias("_i"), F.col("p.part").alias("part"))
+        got = probes.join(posts, (F.col("term") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_i")))
+        got = got.groupBy("query_id", "id", "terms").agg(F.round(F.sum(F.col("idf") * F.col("part")), 6).alias("score"), F.count(F.lit(1)).alias("have"))
+        return (got.where("have = terms") if every else got).select("query_id", "id", "score")
+
+    def clean(self) -> None:
+        """Delete the small tables of searches (no result of one may still be unread)."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/searches")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """query_id, term: the different terms of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def bucket_of(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def equals(term: str):

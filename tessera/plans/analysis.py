@@ -222,17 +222,33 @@ def asks(t) -> DataFrame:
     return t.documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), words.alias("text"))
 
 
+def found(t, rows: DataFrame, queries: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The best rows of each query, from an index of the queries' words in the shared folder."""
+    return lexical.Index(t.spark, f"{t.scratch()}/lexical").build(rows, id_col, text_col, only=queries).search(queries, n)
+
+
 @query("bm25_batch", "WITH " + lexical_sql(ASKS, DOCS, 20) + " SELECT q AS query_id, id, score, rank FROM ranks")
 def bm25_batch(t):
-    return lexical.search(t.documents, asks(t), "doc_id", "text", 20)
+    return found(t, t.documents, asks(t), 20)
 
 
 @query("bm25_index", "WITH " + lexical_sql(ASKS, "SELECT chunk_id AS id, content AS text FROM {chunks}", 20) + " SELECT q AS query_id, id, score, rank FROM ranks")
 def bm25_index(t):
     """Postings written once to the shared folder, then searched."""
-    index = lexical.Index(t.spark, f"{t.scratch()}/lexical")
-    index.build(chunks(t), "chunk_id", "content")
-    return index.search(asks(t), 20)
+    return lexical.Index(t.spark, f"{t.scratch()}/lexical").build(chunks(t), "chunk_id", "content").search(asks(t), 20)
+
+
+@query("bm25_any", "WITH " + lexical_sql(ASKS, DOCS, 20).replace("JOIN nt USING (q, c)", "") + " SELECT q AS query_id, id, score, rank FROM ranks")
+def bm25_any(t):
+    """Rows with any of a question's words, the largest tops of a segment first."""
+    return lexical.Index(t.spark, f"{t.scratch()}/lexical").build(t.documents, "doc_id", "text", only=asks(t)).search(asks(t), 20, every=False)
+
+
+@query("bm25_held", "WITH " + lexical_sql(ASKS, DOCS, 20) + ", h AS (SELECT q, sum(k) AS held, count(*) AS c FROM bt JOIN df USING (term) GROUP BY q) SELECT q AS query_id, CAST(held AS BIGINT) AS held FROM h JOIN nt USING (q, c)")
+def bm25_held(t):
+    """The postings that each question's words have (a search looks at fewer)."""
+    index = lexical.Index(t.spark, f"{t.scratch()}/lexical").build(t.documents, "doc_id", "text", only=asks(t))
+    return index.reads(asks(t), 20).select("query_id", "held")
 
 
 KNN = "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id"
@@ -276,7 +292,7 @@ def named(t) -> DataFrame:
 
 def ranked_lists(t, where: str = "true") -> list[DataFrame]:
     """Nearest vectors, best texts and named symbols of each question."""
-    return [dense.knn(t.embeddings, query_vectors(t), 40), lexical.search(t.documents.where(where), asks(t), "doc_id", "text", 50), named(t)]
+    return [dense.knn(t.embeddings, query_vectors(t), 40), found(t, t.documents.where(where), asks(t), 50), named(t)]
 
 
 @query("rrf_fusion", fused_sql(DOCS))
@@ -291,7 +307,7 @@ def rrf_lang(t):
 
 @query("lexical_fallback", "WITH " + lexical_sql(ASKS, DOCS, 10) + ", " + NAMED + ", u AS (SELECT q, id, rank, 0 AS source FROM ranks UNION ALL SELECT q, id, rank, 1 FROM nm WHERE rank <= 25) SELECT q AS query_id, id, CAST(source AS BIGINT) AS source, rank FROM (SELECT q, id, source, row_number() OVER (PARTITION BY q ORDER BY source, rank) AS rank FROM u) WHERE rank <= 10")
 def lexical_fallback(t):
-    return fusion.hybrid(None, lexical.search(t.documents, asks(t), "doc_id", "text", 10), named(t), 10)
+    return fusion.hybrid(None, found(t, t.documents, asks(t), 10), named(t), 10)
 
 
 @query("hybrid_search", fused_sql(DOCS).replace("SELECT query_id, id, score, source FROM", "SELECT query_id, id, source, r AS rank FROM").replace("r <= 20", "r <= 10"))
@@ -340,7 +356,7 @@ EVAL = "WITH " + lexical_sql("SELECT item_id AS q, text FROM benchmark", DOCS, 1
 def matches(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """ranked, expected, cases: the benchmark's passages as questions; expected are the documents that hold them verbatim."""
     b = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    ranked = lexical.search(t.documents, b, "doc_id", "text", 100).select(F.col("query_id").alias("case"), F.col("id").alias("file"), "rank")
+    ranked = found(t, t.documents, b, 100).select(F.col("query_id").alias("case"), F.col("id").alias("file"), "rank")
     hit = ranked.join(lexical.small_side(b.select(F.col("query_id").alias("case"), F.col("text").alias("q"))), "case")
     hit = hit.join(t.documents.select(F.col("doc_id").alias("file"), "text"), "file").where(F.contains("text", "q"))
     return ranked, hit.select("case", "file"), b.select(F.col("query_id").alias("case"))

@@ -18,20 +18,21 @@ from .registry import query
 # --- sources of a code base, made from the documents: every fourth one Python, JavaScript, Java or text
 
 BODY = {
-    "python": 'import os\nfrom @S import doc_@N\n\nclass A@I(Base):\n    """Doc @I."""\n    def f@I(self):\n        return 1\n\ndef g@I():\n    return 2\n',
-    "javascript": "import x from './x'\nconst y = require('./y')\n\n/** Module @I. */\nclass A@I {\n  run() {}\n}\n\nfunction g@I() {\n  return 1;\n}\nconst h@I = (a) => {\n  return a;\n}\n",
-    "java": "import java.util.List;\n\n/** Class @I. */\npublic class A@I {\n  public int f@I(int a) {\n    return a;\n  }\n}\ninterface B@I {}\n",
-    "text": "Notes @I\nof @S\n",
+    "python": 'import os\nfrom @S import doc_@N\n\nclass A@I(Base):\n    """Doc @I."""\n    def f@I(self):\n        return "class No: { @T"\n\ndef g@I():\n    return 2  # def no():\n',
+    "javascript": "import x from './x'\nconst y = require('./y')\n\n/** Module @I. */\nclass A@I {\n  run() { return \"} @T\"; } // class No {\n}\n\nfunction g@I() {\n  return '}' + `}${\"{\"} function no() {`;\n}\nconst h@I = (a) => {\n  return a;\n}\n",
+    "java": "import java.util.List;\n\n/** Class @I. */\npublic class A@I {\n  public int f@I(int a) {\n    return a; /* } class No { @T */\n  }\n}\ninterface B@I {}\n",
+    "text": "Notes @I\nof @S\n@T\n",
 }
 ENDS = {"python": "py", "javascript": "js", "java": "java", "text": "txt"}
 
 
 def sources(t) -> DataFrame:
-    """doc_id, file_id, language, text."""
+    """doc_id, file_id, language, text: sources that quote the beginning of their document in strings and comments."""
     kind = F.element_at(F.array(*map(F.lit, BODY)), (F.col("doc_id") % 4 + 1).cast("int"))
     body = F.element_at(F.array(*map(F.lit, BODY.values())), (F.col("doc_id") % 4 + 1).cast("int"))
     i = F.col("doc_id").cast("string")
-    body = F.replace(F.replace(F.replace(body, F.lit("@I"), i), F.lit("@S"), F.col("source")), F.lit("@N"), (F.col("doc_id") + 20).cast("string"))
+    said = F.regexp_replace(F.left("text", F.lit(200)), "[^A-Za-z ]", "")
+    body = F.replace(F.replace(F.replace(F.replace(body, F.lit("@I"), i), F.lit("@S"), F.col("source")), F.lit("@N"), (F.col("doc_id") + 20).cast("string")), F.lit("@T"), said)
     path = F.concat("source", F.lit("/doc_"), i, F.lit("."), F.element_at(F.array(*map(F.lit, ENDS.values())), (F.col("doc_id") % 4 + 1).cast("int")))
     return t.documents.select("doc_id", path.alias("file_id"), kind.alias("language"), body.alias("text"))
 
@@ -40,30 +41,19 @@ def sql_string(x: str) -> str:
     return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-SRC = "src AS (SELECT doc_id, source, source || '/doc_' || doc_id || '.' || (['" + "','".join(ENDS.values()) + "'])[doc_id % 4 + 1] AS file_id, (['" + "','".join(BODY) + "'])[doc_id % 4 + 1] AS language, replace(replace(replace(([" + ", ".join(sql_string(x) for x in BODY.values()) + "])[doc_id % 4 + 1], '@I', CAST(doc_id AS VARCHAR)), '@S', source), '@N', CAST(doc_id + 20 AS VARCHAR)) AS text FROM documents)"
+SRC = "src AS (SELECT doc_id, source, regexp_replace(left(text, 200), '[^A-Za-z ]', '', 'g') AS said, source || '/doc_' || doc_id || '.' || (['" + "','".join(ENDS.values()) + "'])[doc_id % 4 + 1] AS file_id, (['" + "','".join(BODY) + "'])[doc_id % 4 + 1] AS language, replace(replace(replace(replace(([" + ", ".join(sql_string(x) for x in BODY.values()) + "])[doc_id % 4 + 1], '@I', CAST(doc_id AS VARCHAR)), '@S', source), '@N', CAST(doc_id + 20 AS VARCHAR)), '@T', regexp_replace(left(text, 200), '[^A-Za-z ]', '', 'g')) AS text FROM documents)"
 
 
-def sql_pattern(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-def all_of(pattern: str, group: int = 0) -> str:
-    return f"regexp_extract_all(text, {sql_pattern(pattern)}, {group})"
-
-
-m = metadata
-BY_LANGUAGE = {
-    "python": (all_of(m.PYTHON_IMPORT), all_of(m.PYTHON_CLASS, 1), all_of(m.PYTHON_FUNCTION, 1), all_of(m.DOCSTRING, 1)),
-    "javascript": (all_of(m.JS_IMPORT), all_of(m.JS_CLASS, 1), f"list_filter(list_transform(range(1, len({all_of(m.JS_FUNCTION, 1)}) + 1), lambda i: coalesce(nullif(({all_of(m.JS_FUNCTION, 1)})[i], ''), ({all_of(m.JS_FUNCTION, 2)})[i])), lambda x: x <> '')", all_of(m.COMMENT, 1)),
-    "java": (all_of(m.JAVA_IMPORT), f"list_concat({all_of(m.JAVA_CLASS, 1)}, {all_of(m.JAVA_INTERFACE, 1)})", all_of(m.JAVA_METHOD, 1), all_of(m.COMMENT, 1)),
+#: What each line of a source declares: imports, class, function.
+LINE = {
+    "imports": "CASE WHEN language = 'text' THEN NULL WHEN starts_with(x, 'import ') OR starts_with(x, 'from ') OR contains(x, ' = require(') THEN rtrim(x, ';') END",
+    "classes": "nullif(CASE WHEN language <> 'text' AND starts_with(x, 'class ') THEN split_part(split_part(split_part(x, ' ', 2), '(', 1), ' ', 1) WHEN language = 'java' AND starts_with(x, 'public class ') THEN split_part(x, ' ', 3) WHEN language = 'java' AND starts_with(x, 'interface ') THEN split_part(x, ' ', 2) END, '')",
+    "functions": "CASE WHEN language = 'python' AND starts_with(ltrim(x), 'def ') THEN split_part(split_part(ltrim(x), ' ', 2), '(', 1) WHEN language = 'javascript' AND (starts_with(x, 'function ') OR contains(x, ' = (')) THEN split_part(split_part(x, ' ', 2), '(', 1) WHEN language = 'java' AND starts_with(x, '  public int ') THEN split_part(split_part(x, 'int ', 2), '(', 1) END",
+    "docstring": "CASE WHEN contains(x, '\"\"\"') THEN split_part(x, '\"\"\"', 2) WHEN starts_with(x, '/** ') THEN split_part(split_part(x, '/** ', 2), ' */', 1) END",
 }
 
 
-def by_language(k: int) -> str:
-    return "CASE language " + " ".join(f"WHEN '{x}' THEN {y[k]}" for x, y in BY_LANGUAGE.items()) + " ELSE [] END"
-
-
-@query("source_metadata", "WITH " + SRC + " SELECT file_id, " + ", ".join(f"array_to_string({by_language(k)}, '|') AS {n}" for k, n in enumerate(["imports", "classes", "functions"])) + f", trim(({by_language(3)})[1], chr(10) || ' ') AS docstring FROM src")
+@query("source_metadata", "WITH " + SRC + ", ln AS (SELECT file_id, language, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM src) SELECT file_id, " + ", ".join(f"coalesce(string_agg({LINE[n]}, '|' ORDER BY i), '') AS {n}" for n in ("imports", "classes", "functions")) + f", min({LINE['docstring']}) AS docstring FROM ln GROUP BY file_id")
 def source_metadata(t):
     d = metadata.extract(sources(t))
     return d.select("file_id", *(F.array_join(c, "|").alias(c) for c in ("imports", "classes", "functions")), "docstring")
@@ -72,8 +62,8 @@ def source_metadata(t):
 #: Language, kind, name, first and last line, parent: what the bodies define.
 DEFINED = [
     ("python", "import", "import os", 1, 1, ""), ("python", "import", "from @S import doc_@N", 2, 2, ""), ("python", "class", "A@I", 4, 7, ""), ("python", "method", "f@I", 6, 7, "A@I"), ("python", "function", "g@I", 9, 10, ""),
-    ("javascript", "import", "import x from './x'", 1, 1, ""), ("javascript", "import", "require('./y')", 2, 2, ""), ("javascript", "class", "A@I", 5, 7, ""), ("javascript", "function", "g@I", 9, 11, ""), ("javascript", "function", "h@I", 12, 14, ""),
-    ("java", "import", "import java.util.List;", 1, 1, ""), ("java", "class", "A@I", 4, 8, ""), ("java", "method", "f@I", 5, 7, "A@I"), ("java", "class", "B@I", 9, 9, ""), ("text", "module", "@F", 1, 3, ""),
+    ("javascript", "import", "import x from './x'", 1, 1, ""), ("javascript", "import", "const y = require('./y')", 2, 2, ""), ("javascript", "class", "A@I", 5, 7, ""), ("javascript", "function", "g@I", 9, 11, ""), ("javascript", "function", "h@I", 12, 14, ""),
+    ("java", "import", "import java.util.List;", 1, 1, ""), ("java", "class", "A@I", 4, 8, ""), ("java", "method", "f@I", 5, 7, "A@I"), ("java", "class", "B@I", 9, 9, ""), ("text", "module", "@F", 1, 4, ""),
 ]
 _PUT = "replace(replace(replace(replace({}, '@I', CAST(doc_id AS VARCHAR)), '@S', source), '@N', CAST(doc_id + 20 AS VARCHAR)), '@F', file_id)"
 PARSED = SRC + ", df(language, kind, name, a, b, parent) AS (VALUES " + ", ".join("(" + ", ".join(sql_string(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in DEFINED) + "), ps AS (SELECT file_id, language, kind, " + _PUT.format("name") + " AS name, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line, " + _PUT.format("parent") + " AS parent, doc_id, source FROM src JOIN df USING (language))"

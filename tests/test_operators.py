@@ -275,7 +275,7 @@ def test_usage_by_window_as_a_stream(spark, tmp_path):
     ("php", "use A;\nfunction f() {\n}\n", {("import", 1, 1), ("function", 2, 3)}),
 ])
 def test_parse_other_languages(language, body, want):
-    assert {(r[0], r[2], r[3]) for r in parsing.parse_patterns(body, parsing.PATTERNS[language])} == want
+    assert {(r[0], r[2], r[3]) for r in parsing.parse_patterns(body, language)} == want
 
 
 def test_templates(spark):
