@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,63 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return out
 
 
+#: Steps along edges between two writes.
+HOPS = 3
+
+
+def components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """file, component: the strongly connected component of each file with an edge, named by its smallest file.
+
+    Files without an edge in or out are components of their own and are trimmed. Of the rest each takes the largest file that
+    reaches it as its colour; those of a colour that reach the file it is named after are its component (forward colouring
+    and a backward search inside each colour, all colours at once). What is found is taken out, and the rest starts anew.
+    written(df, name): df written to a shared folder and read back, so that lineage does not grow with the rounds. Paths are
+    enumerated nowhere; the driver sees counts only.
+    """
+    live = written(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    files = live.select(F.col("src").alias("file")).unionByName(live.select(F.col("dst").alias("file"))).distinct()
+    found, n = None, live.count()
+    while n:
+        trimmed = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        live, before = written(trimmed.select("src", "dst"), "edges"), n
+        n = live.count()
+        if n < 0.9 * before or not n:
+            continue  # cheap, while it takes much away
+        colours = written(live.select(F.col("src").alias("file")).distinct().withColumn("colour", F.col("file")), "colours")
+        while True:
+            new = colours
+            for _ in range(HOPS):
+                came = live.join(new, F.col("src") == F.col("file")).select(F.col("dst").alias("file"), "colour")
+                new = new.unionByName(came).groupBy("file").agg(F.max("colour").alias("colour"))
+            new = written(new, "colours")
+            moved = new.withColumnRenamed("colour", "c").join(colours, "file").where("c <> colour").limit(1).count()
+            colours = new
+            if not moved:
+                break
+        c = lambda side: colours.select(F.col("file").alias(side), F.col("colour").alias(f"c_{side}"))
+        inside = written(live.join(c("src"), "src").join(c("dst"), "dst").where("c_src = c_dst").select("src", "dst"), "inside")
+        core = colours.where("file = colour").select("file", "colour")
+        have = core.count()
+        while True:
+            for _ in range(HOPS):
+                back = inside.join(core, F.col("dst") == F.col("file")).select(F.col("src").alias("file"), "colour")
+                core = core.unionByName(back).distinct()
+            core = written(core, "core")
+            was, have = have, core.count()
+            if have == was:
+                break
+        found = core if found is None else found.unionByName(core)
+        gone = core.select("file")
+        live = live.join(gone.withColumnRenamed("file", "src"), "src", "left_anti").join(gone.withColumnRenamed("file", "dst"), "dst", "left_anti")
+        live = written(live.select("src", "dst"), "edges")
+        n = live.count()
+    if found is None:
+        return files.select("file", F.col("file").alias("component"))
+    least = found.groupBy("colour").agg(F.min("file").alias("component"))
+    named = found.join(least, "colour").select("file", "component")
+    return files.join(named, "file", "left").select("file", F.coalesce("component", "file").alias("component"))
+
+
 def coupling(edges: DataFrame) -> DataFrame:
     """file, ca, ce, instability. Only files with a dependency, and edges to those, count."""
     ce = edges.groupBy(F.col("src").alias("file")).agg(F.count(F.lit(1)).alias("ce"))

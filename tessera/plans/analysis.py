@@ -265,6 +265,21 @@ def knn_l2(t):
     return dense.knn(t.embeddings, query_vectors(t), 10)
 
 
+def cells(t, queries: DataFrame, k: int, **options) -> DataFrame:
+    return dense.Cells(t.spark, f"{t.scratch()}/cells").build(t.embeddings, keep=("label",)).knn(queries, k, **options)
+
+
+@query("knn_cells", BEST.format(KNN, 10))
+def knn_cells(t):
+    """As knn_l2, by cells and the triangle inequality."""
+    return cells(t, query_vectors(t), 10)
+
+
+@query("knn_cells_filtered", BEST.format(KNN + " AND v.label = 3", 5))
+def knn_cells_filtered(t):
+    return cells(t, query_vectors(t), 5, where=F.col("label") == 3)
+
+
 @query("knn_filtered", BEST.format(KNN + " AND v.label = 3", 5))
 def knn_filtered(t):
     return dense.knn(t.embeddings, query_vectors(t), 5, where=F.col("label") == 3)

@@ -89,6 +89,11 @@ def cycles(t):
     return graph.cycles(edges(t))
 
 
+@query("strong_components", "WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM {edges} UNION SELECT r.a, e.dst FROM r JOIN edges e ON r.b = e.src), m AS (SELECT x.a, min(x.b) AS b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT file, coalesce(least(m.b, file), file) AS component FROM (SELECT src AS file FROM edges UNION SELECT dst FROM edges) LEFT JOIN m ON m.a = file")
+def strong_components(t):
+    return graph.components(edges(t), t.written)
+
+
 @query("centrality", "SELECT file, n_out + n_in AS centrality, n_in > 3 AS core, n_out = 0 AS leaf FROM {deg}")
 def centrality(t):
     return graph.degrees(edges(t)).select("file", (F.col("n_out") + F.col("n_in")).alias("centrality"), (F.col("n_in") > 3).alias("core"), (F.col("n_out") == 0).alias("leaf"))

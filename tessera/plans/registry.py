@@ -24,6 +24,12 @@ class Tables:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return f"{(folder or '/tmp/checkpoints/tessera').rstrip('/')}/plans-{uuid.uuid4().hex}"
 
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written to the shared folder and read back."""
+        path = f"{self.scratch()}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

@@ -34,5 +34,5 @@ class Sessions:
         return self.store.load("sessions").join(last, "session_id", "left").orderBy(F.desc_nulls_last("last"), "session_id").limit(n)
 
     def delete(self, session_id) -> None:
-        for table in ("messages", "sessions"):
-            self.store.save(table, self.store.load(table).where(F.col("session_id") != session_id))
+        for table, key in (("messages", "message_id"), ("sessions", "session_id")):
+            self.store.delete_files(table, self.store.load(table).where(F.col("session_id") == session_id), key)

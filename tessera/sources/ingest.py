@@ -44,7 +44,7 @@ def ingest(sources: DataFrame, store: Store, replace: bool = True, **options) ->
     for name, df in tables(sources, **options).items():
         owner = {"imports": "source", "edges": "src"}.get(name, "file_id")
         if replace or not store.exists(name):
-            store.save(name, df)
+            store.save(name, df, owner)
         else:
             store.replace_files(name, df, owner, sources.select(F.col("file_id").alias(owner)))
 
