@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +77,9 @@ def ranked(p: DataFrame, whole: DataFrame, q: DataFrame, n: int, every: bool) ->
 
 
 #: Files of an index are dealt to BUCKETS by term; a part of a score is one of LEVELS; a segment has about SEGMENT rows.
-BUCKETS, LEVELS, SEGMENT = 64, 64, 8192
+BUCKETS, LEVELS, SEGMENT = 16, 64, 8192
+#: Terms of queries that an index of their words only may send to all tasks; above it they are joined.
+TERMS = 100_000
 #: Scores are rounded to six places, so a bound may be short of a score by so much.
 SLACK = 2e-6
 
@@ -91,18 +97,17 @@ class Index:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self._schema = spark, root.rstrip("/"), None
+        self.spark, self.root, self._table = spark, root.rstrip("/"), None
 
     def build(self, rows: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> Index:
-        """Write the index of all terms, or of those of the queries `only` (query_id, text). Statistics cover all rows."""
-        t = rows.select(F.size(tokens(F.col(text_col))).alias("dl"))
+        """Write the index of all terms, or of those of the queries `only` (query_id, text). Statistics cover all rows. The texts
+        are read once; what is shuffled are counts."""
+        counts = self._counted(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), only)
         segs = F.ceil(F.col("n_rows") / SEGMENT).cast("long")
-        t.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl")).withColumn("segs", segs).withColumn("id_type", F.lit(rows.schema[id_col].dataType.simpleString())).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/whole")
-        n_segs, self._schema = max(1, self._whole().first().segs), None
-        p = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-        if only is not None:
-            p = p.join(small_side(asked(only).select("term").distinct()), "term", "left_semi")
-        p = p.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+        whole = counts.where("term is null").agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl"))
+        whole.withColumn("segs", segs).withColumn("id_type", F.lit(rows.schema[id_col].dataType.simpleString())).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/whole")
+        n_segs, self._table = max(1, self._whole().first().segs), None
+        p = counts.where("term is not null")
         part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         p = p.join(F.broadcast(self._whole().select("avgdl")))  # one row
         p = p.select("term", "id", part.alias("part"), F.pmod(F.xxhash64("id"), F.lit(n_segs)).alias("seg"))
@@ -117,10 +122,49 @@ class Index:
         return self.spark.read.schema("n_rows double, avgdl double, segs long, id_type string").parquet(f"{self.root}/whole")
 
     def _blocks(self) -> DataFrame:
-        if self._schema is None:
+        if self._table is None:  # its files are listed once
             kind = self._whole().first().id_type
-            self._schema = f"term string, level int, seg long, hi double, n long, posts array<struct<id:{kind},part:double>>, bucket int"
-        return self.spark.read.schema(self._schema).parquet(f"{self.root}/blocks")
+            schema = f"term string, level int, seg long, hi double, n long, posts array<struct<id:{kind},part:double>>, bucket int"
+            self._table = self.spark.read.schema(schema).parquet(f"{self.root}/blocks")
+        return self._table
+
+    def _counted(self, rows: DataFrame, only: DataFrame | None) -> DataFrame:
+        """id, dl, term, tf: the terms of each row, counted inside it, and a row without a term for each row, written once."""
+        terms = None
+        d = rows.select("id", tokens(F.col("text")).alias("t"))
+        if only is not None:
+            asked_for = asked(only).select("term").distinct()
+            got = [r.term for r in asked_for.limit(TERMS + 1).collect()]
+            terms = pa.array(got, pa.string()) if len(got) <= TERMS else None
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, t = b.column(0), b.column(1)
+                dl = pc.list_value_length(t).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, dl, pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.float64())], ["id", "dl", "term", "tf"])
+                flat = pc.list_flatten(t)
+                if terms is None:
+                    encoded = flat.dictionary_encode()
+                    code, words = encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
+                else:
+                    code, words = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy(zero_copy_only=False), terms
+                row = pc.list_parent_indices(t).to_numpy(zero_copy_only=False).astype(np.int64)
+                key, tf = np.unique(row[code >= 0] * max(1, len(words)) + code[code >= 0], return_counts=True)
+                at = pa.array(key // max(1, len(words)))
+                yield pa.RecordBatch.from_arrays([ids.take(at), dl.take(at), words.take(pa.array(key % max(1, len(words)))), pa.array(tf.astype(np.float64))], ["id", "dl", "term", "tf"])
+
+        schema = f"id {rows.schema['id'].dataType.simpleString()}, dl long, term string, tf double"
+        path, key = f"{self.root}/counts", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "1000")  # for this write; texts can be long
+        try:
+            d.mapInArrow(count, schema).write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
+        out = self.spark.read.schema(schema).parquet(path)
+        if only is not None and terms is None:
+            out = out.join(asked_for, "term", "left_semi").unionByName(out.where("term is null").select("term", "id", "dl", "tf"))
+        return out
 
     def search(self, queries: DataFrame, n: int = 50, every: bool = True) -> DataFrame:
         """query_id, id, score, rank of the n best rows a query (query_id, text): those with all its terms, or with any."""
@@ -143,8 +187,8 @@ class Index:
 
     def _planned(self, queries: DataFrame, every: bool) -> DataFrame:
         """query_id, term, bucket, df, idf, terms (of the query), drives: does the search take candidates from this term."""
-        q = self._written(asked(queries).withColumn("bucket", bucket_of("term")), "terms")
-        terms = small_side(q.select("bucket", "term").distinct())
+        q = small_side(self._written(asked(queries).withColumn("bucket", bucket_of("term")), "terms"))
+        terms = q.select("bucket", "term")
         df = self._blocks().select("bucket", "term", "n").join(terms, ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
         mine = Window.partitionBy("query_id")
         q = q.withColumn("terms", F.count(F.lit(1)).over(mine)).join(df, ["bucket", "term"])
@@ -153,7 +197,7 @@ class Index:
         if every:
             q = q.withColumn("met", F.count(F.lit(1)).over(mine)).where("met = terms")
         first = F.row_number().over(mine.orderBy("df", "term")) == 1 if every else F.lit(True)
-        return self._written(q.select("query_id", "term", "bucket", "df", "idf", "terms", first.alias("drives")), "planned")
+        return small_side(self._written(q.select("query_id", "term", "bucket", "df", "idf", "terms", first.alias("drives")), "planned"))
 
     def _bounds(self, q: DataFrame, every: bool) -> DataFrame:
         """query_id, bucket, term, level, seg, n, bound of the blocks that candidates may come from.
@@ -162,7 +206,7 @@ class Index:
         from the one of its terms with the largest top in the segment, so that the bound has the smaller tops only.
         """
         key = ["query_id", "term", "seg"]
-        b = self._blocks().select("bucket", "term", "level", "seg", "n", "hi").join(small_side(q), ["bucket", "term"])
+        b = self._blocks().select("bucket", "term", "level", "seg", "n", "hi").join(q, ["bucket", "term"])
         tops = b.groupBy(*key, "terms").agg(F.max(F.col("hi") * F.col("idf")).alias("top"))
         of_seg = Window.partitionBy("query_id", "seg")
         if every:
@@ -195,8 +239,8 @@ class Index:
 
     def _scored(self, rows: DataFrame, q: DataFrame, every: bool) -> DataFrame:
         """query_id, id, score of rows (query_id, id, seg): the parts that they have of their queries' terms, looked up."""
-        probes = rows.join(small_side(q.select("query_id", "bucket", "term", "idf", "terms")), "query_id")
-        posts = self._blocks().select("bucket", "term", "posts").join(small_side(q.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+        probes = rows.join(q.select("query_id", "bucket", "term", "idf", "terms"), "query_id")
+        posts = self._blocks().select("bucket", "term", "posts").join(q.select("bucket", "term"), ["bucket", "term"], "left_semi")
         posts = posts.select(F.col("term").alias("_t"), F.explode("posts").alias("p")).select("_t", F.col("p.id").alias("_i"), F.col("p.part").alias("part"))
         got = probes.join(posts, (F.col("term") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_i")))
         got = got.groupBy("query_id", "id", "terms").agg(F.round(F.sum(F.col("idf") * F.col("part")), 6).alias("score"), F.count(F.lit(1)).alias("have"))
