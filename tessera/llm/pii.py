@@ -32,6 +32,8 @@ DATE = r"(?<![0-9.-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9]\.[01][
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, PHONE, DATE, IP, CARD))
+#: The calling codes of one and of two digits; all others have three.
+CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
 DAYS = 73049  # 1900-01-01 to 2099-12-31
 
 
@@ -95,9 +97,11 @@ def card(t: Column, key: str) -> Column:
 
 
 def phone(t: Column, key: str) -> Column:
-    head = F.regexp_extract(t, r"^\+[1-9][0-9]{0,2}?(?=[ .(-])|^\+[1-9][0-9]?", 0)
-    rest = F.substr(t, F.length(head) + 1, F.length(t))
-    return F.concat(head, into(rest, permuted_digits(digits_of(rest), key, "phone")))
+    """The digits behind the calling code are permuted, whatever stands between them, so that one number in two spellings
+    gets one pseudonym in two spellings."""
+    digits = digits_of(t)
+    code = F.regexp_extract(digits, f"^(?:{CALLING}|[0-9]{{3}})", 0)
+    return into(t, F.concat(code, permuted_digits(F.substr(digits, F.length(code) + 1, F.length(digits)), key, "phone")))
 
 
 def ip(t: Column, key: str) -> Column:
@@ -173,7 +177,7 @@ def kind_of(t: Column) -> Column:
         F.when(t.contains("@"), F.lit("email"))
         .when(t.startswith("+"), F.lit("phone"))
         .when(t.rlike("^" + DATE + "$"), F.when(parsed_date(t).isNotNull(), F.lit("date")))
-        .when(t.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), F.when(F.forall(F.split(t, r"\."), lambda x: x.cast("int") < 256), F.lit("ip")))
+        .when(t.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), F.when(F.forall(F.split(t, r"\."), lambda x: (x.cast("int") < 256) & (x == x.cast("int").cast("string"))), F.lit("ip")))
         .otherwise(F.when(luhn_sum(digits_of(t), False) % 10 == 0, F.lit("card")))
     )
 

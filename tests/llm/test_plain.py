@@ -200,14 +200,18 @@ def mail(t, key):
     return "".join(next(new) if c.isalnum() else c for c in local) + "@" + domain
 
 
+#: Calling codes of two digits.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def pseudonym(t, key):
     """(kind, pseudonym), or (None, t) for what fails validation."""
     digits = re.sub("[^0-9]", "", t)
     if "@" in t:
         return "email", mail(t, key)
     if t[0] == "+":
-        head = re.match(r"\+[1-9][0-9]{0,2}?(?=[ .(-])|\+[1-9][0-9]?", t)[0]
-        return "phone", head + put(t[len(head) :], permuted(re.sub("[^0-9]", "", t[len(head) :]), key, "phone"))
+        n = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+        return "phone", put(t, digits[:n] + permuted(digits[n:], key, "phone"))
     if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}", t):
         day = day_of(t)
         if not day:
@@ -250,3 +254,14 @@ def test_pseudonyms_against_a_plain_model(spark):
         assert (x.new_text, *(x[f"n_{k}"] for k in pii.KINDS)) == (new, *(n[k] for k in pii.KINDS))
         counts += n
     assert min(counts[k] for k in (*pii.KINDS, None)) > 20
+
+
+def test_a_number_in_two_spellings_gets_one_pseudonym(spark):
+    same = [["+1 415 555 2671", "+14155552671", "+1 (415) 555-2671", "+1.415.555.2671"], ["+49 30 1234 5678", "+493012345678"], ["+354 555 1234", "+3545551234"]]
+    d = spark.createDataFrame([(g, i, t) for g, ts in enumerate(same) for i, t in enumerate(ts)] + [(9, 0, "01.02.03.04"), (9, 1, "1.2.3.4")], "g int, i int, text string")
+    got = {(r.g, r.i): (r.text, r.new_text, r.n_ip) for r in pii.pseudonymise(d, "k").collect()}
+    for g, ts in enumerate(same):
+        news = {re.sub("[^0-9]", "", got[g, i][1]) for i in range(len(ts))}
+        assert len(news) == 1 and news != {re.sub("[^0-9]", "", ts[0])}
+        assert all(re.sub("[0-9]", "0", got[g, i][1]) == re.sub("[0-9]", "0", t) for i, t in enumerate(ts))
+    assert got[9, 0][1:] == ("01.02.03.04", 0) and got[9, 1][2] == 1
