@@ -4,10 +4,14 @@ The model is trained on trusted texts, one for each language. An n-gram of up to
 character, code points above are folded), so that context and suffix are shifts. Counts are summed in the tasks, then by
 Spark; lower orders count distinct left neighbours; the discounts D1, D2, D3+ come from each order's counts of counts.
 
-Scoring joins the counts to the documents in shards: all n-grams that predict after the same character are in one shard, so
-a shard holds the whole back-off chain of its positions. A shard has at most `SHARD_ROWS` rows and only a shard at a time
-is sent out; there are as many as the model needs (`SHARDS` at most 4096, one for each character), and each adds its part
-of a document's log-probability in one pass over the text. A document is kept if its perplexity is at most `slack` times
+Scoring joins the counts to what the documents hold. The different n-grams of all documents are gathered (each task sends an
+n-gram once) and joined, order by order, to the model's rows for the n-gram and for its context, sharded by hashes of those:
+the probability of an n-gram is its own share and its context's remaining weight times the probability of the n-gram without
+its first character. The result, a number for each n-gram that occurs, stands by itself, so it is cut by a hash of the n-gram
+into shards of about `SHARD_ROWS`, however frequent a character or context is; one shard at a time is sent out and adds its
+part of a document's log-probability in one pass over the text.
+
+A document is kept if its perplexity is at most `slack` times
 the `quantile` of trusted documents of its language that the model was not trained on (every tenth). Mean log-probabilities
 are first shrunk towards the language's by the weight of `PRIOR` characters, since a few characters say little.
 
@@ -34,7 +38,9 @@ from .common import limit_arrow_rows, materialize, restored, shielded, small_sid
 ORDER = 5
 BITS = 12
 MASK = (1 << BITS) - 1
-SHARD_ROWS = 1_000_000
+SHARD_ROWS = 4_000_000
+#: A prime by which n-grams are dealt to shards, so that neither the first nor the last character decides.
+DEAL = 1_000_003
 PRIOR = 50
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -91,44 +97,70 @@ def model(trusted: DataFrame) -> DataFrame:
         if k > 1:
             level = level.groupBy("lang", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
             level = materialize(level, "kn-level")
-    # after: the character that the prediction comes after; unigrams are in every shard
-    after = F.when(F.col("g").isNotNull(), F.col("gram")).otherwise(F.shiftright("gram", BITS)).bitwiseAND(MASK)
-    return materialize(out.withColumn("after", F.when(F.col("k") > 1, after)), "kn-model")
+    return materialize(out, "kn-model")
+
+
+def grams(docs: DataFrame) -> DataFrame:
+    """l, gram: the different n-grams of the highest order in texts (lang, text), by language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for rows, texts in steps(batch, "text"):
+                mine = langs[rows]
+                for lang in sorted(set(mine), key=str):
+                    gram = np.unique(packed([t for t, x in zip(texts, mine, strict=True) if x == lang])[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram)], ["lang", "gram"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long").select(named("lang").alias("l"), "gram").distinct()
+
+
+def named(lang):
+    """A text for a language, null among them."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
+
+
+def probabilities(kn: DataFrame, found: DataFrame) -> DataFrame:
+    """l, gram, p of the n-grams `found` (l, gram), under a model(). At most 2 ** BITS rows share a context or a suffix."""
+    rows = kn.withColumn("l", named(F.col("lang")))
+    levels = [found]
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(materialize(levels[-1].select("l", F.col("gram").bitwiseAND((1 << BITS * k) - 1).alias("gram")).distinct(), "kn-grams"))
+    below = None
+    for k, level in zip(range(1, ORDER + 1), reversed(levels), strict=True):
+        a = rows.where((F.col("k") == k) & F.col("a").isNotNull()).select("l", "gram", "a")
+        g = rows.where((F.col("k") == k) & F.col("g").isNotNull()).select("l", F.col("gram").alias("ctx"), "g")
+        d = level.withColumn("ctx", F.shiftright("gram", BITS)).join(a, ["l", "gram"], "left").join(g, ["l", "ctx"], "left")
+        if below is None:
+            d = d.withColumn("low", F.lit(1.0 / (1 << BITS)))
+        else:
+            suffix = F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)
+            d = d.withColumn("suffix", suffix).join(below.select("l", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["l", "suffix"])
+        p = F.coalesce("a", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("low")
+        below = materialize(d.select("l", "gram", p.alias("p")), "kn-probabilities")
+    return below
 
 
 class Shard:
-    """A shard of the model in sorted arrays."""
+    """A shard of the logarithms in sorted arrays, by language."""
 
     def __init__(self, rows: pa.Table, number: int, of: int):
         self.number, self.of = number, of
-        lang, k, gram, a, g = (rows.column(c) for c in ("lang", "k", "gram", "a", "g"))
-        k, gram, a, g = (x.to_numpy() for x in (k, gram, a, g))
-        named = lang.combine_chunks().dictionary_encode(null_encoding="encode")
-        codes = np.asarray(named.indices)
+        names = rows.column("l").combine_chunks().dictionary_encode()
+        codes, gram, p = np.asarray(names.indices), rows.column("gram").to_numpy(), rows.column("log").to_numpy()
         self.parts: dict = {}
-        for code, name in enumerate(named.dictionary.to_pylist()):
-            mine = codes == code
-            self.parts[name] = [tuple(self.sorted(gram[s], x[s]) for x, s in ((a, mine & (k == o) & ~np.isnan(a)), (g, mine & (k == o) & ~np.isnan(g)))) for o in range(1, ORDER + 1)]
-
-    @staticmethod
-    def sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        return keys[order], values[order].astype(np.float32)
-
-    @staticmethod
-    def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, other: float) -> np.ndarray:
-        if not len(table[0]):
-            return np.full(len(keys), other)
-        i = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return np.where(table[0][i] == keys, table[1][i], other)
+        for code, name in enumerate(names.dictionary.to_pylist()):
+            mine = np.flatnonzero(codes == code)
+            order = mine[np.argsort(gram[mine])]
+            self.parts[name] = (gram[order], p[order])
+
+    def mine(self, gram: np.ndarray) -> np.ndarray:
+        return (gram % DEAL) % self.of == self.number
 
     def scores(self, lang: str | None, gram: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probabilities."""
-        p = np.full(len(gram), 1.0 / (1 << BITS))
-        for o, (a, g) in enumerate(self.parts.get(lang, []), 1):
-            x = gram & ((1 << BITS * o) - 1)
-            p = self.look(a, x, 0.0) + self.look(g, x >> BITS, 1.0) * p
-        return np.log(p)
+        """Natural logarithms of the probabilities of n-grams that are all in the shard."""
+        keys, logs = self.parts["" if lang is None else "=" + lang]
+        return logs[np.searchsorted(keys, gram)].astype(np.float64)
 
 
 def add_scores(docs: DataFrame, shard, text_col: str, lang_col: str) -> DataFrame:
@@ -147,7 +179,7 @@ def add_scores(docs: DataFrame, shard, text_col: str, lang_col: str) -> DataFram
                     at = np.array([i for i, x in enumerate(mine) if x == lang])
                     gram, doc = packed([texts[i] for i in at])
                     if own.of > 1:
-                        ok = ((gram >> BITS) & MASK) % own.of == own.number
+                        ok = own.mine(gram)
                         gram, doc = gram[ok], doc[ok]
                     if not len(gram):
                         continue
@@ -176,13 +208,14 @@ def add_scores(docs: DataFrame, shard, text_col: str, lang_col: str) -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def shards_of(kn: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
-    """The shards of a model() as broadcast variables."""
-    n = min(1 << BITS, max(1, math.ceil(kn.count() / shard_rows)))
+def shards_of(kn: DataFrame, docs: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
+    """What scoring texts (lang, text) needs of a model(), as broadcast variables of about shard_rows n-grams."""
+    p = probabilities(kn, materialize(grams(docs), "kn-found"))
+    n = max(1, math.ceil(p.count() / shard_rows))
     out = []
     for i in range(n):
-        rows = kn.where(F.col("after").isNull() | (F.col("after") % n == i)).select("lang", F.col("k").cast("byte"), "gram", F.col("a").cast("float"), F.col("g").cast("float"))
-        out.append(kn.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), i, n)))
+        rows = p.where((F.col("gram") % DEAL) % n == i).select("l", "gram", F.ln("p").cast("float").alias("log"))
+        out.append(kn.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), i, n)))  # bounded by shard_rows
     return out
 
 
@@ -205,7 +238,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     held_out = F.pmod(F.xxhash64("_t"), F.lit(10)) == 0
     narrow = own.select(F.col(i).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     train = narrow.join(small_side(trusted.where(~held_out)), F.col("id") == F.col("_t"), "left_semi").select("lang", "text")
-    kn = shards_of(model(train), shard_rows)
+    kn = shards_of(model(train), narrow.select("lang", "text"), shard_rows)
     probe = narrow.join(small_side(trusted.where(held_out)), F.col("id") == F.col("_t"), "left_semi")
     probe = materialize(score(probe, kn, "text", "lang").where("_n > 0").select("lang", "_nll", "_n"), "kn-held-out")
     mean = probe.groupBy("lang").agg((F.sum("_nll") / F.sum("_n")).alias("_mean"))

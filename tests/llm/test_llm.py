@@ -457,11 +457,47 @@ def plain_kneser_ney(train):
 def test_perplexity_against_an_independent_model(spark, train):
     nll = plain_kneser_ney(train)
     probes = ["abba", "the baab", "zzz", "same there", "x", "Über"]
-    kn = perplexity.shards_of(perplexity.model(spark.createDataFrame([("en", t) for t in train], "lang string, text string")), 30)
-    got = perplexity.score(spark.createDataFrame([(t, "en") for t in probes], "text string, lang string"), kn, "text", "lang").collect()
+    found = spark.createDataFrame([(t, "en") for t in probes], "text string, lang string")
+    kn = perplexity.shards_of(perplexity.model(spark.createDataFrame([("en", t) for t in train], "lang string, text string")), found, 8)
+    assert len(kn) >= 3
+    got = perplexity.score(found, kn, "text", "lang").collect()
     assert {r.text: r._nll for r in got} == {t: pytest.approx(nll(t), rel=1e-4) for t in probes}
 
 
+def test_shards_are_bounded_where_one_character_precedes_most(spark):
+    r = random.Random(4)
+    texts = [(None if i % 5 == 0 else "x", " ".join(chr(97 + r.randrange(26)) + chr(97 + r.randrange(26)) for _ in range(300))) for i in range(40)]
+    d = spark.createDataFrame(texts, "lang string, text string")
+    kn = perplexity.model(d)
+    shards = perplexity.shards_of(kn, d, 500)
+    sizes = [sum(len(k) for k, _ in s.value.parts.values()) for s in shards]
+    assert len(sizes) > 10 and max(sizes) < 1.5 * 500 and sum(sizes) == perplexity.grams(d).count()
+    one = perplexity.shards_of(kn, d, 10**9)
+    a, b = ({(r.lang, r.text): round(r._nll, 4) for r in perplexity.score(d, x, "text", "lang").collect()} for x in (shards, one))
+    assert a == b and len(one) == 1
+
+
+def test_threshold_and_verdict_against_plain_arithmetic(spark):
+    """The quantile of the trusted texts that were held out, and what is kept under it, from plain scores."""
+    r = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    docs = [(i, " ".join(r.choice(words) for _ in range(30)) if i < 150 else "".join(chr(r.randrange(97, 123)) for _ in range(150))) for i in range(180)] + [(500, None), (501, "")]
+    d = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string")
+    trusted = list(range(150))
+    held = {x.i for x in spark.createDataFrame([(i,) for i in trusted], "i long").where(F.pmod(F.xxhash64("i"), F.lit(10)) == 0).collect()}
+    nll = plain_kneser_ney([t for i, t in docs if i in trusted and i not in held])
+    score = {i: (nll(t), len(t)) for i, t in docs if t}
+    mean = sum(score[i][0] for i in held) / sum(score[i][1] for i in held)
+    shrunk = {i: (x + perplexity.PRIOR * mean) / (n + perplexity.PRIOR) for i, (x, n) in score.items()}
+    ranked = sorted(shrunk[i] for i in held)
+    limit = math.exp(ranked[math.ceil(0.9 * len(ranked)) - 1]) * 1.25
+    got = {x.doc_id: x for x in perplexity.classify(d, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), quantile=0.9).collect()}
+    for i, x in got.items():
+        if i in score:
+            assert x.perplexity == pytest.approx(math.exp(shrunk[i]), rel=1e-3) and x.threshold == pytest.approx(limit, rel=1e-3) and x.kept == (math.exp(shrunk[i]) <= limit)
+    assert got[500].kept and got[501].kept and not any(got[i].kept for i in range(150, 180)) and sum(got[i].kept for i in range(150)) > 140
+
+
 def test_classifier_on_labels_that_it_has_not_seen(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) > 0)
