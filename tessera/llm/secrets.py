@@ -1,7 +1,8 @@
 """Secret scan with a random forest over candidates, in DataFrame functions only.
 
 A candidate is a run of 16 or more of the characters that keys are written in, with its padding; a '=' before it or between
-a name and it is neither. Its features are its length, how often its characters change class, how surprising its letters
+a name and it is neither. What stands behind a name of a secret and an assignment, or between a user's name and the host of a
+URL, is a candidate from `SHORTEST` characters on, of any kind but spaces and quotes; a dotted token is one candidate. Its features are its length, how often its characters change class, how surprising its letters
 follow one another (character transitions of the documents' own words), how much of it words of the documents cover
 (dictionary), its shares of digits and vowels, the path, and the words before and after it (other candidates among them,
 such as a long name). A random forest, trained from labelled findings, says whether it is a secret; it is read off the
@@ -30,12 +31,19 @@ from pyspark.sql import functions as F
 
 from .common import materialize, restored, shielded
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+SHORTEST = 6
+#: Names of secrets, in front of an assignment.
+NAMED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?[ \t]{0,2}[:=]{1,2}[ \t]{0,2}[\"'`]?"
+LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+DOTTED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)?"
+ASSIGNED = rf"(?<={NAMED})(?!LONG)[^\s\"'`,;<>(){{}}&]{{{SHORTEST},}}".replace("LONG", LONG)
+USERINFO = rf"(?<=://[A-Za-z0-9._%+-]{{0,64}}:)[^\s/@:\"'<>]{{{SHORTEST},}}+(?=@)"
+CANDIDATE = "|".join((DOTTED, USERINFO, ASSIGNED, LONG))
 AROUND = 48  # three candidates at most
-KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z2-7]{16}$|gh[opsur]_[A-Za-z0-9]{20}|(?:sk|pk|rk)[_-](?:live|test)[_-])"  # forms that issuers give to their keys
+KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z2-7]{16}$|gh[opsur]_[A-Za-z0-9]{20}|(?:sk|pk|rk)[_-](?:live|test)[_-]|eyJ[A-Za-z0-9_-]+[.])"  # forms that issuers give to their keys
 MOST_LABELS = 20_000
 MOST_MINED = 2_000  # of each kind
-FEATURES = ["length", "switches", "surprise", "dictionary", "digits", "vowels", "known", "hex", "distinct", "assigned", "quoted", "keyword", "harmless", "test_path"]
+FEATURES = ["length", "switches", "surprise", "dictionary", "digits", "vowels", "known", "hex", "distinct", "assigned", "quoted", "keyword", "harmless", "test_path", "symbols", "userinfo"]
 #: A word of a text that is not part of a longer run; letters but a to z are one class in the transitions.
 ORDINARY = r"(?<![\p{L}0-9_/+=-])\p{L}{2,}+(?![\p{L}0-9_/+=-])"
 LETTERS = 27
@@ -97,6 +105,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column, cov
         "quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double"),
         "keyword": last.rlike("token|secret|passw|pwd|key|auth|cred|bearer|signature").cast("double"),
         "harmless": (last.rlike("sha|md5|commit|digest|checksum|uuid|guid|integrity|rev|etag|example|public") | candidate.rlike(r"(?i)example|placeholder|x{6,}|0{8,}|1234567")).cast("double"),
+        "symbols": F.regexp_count(candidate, F.lit("[^A-Za-z0-9]")) / n,
+        "userinfo": (before.rlike(r"://[^\s/@]*:$") & after.startswith("@")).cast("double"),
         "test_path": F.lower(F.coalesce(path, F.lit(""))).rlike("test|example|sample|fixture|mock|doc").cast("double"),
     }
 
@@ -128,6 +138,29 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     return rows.select(F.when(i % 2 == 0, good).otherwise(bad).alias("x"), (1 - i % 2).cast("double").alias("label")).select("x.*", "label")
 
 
+def short_findings(spark: SparkSession, n: int = 2000) -> DataFrame:
+    """(candidate, before, after, path, label) by rule: what people choose behind names of secrets and in URLs, and what stands
+    there without being a secret."""
+    i = F.col("id")
+    digest = F.sha2(F.concat(F.lit("s"), i.cast("string")), 512)
+    pick = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(xs))) + 1).cast("int"))
+    random = F.translate(F.base64(F.unhex(digest)), "+/=", "!@#")
+    number = F.substr(F.conv(F.substr(digest, F.lit(1), F.lit(10)), 16, 10), F.lit(1), pick(1, 1, 2, 3, 4))
+    word = pick(2, "hunter", "summer", "dragon", "Winter", "letmein", "Sonne", "azerty", "Admin", "monkey", "correcthorse")
+    leet = F.element_at(F.array(*(F.translate(word, "oeiEas", x) for x in ("0310@$", "0eiE4s", "o3iE@5", "oeiEas"))), (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)) + 1).cast("int"))
+    chosen = F.concat(leet, pick(4, "", "_", "-", ".", "!", "@"), number, pick(5, "!", "", "#", "?", "!x", "$9"))
+    secret = F.when(i % 6 == 0, F.substr(random, F.lit(1), pick(6, 8, 10, 12, 14, 15))).when(F.length(chosen) < SHORTEST, F.rpad(chosen, SHORTEST, "7")).otherwise(chosen)
+    named = F.concat(pick(7, "", "db_", "my", "user_", "admin."), pick(8, "password", "passwd", "api_key", "secret", "token", "pwd", "PASSWORD", "access_key"), pick(9, "=", ' = "', ": ", ': "', "='"))
+    userinfo = F.concat(F.lit("at "), pick(10, "https", "postgres", "ftp", "mongodb"), F.lit("://"), pick(11, "user", "admin", "root", "app"), F.lit(":"))
+    word_or_type = pick(12, "required", "string", "secret", "changed", "optional", "hidden", "undefined", "password", "String", "getToken", "process.env.TOKEN", "os.environ", "$PASSWORD", "config.token", "********", "<secret>", "your-password", "function", "expired", "nullable", "True-ish", "settings", "none-given", "and/or", "forgotten", "is_valid", "%s-value", "\\$TOKEN", "xxxxxxxx", "%(secret)s")
+    plain = F.when(i % 4 == 1, F.concat(pick(13, "the", "internal", "main", "their", "heit", "entre"), pick(14, "", "_", "-", "."), pick(15, "handler", "value", "condition", "source", "nichts", "words"))).otherwise(word_or_type)
+    at = (i % 7 == 0) & (i % 2 == 0)
+    good = F.struct(secret.alias("candidate"), F.when(at, userinfo).otherwise(named).alias("before"), F.when(at, F.lit("@host/x")).otherwise(pick(16, '"', "", " then", ",")).alias("after"))
+    bad = F.struct(plain.alias("candidate"), named.alias("before"), pick(17, '"', "", " then", ",").alias("after"))
+    rows = spark.range(0, n, 1, 4).select(F.when(i % 2 == 0, good).otherwise(bad).alias("x"), pick(18, "src1", "app/config.py", "deploy/env", "notes.txt").alias("path"), (1 - i % 2).cast("double").alias("label"))
+    return rows.select("x.*", "path", "label").where(F.length("candidate") >= SHORTEST)
+
+
 def mined_findings(found: DataFrame, words: DataFrame) -> DataFrame:
     """(candidate, before, after, path, label) that the documents show: long words of theirs, numbers and named digests among
     the candidates (found) are no secrets, keys in an issuer's form are. At most MOST_MINED of each."""
@@ -201,7 +234,7 @@ def scan(docs: DataFrame, path_col: str = "source", text_col: str = "text", labe
     words = dictionary(own, t)
     follow = transitions(words)
     if labelled is None:
-        labelled = labelled_findings(docs.sparkSession).unionByName(mined_findings(found, words))
+        labelled = labelled_findings(docs.sparkSession).unionByName(short_findings(docs.sparkSession)).unionByName(mined_findings(found, words))
     trees = forest(labelled, words, follow)
     found = scored(covered(found, words), F.col(path), trees, follow)
     return restored(found.withColumn("is_secret", F.col("score") >= least), docs, added, t)
