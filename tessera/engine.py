@@ -11,6 +11,10 @@ from .sources.ingest import ingest, ingest_directory
 from .sources.store import TABLES, Store
 
 
+#: Tables with a lexical index: what a hit is named by, and the text.
+INDEXED = {"chunks": ("chunk_id", "content"), "symbols": ("symbol_id", "name")}
+
+
 class Engine:
     """Over the tables of a store. Questions are texts or a table (query_id, text); answers are DataFrames."""
 
@@ -23,6 +27,22 @@ class Engine:
             ingest_directory(self.spark, sources, self.store, **options)
         else:
             ingest(sources, self.store, **options)
+        self.index()
+
+    def index(self) -> None:
+        """Build the lexical indexes of the tables as they are now; those of earlier versions go."""
+        for table, (key, column) in INDEXED.items():
+            home, name = f"{self.store.root}/_lexical", f"{table}-{self.store.version(table)}"
+            lexical.Index(self.spark, f"{home}/{name}").build(self.table(table), key, column, places=table == "chunks")
+            for other in self.store._names(home):
+                if other.startswith(f"{table}-") and other != name:
+                    at, fs = self.store._fs(f"{home}/{other}")
+                    fs.delete(at, True)
+
+    def _indexed(self, table: str) -> lexical.Index | None:
+        """The index of a table, if there is one of its current version."""
+        home, name = f"{self.store.root}/_lexical", f"{table}-{self.store.version(table)}"
+        return lexical.Index(self.spark, f"{home}/{name}") if name in self.store._names(home) else None
 
     def table(self, name: str) -> DataFrame:
         return self.store.load(name)
@@ -59,16 +79,30 @@ class Engine:
         return graph.dependents_within_two(changed, self.table("edges"))
 
     def retrieve(self, questions: DataFrame | str, n: int = 10, language: str | None = None, file_id: str | None = None, **_unused) -> DataFrame:
-        """query_id, id, score, rank: BM25 over the chunks, of one language or file; other filters are ignored."""
+        """query_id, id, score, rank: BM25 over the chunks, of one language or file; other filters are ignored. Without a filter
+        from the index, where it is current; else by a scan."""
+        index = self._indexed("chunks") if language is None and file_id is None else None
+        if index:
+            return index.search(self._asked(questions), n)
         c = self.table("chunks")
         for column, value in (("language", language), ("file_id", file_id)):
             c = c if value is None else c.where(F.col(column) == value)
         return lexical.search(c, self._asked(questions), "chunk_id", "content", n)
 
     def symbols(self, questions: DataFrame | str, n: int = 25) -> DataFrame:
-        """query_id, id, score, rank: BM25 over the names of symbols."""
+        """query_id, id, score, rank: BM25 over the names of symbols, from the index, where it is current."""
+        index = self._indexed("symbols")
+        if index:
+            return index.search(self._asked(questions), n, every=False)
         return lexical.search(self.table("symbols"), self._asked(questions), "symbol_id", "name", n, every=False)
 
+    def phrases(self, questions: DataFrame | str, n: int = 10) -> DataFrame:
+        """query_id, id, score, rank of the chunks that hold a question's words next to one another."""
+        index = self._indexed("chunks")
+        if not index:
+            self.index()
+        return (index or self._indexed("chunks")).phrases(self._asked(questions), n)
+
     def search(self, questions: DataFrame | str, n: int = 10, near: DataFrame | None = None) -> DataFrame:
         """query_id, id, source, rank: chunks, then symbols; fused by reciprocal ranks with a list of nearest chunks (query_id,
         id, rank) where there is one."""

@@ -99,15 +99,18 @@ class Index:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self._table = spark, root.rstrip("/"), None
 
-    def build(self, rows: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> Index:
+    def build(self, rows: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None, places: bool = False) -> Index:
         """Write the index of all terms, or of those of the queries `only` (query_id, text). Statistics cover all rows. The texts
-        are read once; what is shuffled are counts."""
-        counts = self._counted(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), only)
+        are read once; what is shuffled are counts. places: also where in a row each term is, for phrases."""
+        counts = self._counted(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), only, places)
         segs = F.ceil(F.col("n_rows") / SEGMENT).cast("long")
         whole = counts.where("term is null").agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl"))
         whole.withColumn("segs", segs).withColumn("id_type", F.lit(rows.schema[id_col].dataType.simpleString())).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/whole")
         n_segs, self._table = max(1, self._whole().first().segs), None
         p = counts.where("term is not null")
+        if places:
+            at = p.select("term", "id", "dl", "at", bucket_of("term").alias("bucket"))
+            at.hint("rebalance", "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/places")
         part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         p = p.join(F.broadcast(self._whole().select("avgdl")))  # one row
         p = p.select("term", "id", part.alias("part"), F.pmod(F.xxhash64("id"), F.lit(n_segs)).alias("seg"))
@@ -128,8 +131,9 @@ class Index:
             self._table = self.spark.read.schema(schema).parquet(f"{self.root}/blocks")
         return self._table
 
-    def _counted(self, rows: DataFrame, only: DataFrame | None) -> DataFrame:
-        """id, dl, term, tf: the terms of each row, counted inside it, and a row without a term for each row, written once."""
+    def _counted(self, rows: DataFrame, only: DataFrame | None, places: bool) -> DataFrame:
+        """id, dl, term, tf, at (places): the terms of each row, counted inside it, and a row without a term for each row,
+        written once."""
         terms = None
         d = rows.select("id", tokens(F.col("text")).alias("t"))
         if only is not None:
@@ -141,7 +145,7 @@ class Index:
             for b in batches:
                 ids, t = b.column(0), b.column(1)
                 dl = pc.list_value_length(t).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, dl, pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.float64())], ["id", "dl", "term", "tf"])
+                yield pa.RecordBatch.from_arrays([ids, dl, pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.float64()), pa.nulls(len(b), pa.list_(pa.int32()))], names)
                 flat = pc.list_flatten(t)
                 if terms is None:
                     encoded = flat.dictionary_encode()
@@ -150,10 +154,17 @@ class Index:
                     code, words = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy(zero_copy_only=False), terms
                 row = pc.list_parent_indices(t).to_numpy(zero_copy_only=False).astype(np.int64)
                 key, tf = np.unique(row[code >= 0] * max(1, len(words)) + code[code >= 0], return_counts=True)
-                at = pa.array(key // max(1, len(words)))
-                yield pa.RecordBatch.from_arrays([ids.take(at), dl.take(at), words.take(pa.array(key % max(1, len(words)))), pa.array(tf.astype(np.float64))], ["id", "dl", "term", "tf"])
-
-        schema = f"id {rows.schema['id'].dataType.simpleString()}, dl long, term string, tf double"
+                of = pa.array(key // max(1, len(words)))
+                at = pa.nulls(len(key), pa.list_(pa.int32()))
+                if places:
+                    begin = np.cumsum(dl.fill_null(0).to_numpy()) - dl.fill_null(0).to_numpy()
+                    place = (np.arange(len(row)) - begin[row])[code >= 0]
+                    order = np.argsort(row[code >= 0] * max(1, len(words)) + code[code >= 0], kind="stable")
+                    at = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([ids.take(of), dl.take(of), words.take(pa.array(key % max(1, len(words)))), pa.array(tf.astype(np.float64)), at], names)
+
+        schema = f"id {rows.schema['id'].dataType.simpleString()}, dl long, term string, tf double, at array<int>"
+        names = ["id", "dl", "term", "tf", "at"]
         path, key = f"{self.root}/counts", "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         self.spark.conf.set(key, "1000")  # for this write; texts can be long
@@ -163,7 +174,7 @@ class Index:
             self.spark.conf.set(key, before)
         out = self.spark.read.schema(schema).parquet(path)
         if only is not None and terms is None:
-            out = out.join(asked_for, "term", "left_semi").unionByName(out.where("term is null").select("term", "id", "dl", "tf"))
+            out = out.join(asked_for, "term", "left_semi").unionByName(out.where("term is null").select("term", "id", "dl", "tf", "at"))
         return out
 
     def search(self, queries: DataFrame, n: int = 50, every: bool = True) -> DataFrame:
@@ -246,6 +257,38 @@ class Index:
         got = got.groupBy("query_id", "id", "terms").agg(F.round(F.sum(F.col("idf") * F.col("part")), 6).alias("score"), F.count(F.lit(1)).alias("have"))
         return (got.where("have = terms") if every else got).select("query_id", "id", "score")
 
+    def phrases(self, queries: DataFrame, n: int = 50) -> DataFrame:
+        """query_id, id, score, rank of the n best rows that hold the words of a query (query_id, text) next to one another; a
+        phrase counts as one term. From an index built with places.
+
+        A phrase may begin where its rarest word is, less that word's offset; its other words are joined by row and must have
+        the place that their offset says. The texts are not read.
+        """
+        words = queries.select("query_id", F.posexplode(tokens(F.col("text"))).alias("offset", "term")).withColumn("bucket", bucket_of("term"))
+        words = small_side(self._written(words, "words"))
+        terms = words.select("bucket", "term").distinct()
+        kind = self._whole().first().id_type
+        all_places = self.spark.read.schema(f"term string, id {kind}, dl long, at array<int>, bucket int").parquet(f"{self.root}/places")
+        places = all_places.join(small_side(terms), ["bucket", "term"], "left_semi")
+        df = places.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        mine = Window.partitionBy("query_id")
+        q = words.join(df, "term", "left").withColumn("words", F.count(F.lit(1)).over(mine)).withColumn("met", F.count("df").over(mine)).where("met = words")
+        q = small_side(self._written(q.withColumn("first", F.row_number().over(mine.orderBy("df", "offset")) == 1), "phrases"))
+        begun = places.join(q.where("first").select("query_id", "term", F.col("offset").alias("o")), "term")
+        begun = begun.select("query_id", "id", "dl", F.explode(F.transform("at", lambda x: x - F.col("o"))).alias("begin")).where("begin >= 0")
+        need = begun.join(q.where("not first").select("query_id", "term", "offset", "words"), "query_id")
+        theirs = places.select(F.col("term").alias("_t"), F.col("id").alias("_i"), "at")
+        met = need.join(theirs, (F.col("term") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_i")))
+        met = met.where(F.array_contains("at", (F.col("begin") + F.col("offset")).cast("int"))).groupBy("query_id", "id", "dl", "begin", "words").agg(F.count(F.lit(1)).alias("have"))
+        whole = met.where("have = words - 1").select("query_id", "id", "dl", "begin").unionByName(begun.join(q.where("words = 1").select("query_id"), "query_id", "left_semi").select("query_id", "id", "dl", "begin"))
+        hits = whole.groupBy("query_id", "id", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf")).withColumn("k", F.count(F.lit(1)).over(mine))
+        hits = hits.join(F.broadcast(self._whole().select("n_rows", "avgdl")))  # one row
+        idf = F.greatest(F.ln((F.col("n_rows") - F.col("k") + 0.5) / (F.col("k") + 0.5)), F.lit(FLOOR))
+        score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        hits = hits.select("query_id", "id", F.round(score, 6).alias("score"))
+        best = F.row_number().over(mine.orderBy(F.desc("score"), "id")).cast("long")
+        return hits.withColumn("rank", best).where(F.col("rank") <= n)
+
     def clean(self) -> None:
         """Delete the small tables of searches (no result of one may still be unread)."""
         jvm = self.spark._jvm

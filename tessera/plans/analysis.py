@@ -244,6 +244,13 @@ def bm25_any(t):
     return lexical.Index(t.spark, f"{t.scratch()}/lexical").build(t.documents, "doc_id", "text", only=asks(t)).search(asks(t), 20, every=False)
 
 
+@query("phrase_index", "WITH d AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM documents), s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM d), w AS (SELECT id, len(t) AS dl, unnest(t[1:len(t) - 1]) AS a, unnest(t[2:]) AS b FROM d), q AS (SELECT id AS query_id, t[3] AS a, t[4] AS b FROM d WHERE id % 100 = 0 AND len(t) >= 4), h AS (SELECT query_id, id, dl, count(*) AS tf FROM q JOIN w USING (a, b) GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS k FROM h), r AS (SELECT query_id, id, round(greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM k, s) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 20")
+def phrase_index(t):
+    """Two neighbouring words of every hundredth document, as phrases over the places of an index."""
+    q = asks(t).where(F.size(text.tokens(F.col("text"))) == 2)
+    return lexical.Index(t.spark, f"{t.scratch()}/lexical").build(t.documents, "doc_id", "text", only=q, places=True).phrases(q, 20)
+
+
 @query("bm25_held", "WITH " + lexical_sql(ASKS, DOCS, 20) + ", h AS (SELECT q, sum(k) AS held, count(*) AS c FROM bt JOIN df USING (term) GROUP BY q) SELECT q AS query_id, CAST(held AS BIGINT) AS held FROM h JOIN nt USING (q, c)")
 def bm25_held(t):
     """The postings that each question's words have (a search looks at fewer)."""

@@ -51,3 +51,16 @@ def test_index_of_nothing(spark, tmp_path):
     q = spark.createDataFrame([(0, "a b")], "query_id long, text string")
     assert index.search(q).count() == 0 and index.reads(q).count() == 0
     assert index.search(q.limit(0), every=False).count() == 0
+
+
+def test_phrases_against_a_scan_of_all_rows(spark, tmp_path):
+    rows = corpus(spark, 300)
+    index = lexical.Index(spark, str(tmp_path)).build(rows, "id", "text", places=True)
+    asked = {0: "w1 w2", 1: "w0 w0", 2: "W3", 3: "w2 w1 w0", 4: "w1 nowhere", 5: "w2 w1 w2", 6: "ete w3 W3"}
+    got = {}
+    for r in index.phrases(spark.createDataFrame(list(asked.items()), "query_id long, text string"), 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    for i, phrase in asked.items():
+        want = [(k + 1, r.id, r.score) for k, r in enumerate(lexical.bm25_phrase(rows, phrase, "id", "text", 7).collect())]
+        assert sorted(got.get(i, [])) == want
+    assert len(got) == 6 and index.phrases(spark.createDataFrame([(0, ""), (1, None)], "query_id long, text string")).count() == 0
