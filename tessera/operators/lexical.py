@@ -82,6 +82,8 @@ BUCKETS, LEVELS, SEGMENT = 16, 64, 8192
 TERMS = 100_000
 #: Scores are rounded to six places, so a bound may be short of a score by so much.
 SLACK = 2e-6
+#: Postings of a search up to which they are all looked at: a threshold is worth its pass where lists are longer.
+SHORT = 200_000
 
 
 class Index:
@@ -232,6 +234,8 @@ class Index:
         """_planned(), and the blocks of _bounds() that reach their query's threshold."""
         q = self._planned(queries, every)
         bounds = self._written(self._bounds(q, every), "bounds")
+        if (bounds.agg(F.sum("n")).first()[0] or 0) <= SHORT:
+            return q, bounds
         best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "level", "seg")
         seeds = bounds.withColumn("r", F.row_number().over(best)).where(F.col("r") <= n)
         before = F.coalesce(F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

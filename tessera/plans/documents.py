@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import chunking
+from ..operators import chunking, trigrams
 from .registry import Tables, query
 
 LONG = "long"
@@ -122,11 +122,22 @@ def grep_lines(t):
     return grep(files(t), F.lower("s").contains("public license"))
 
 
-@query("grep_regex", "SELECT file_id, CAST(i AS BIGINT) AS line_number, trim(string_split(text, chr(10))[i], ' ') AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {files}) WHERE regexp_matches(string_split(text, chr(10))[i], 'token = \"[0-9a-f]{8}')")
+GREP_SQL = "SELECT file_id, CAST(i AS BIGINT) AS line_number, trim(string_split(text, chr(10))[i], ' ') AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {files}) WHERE regexp_matches(string_split(text, chr(10))[i], 'token = \"[0-9a-f]{8}')"
+
+
+@query("grep_regex", GREP_SQL)
 def grep_regex(t):
     return grep(files(t), F.col("s").rlike('token = "[0-9a-f]{8}'))
 
 
+@query("grep_index", GREP_SQL)
+def grep_index(t):
+    """As grep_regex, over an index of trigrams; only lines of files that can match are looked at."""
+    f, pattern = files(t).select("file_id", "text"), 'token = "[0-9a-f]{8}'
+    found = trigrams.Trigrams(t.spark, f"{t.scratch()}/trigrams").build(f, "file_id", "text").search(f, pattern, "file_id", "text")
+    return trigrams.lines(found, "text", F.col("s").rlike(pattern))
+
+
 def grep(f: DataFrame, where: Column) -> DataFrame:
     d = f.select("file_id", F.posexplode(F.split("text", "\n")).alias("i", "s")).where(where)
     return d.select("file_id", (F.col("i") + 1).cast(LONG).alias("line_number"), F.trim("s").alias("line"))

@@ -23,6 +23,7 @@ QUERIES = [(0, "w3"), (1, "w1 w2"), (2, "w0 w1 w2 w3 w4"), (3, "w199 w0"), (4, "
 @pytest.mark.parametrize("n", [1, 20])
 def test_index_gives_what_a_scan_gives(spark, tmp_path, monkeypatch, every, n):
     monkeypatch.setattr(lexical, "SEGMENT", 100)
+    monkeypatch.setattr(lexical, "SHORT", 0)
     rows, queries = corpus(spark, 700), spark.createDataFrame(QUERIES, "query_id long, text string")
     for only in (None, queries):
         index = lexical.Index(spark, f"{tmp_path}/{only is None}").build(rows, "id", "text", only)
@@ -36,6 +37,7 @@ def test_index_gives_what_a_scan_gives(spark, tmp_path, monkeypatch, every, n):
 
 def test_search_reads_a_part_of_the_postings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "SEGMENT", 200)
+    monkeypatch.setattr(lexical, "SHORT", 0)
     rows = corpus(spark, 2000)
     index = lexical.Index(spark, str(tmp_path)).build(rows, "id", "text")
     assert index._whole().first().segs == 11
