@@ -36,8 +36,9 @@ SHORTEST = 6
 NAMED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?[ \t]{0,2}[:=]{1,2}[ \t]{0,2}[\"'`]?"
 LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 DOTTED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)?"
-ASSIGNED = rf"(?<={NAMED})(?!LONG)[^\s\"'`,;<>(){{}}&]{{{SHORTEST},}}".replace("LONG", LONG)
-USERINFO = rf"(?<=://[A-Za-z0-9._%+-]{{0,64}}:)[^\s/@:\"'<>]{{{SHORTEST},}}+(?=@)"
+#: A look at one to three characters before the longer one, which only few places then need.
+ASSIGNED = rf"(?<=[\"'`:= \t])(?<=[\"'`:=]|[:=][ \t]|[:=][ \t][ \t])(?<={NAMED})(?!LONG)[^\s\"'`,;<>(){{}}&]{{{SHORTEST},}}+".replace("LONG", LONG)
+USERINFO = rf"(?<=:)(?<=://[A-Za-z0-9._%+-]{{0,64}}:)[^\s/@:\"'<>]{{{SHORTEST},}}+(?=@)"
 CANDIDATE = "|".join((DOTTED, USERINFO, ASSIGNED, LONG))
 AROUND = 48  # three candidates at most
 KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z2-7]{16}$|gh[opsur]_[A-Za-z0-9]{20}|(?:sk|pk|rk)[_-](?:live|test)[_-]|eyJ[A-Za-z0-9_-]+[.])"  # forms that issuers give to their keys
