@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import ignored, language_of, suffix
+from ..functions.paths import ignored, language_of
 from ..functions.text import lines
+from .listing import listing, with_texts
 
 SKIPPED = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".tox", "target", ".idea", ".vscode")
 
@@ -18,59 +19,16 @@ SKIPPED = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv"
 def scan(spark: SparkSession, root: str, extensions: Sequence[str] | None = None, ignore: Sequence[str] = (), include_dirs: Sequence[str] = (), skipped: Sequence[str] = SKIPPED) -> DataFrame:
     """path (relative), language, size_bytes, last_modified, line_count, text of the files below root (or root itself).
 
-    Directories with an excluded name are left out of the listing, so that nothing in them is read.
+    Directories with an excluded name are left out of the listing, so that nothing in them is looked at; suffixes and
+    included directories reach the listing, and only files that pass all rules are read.
     """
-    base = root.rstrip("/")
-    columns = "path string, modificationTime timestamp, length long, content binary"
-    paths, empty = kept_paths(spark, base, skipped)
-    one = spark.createDataFrame(empty, "path string, ms long").select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
-    if paths:
-        one = one.unionByName(spark.read.format("binaryFile").option("recursiveFileLookup", "true").schema(columns).load(paths))
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.replace(".", r"\.") + "/?", "")
-    d = one.select(F.when(path == "", F.element_at(F.split("path", "/"), -1)).otherwise(path).alias("path"), F.col("modificationTime").alias("last_modified"), F.col("length").alias("size_bytes"), "content")
-    d = d.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped))))
+    d = listing(spark, root, skipped, [x.rstrip("/") + "/" for x in include_dirs])
     if extensions:
-        d = d.where(suffix(F.col("path")).isin([e.lstrip(".").lower() for e in extensions]))
-    inside = F.lit(not include_dirs)
-    for x in include_dirs:
-        inside = inside | F.col("path").startswith(x.rstrip("/") + "/")
-    d = d.where(inside & ~ignored(F.col("path"), ignore))
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
-    d = d.withColumn("text", text).drop("content")
+        d = d.where(F.col("suffix").isin([e.lstrip(".").lower() for e in extensions]))
+    d = with_texts(d.where(~ignored(F.col("path"), ignore)).drop("suffix"), root)
     return d.withColumn("language", language_of(F.col("path"))).withColumn("line_count", F.size(lines(F.col("text"))).cast("long"))
 
 
-def kept_paths(spark: SparkSession, root: str, skipped: Sequence[str] = SKIPPED) -> tuple[list[str], list[tuple[str, int]]]:
-    """What to read for all files below root that are in no excluded directory: directories without one below them, and the
-    single files beside the others; root itself if it is a file. And (path, milliseconds) of empty files, which no scan reads."""
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        raise FileNotFoundError(root)
-
-    empty: list[tuple[str, int]] = []
-
-    def kept(at) -> tuple[list[str], bool]:
-        """Paths, and whether all below is kept."""
-        paths, whole = [], True
-        for x in fs.listStatus(at):
-            name = x.getPath().getName()
-            if not x.isDirectory() and not x.getLen() and not name.startswith(("_SUCCESS", ".")):
-                empty.append((x.getPath().toString(), x.getModificationTime()))
-            elif not x.isDirectory():
-                paths.append(x.getPath().toString())
-            elif name in skipped:
-                whole = False
-            else:
-                below, clean = kept(x.getPath())
-                paths += below
-                whole = whole and clean
-        return ([at.toString()], True) if whole else (paths, False)
-
-    return ([root] if fs.getFileStatus(top).isFile() else kept(top)[0]), empty
-
-
 def ignore_file(spark: SparkSession, path: str) -> list[str]:
     """Patterns of an ignore file (a short file of rules); a missing file has none."""
     if not os.path.exists(path):
