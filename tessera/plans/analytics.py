@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import context, fusion, graph, incremental, lexical, metrics, usage
 from ..operators.sizes import small_side
+from ..sources.rollup import Rollup
+from ..sources.store import Store
 from .documents import chunks, files, symbols
 from .registry import query
 
@@ -392,6 +394,46 @@ def incremental_impact(t):
     return hit.join(d.where("status = 'deleted'"), "doc_id", "left_anti")
 
 
+# Facts of the files, put in wrong for one tenth, then put right (twice: the second counts for nothing), one tenth then deleted
+
+HELD = "hf AS (SELECT f.language, c.source, f.line_count, c.complexity FROM {cx} c JOIN {files} f USING (doc_id) WHERE doc_id % 10 <> 3)"
+
+
+def held(t) -> Rollup:
+    r = Rollup(Store(t.spark, t.scratch()), "files", "file_id", ["language", "source"], ["line_count", "complexity"], ["complexity"])
+    f = t.written(complexity(t).select("doc_id", *r.columns), "facts")
+    off = F.when(F.col("doc_id") % 10 == 2, 1000).otherwise(0)
+    r.apply(f.withColumn("complexity", F.col("complexity") + off).withColumn("line_count", F.col("line_count") + off), 1)
+    for _ in range(2):
+        r.apply(f.where("doc_id % 10 = 2"), 2)
+    r.delete(f.where("doc_id % 10 = 3"), 3)
+    return r
+
+
+@query("rollup_files", "WITH " + HELD + ", u AS (SELECT 'all' AS kind, NULL AS key, * FROM hf UNION ALL SELECT 'language', language, * FROM hf UNION ALL SELECT 'source', source, * FROM hf) SELECT kind, key, count(*) AS n, CAST(sum(line_count) AS BIGINT) AS sum_line_count, CAST(sum(complexity) AS BIGINT) AS sum_complexity, min(complexity) AS min_complexity, max(complexity) AS max_complexity, count(DISTINCT complexity) AS different_complexity FROM u GROUP BY kind, key")
+def rollup_files(t):
+    return held(t).read()
+
+
+@query("rollup_bins", "WITH " + HELD + " SELECT source, CASE WHEN complexity <= 5 THEN 'low (1-5)' WHEN complexity <= 10 THEN 'medium (6-10)' WHEN complexity <= 20 THEN 'high (11-20)' ELSE 'very high (>20)' END AS bin, count(*) AS n FROM hf GROUP BY ALL")
+def rollup_bins(t):
+    """Complexity of each source's files in bins, from the counts of values."""
+    v = held(t).values("complexity").where("kind = 'source'")
+    return v.groupBy(F.col("key").alias("source"), metrics.complexity_bin(F.col("value")).alias("bin")).agg(F.sum("n").alias("n"))
+
+
+@query("rollup_degrees", "WITH e AS (SELECT src, CASE WHEN src % 10 = 2 THEN src + 1 ELSE dst END AS dst FROM {edges} WHERE src % 10 <> 3) SELECT file, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT src AS file, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY file")
+def rollup_degrees(t):
+    """Dependencies out and in of each file, after some files have other ones and some have none."""
+    r = Rollup(Store(t.spark, t.scratch()), "edges", "src", ["src", "dst"])
+    e = t.written(edges(t), "edges")
+    r.apply(e, 1)
+    r.apply(e.where("src % 10 = 2").withColumn("dst", F.col("src") + 1), 2)
+    r.delete(e.where("src % 10 = 3"), 3)
+    n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias({"src": "n_out", "dst": "n_in"}[kind])
+    return r.read().where("kind <> 'all'").groupBy(F.col("key").cast(LONG).alias("file")).agg(n("src"), n("dst"))
+
+
 @query("impacted_docs", "SELECT DISTINCT b.doc_id FROM documents a JOIN documents b ON a.source = b.source WHERE a.doc_id IN (5, 17, 40)")
 def impacted_docs(t):
     d = t.documents.select("doc_id", "source")

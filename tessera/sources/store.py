@@ -174,6 +174,17 @@ class Store:
             out = out.unionByName(d)
         return out
 
+    def lookup(self, table: str, owners: DataFrame) -> DataFrame:
+        """The rows of some owners (a column named as the table's owner): only the buckets that these fall in are read."""
+        m = self.manifest(table)
+        if m["owner"] not in owners.columns:
+            raise ValueError(f"{table!r} is kept by {m['owner']!r}")
+        wanted = owners.select(F.col(m["owner"]).cast(StructType.fromJson(m["schema"])[m["owner"]].dataType)).distinct()
+        if any(e["at"] is None for e in m["entries"]):
+            return self._visible(m).join(wanted, m["owner"], "left_semi")
+        at = {r[0] for r in wanted.select(self._bucket(m["owner"], m["buckets"])).distinct().collect()}  # numbers of buckets
+        return self._visible(m, at).join(wanted, m["owner"], "left_semi")
+
     # --- changes
 
     def save(self, table: str, df: DataFrame, owner: str | None = None, expect: int | None = None) -> None:
@@ -222,6 +233,10 @@ class Store:
         self._change(table, add)
         self.compact(table, MOST)
 
+    def add(self, table: str, rows: DataFrame, owner: str) -> None:
+        """Add rows to what their owners have."""
+        self._log(table, rows, None, owner) if self.exists(table) else self.save(table, rows, owner)
+
     def append(self, table: str, rows: DataFrame, key: str) -> None:
         """Add the rows whose key the table does not hold; of rows that repeat a key one is added."""
         new = rows.dropDuplicates([key])
