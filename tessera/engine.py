@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .functions import text
 from .operators import context, fusion, graph, lexical
 from .sources.ingest import ingest, ingest_directory
@@ -54,6 +55,11 @@ class Engine:
             self.table(t).createOrReplaceTempView(prefix + t)
         return [prefix + t for t in have]
 
+    def register_functions(self, prefix: str = "") -> list[str]:
+        """Views of all tables and functions over them (tessera.sql), for the user's own SQL; gives the names of the functions."""
+        self.register_views(prefix)
+        return sql.register(self.spark, prefix=prefix)
+
     def files(self, language: str | None = None) -> DataFrame:
         f = self.table("files")
         return f if language is None else f.where(F.col("language") == language)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..functions import paths
 from ..operators import chunking, dense, docs, metadata, pages, parsing, usage
 from ..operators.incremental import snapshot_diff
 from ..sources import ingest, tree
 from ..sources.chat import Sessions
 from ..sources.store import Store
-from .analytics import DIFF, calls, edges, new, old
-from .documents import chunks, files
+from .analytics import BM, DIFF, calls, edges, new, old
+from .documents import chunks, files, symbols
 from .registry import query
 
 # --- sources of a code base, made from the documents: every fourth one Python, JavaScript, Java or text
@@ -219,6 +220,39 @@ def file_tree(t):
     return d.groupBy(paths.directory(F.col("path")).alias("dir"), "language").agg(F.sum("size_bytes").alias("size_bytes"))
 
 
+# --- the same from SQL alone, by functions that the session has
+
+
+def session(t) -> None:
+    """Registers the functions and the views that they read."""
+    e = edges(t).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    sql.register(t.spark, {"files": files(t), "chunks": chunks(t), "symbols": symbols(t), "edges": e, "sources": sources(t)}, "tessera_")
+
+
+@query("sql_search", BM + "SELECT id AS chunk_id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r ORDER BY score DESC, id LIMIT 10")
+def sql_search(t):
+    session(t)
+    return t.spark.sql("SELECT chunk_id, score, rank FROM tessera_search_chunks('Public license', 10)")
+
+
+@query("sql_chunks", "SELECT file_id, start_line, end_line, content FROM {chunks}")
+def sql_chunks(t):
+    session(t)
+    return t.spark.sql("SELECT f.file_id, c.start_line, c.end_line, c.content FROM tessera_files f, LATERAL tessera_sliding_chunks(f.text, 10, 2) c")
+
+
+@query("sql_parse", "WITH " + PARSED + " SELECT language, kind, count(*) AS n, count(DISTINCT name) AS names FROM ps WHERE kind <> 'module' GROUP BY ALL")
+def sql_parse(t):
+    session(t)
+    return t.spark.sql("SELECT s.language, p.kind, count(*) AS n, count(DISTINCT p.name) AS names FROM tessera_sources s, LATERAL tessera_parse_source(s.text, s.language) p GROUP BY s.language, p.kind")
+
+
+@query("sql_impact", "WITH h AS (SELECT dst AS changed, src AS hit, 1 AS steps FROM {edges} UNION ALL SELECT a.dst, b.src, 2 FROM edges a JOIN edges b ON b.dst = a.src) SELECT CAST(changed AS VARCHAR) AS changed, f.source, CAST(hit AS VARCHAR) AS hit, min(steps) AS steps FROM h JOIN documents f ON f.doc_id = changed WHERE hit <> changed GROUP BY ALL")
+def sql_impact(t):
+    session(t)
+    return t.spark.sql("SELECT f.changed, f.source, i.file_id AS hit, i.steps FROM (SELECT CAST(doc_id AS STRING) AS changed, source FROM tessera_files) f, LATERAL tessera_impact_of(f.changed) i")
+
+
 # --- pages
 
 NAMES = ["index.md", "guides/getting-started.md", "api/index.md"]

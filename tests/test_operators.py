@@ -314,8 +314,10 @@ def test_watched_folder_into_the_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "store"))
     for k in range(2):
         changes.apply_changes(files.watch(spark, str(tmp_path / "in")), s, "files", str(tmp_path / "cp")).awaitTermination(60)
-        assert {(r.file_id, r.language) for r in s.load("files").collect()} == ({("a.py", "python")} if not k else {("a.py", "python"), ("b.md", "markdown")})
+        assert {(r.file_id, r.language) for r in s.load("files").collect()} == ({("a.py", "python")} if not k else {("a.py", "python"), ("x/a.py", "python"), ("b.md", "markdown")})
         (tmp_path / "in" / "b.md").write_text("# b\n")
+        (tmp_path / "in" / "x").mkdir(exist_ok=True)
+        (tmp_path / "in" / "x" / "a.py").write_text("y = 1\n")
 
 
 def test_subword_counts(spark, tmp_path):

@@ -13,7 +13,7 @@ TABLES = "documents embeddings pages benchmark labels conversations events".spli
 
 
 #: Queries for a phrase that the smallest tables do not hold; over larger ones they give rows.
-EMPTY = {"bm25_chunks", "bm25_filtered", "bm25_phrase", "grep_index", "grep_lines", "grep_regex", "regex_extract"}
+EMPTY = {"bm25_chunks", "bm25_filtered", "bm25_phrase", "grep_index", "grep_lines", "grep_regex", "regex_extract", "sql_search"}
 
 
 @pytest.fixture(scope="module")
