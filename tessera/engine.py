@@ -117,8 +117,9 @@ class Engine:
 
     def context(self, questions: DataFrame | str, budget: int = 2000) -> DataFrame:
         """The rows of a context for each question within the budget, by the question's intent."""
-        f = self.table("files").select("*", F.col("file_id").alias("doc_id"))
-        return context.answer_context(self._asked(questions), f, self.table("chunks"), self.table("symbols"), self.table("edges"), budget)
+        f, q, index = self.table("files").select("*", F.col("file_id").alias("doc_id")), self._asked(questions), self._indexed("chunks")
+        best = index.search(q, 20, every=False) if index else None
+        return context.answer_context(q, f, self.table("chunks"), self.table("symbols"), self.table("edges"), budget, best=best)
 
     def analyze(self, questions: DataFrame | str) -> DataFrame:
         """query_id, intent, complexity, symbols, files of each question."""

@@ -363,11 +363,27 @@ def code_samples(t):
     return context.code_samples(chunks(t).withColumn("kind", F.lit("window")), "License", 3, 500).select("chunk_id", "sample")
 
 
-@query("rag_context")
+#: Tokens of a section of a context of 2000, by intent.
+ROOM = "(VALUES ('architectural', 'overview', 600), ('architectural', 'modules', 600), ('architectural', 'dependencies', 600), ('architectural', 'chunks', 200), ('implementation', 'symbols', 1200), ('implementation', 'chunks', 800), ('usage', 'symbols', 800), ('usage', 'chunks', 1200), ('debugging', 'symbols', 600), ('debugging', 'chunks', 1400), ('general', 'overview', 400), ('general', 'chunks', 1600)) rm(intent, section, room)"
+CONTEXT = f"""WITH {QUESTIONS}, qq AS (SELECT conv_id || '-' || turn AS query_id, {INTENT} AS intent, {SYMS} AS names, q FROM qs),
+{lexical_sql("SELECT query_id AS q, q AS text FROM qq", "SELECT chunk_id AS id, content AS text FROM {chunks}", 20).replace("JOIN nt USING (q, c)", "")},
+nq AS (SELECT query_id, unnest(names) AS name FROM qq),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_id, line, symbol_id) AS rank FROM {{symbols}} JOIN nq USING (name)) WHERE rank <= 20),
+md AS (SELECT query_id, file_id, min(rank) AS rank FROM hit GROUP BY ALL),
+parts AS (SELECT query_id, 'overview' AS section, 1 AS rank, 'overview' AS id, content FROM qq, (SELECT 'Files: ' || count(*) || '; languages: ' || string_agg(DISTINCT language, ', ' ORDER BY language) AS content FROM {{files}})
+UNION ALL SELECT query_id, 'modules', rank, file_id, file_id || ' ' || language || ' ' || line_count || ' lines' FROM md JOIN files USING (file_id)
+UNION ALL SELECT query_id, 'dependencies', min(rank), file_id, 'depends on ' || string_agg('doc_' || dst, ', ' ORDER BY dst) FROM md JOIN files USING (file_id) JOIN {{edges}} ON src = doc_id GROUP BY query_id, file_id
+UNION ALL SELECT query_id, 'symbols', rank, symbol_id, kind || ' ' || name || ' in ' || file_id FROM hit
+UNION ALL SELECT q, 'chunks', rank, id, content FROM ranks JOIN chunks ON chunk_id = id)
+SELECT query_id, intent, section, rank, id, tokens, content FROM (SELECT query_id, intent, section, rank, id, length(content) // 4 AS tokens, content, room, sum(length(content) // 4) OVER (PARTITION BY query_id, section ORDER BY rank, id ROWS UNBOUNDED PRECEDING) AS used FROM parts JOIN qq USING (query_id) JOIN {ROOM} USING (intent, section)) WHERE used <= room"""
+
+
+@query("rag_context", CONTEXT)
 def rag_context(t):
-    """The context of each question of a session, packed into its budget by the strategy of its intent."""
-    q = questions(t).where("conv_id % 10 = 0").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("q").alias("text"))
-    return context.answer_context(q, files(t), chunks(t), symbols(t), edges(t), budget=2000)
+    """The context of each question of all sessions, packed into its budget by the strategy of its intent."""
+    q = questions(t).select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("q").alias("text"))
+    best = lexical.Index(t.spark, f"{t.scratch()}/lexical").build(chunks(t), "chunk_id", "content", only=q).search(q, 20, every=False)
+    return context.answer_context(q, files(t), chunks(t), symbols(t), edges(t), budget=2000, best=best)
 
 
 # --- evaluation

@@ -220,7 +220,7 @@ def test_answer_context(spark):
         order.setdefault((r.query_id, r.section), []).append(r["rank"])
     shares = {k: {**v, "chunks": 1 - sum(v.values())} for k, v in context.SHARES.items()}
     intent = {r.query_id: r.intent for r in rows}
-    assert rows and all(n <= 2000 * shares[intent[q]][s] for (q, s), n in room.items())
+    assert rows and all(n <= round(2000 * shares[intent[q]][s]) for (q, s), n in room.items())
     assert {r.section for r in rows} >= {"overview", "symbols", "chunks", "modules"} and len(set(intent.values())) >= 4
 
 
@@ -287,6 +287,18 @@ def test_templates(spark):
         pages.render("answer_question", question=F.lit("x"))
 
 
+def test_a_context_by_scan_and_by_index(spark, tmp_path):
+    from tessera.engine import Engine
+
+    e = Engine(spark, str(tmp_path / "store"))
+    e.ingest(spark.createDataFrame([(f"m{i}.py", "python", f"import m{i + 1}\n\ndef load_{i}():\n    return 'the public helper {i % 3}'\n") for i in range(8)], "file_id string, language string, text string"))
+    asked = spark.createDataFrame([("a", "how is load_1 implemented, public helper 2"), ("b", "what is the architecture of load_2 and load_3"), ("c", ""), ("d", None)], "query_id string, text string")
+    f = e.table("files").select("*", F.col("file_id").alias("doc_id"))
+    scanned = context.answer_context(asked, f, e.table("chunks"), e.table("symbols"), e.table("edges"), 2000)
+    got, want = ({tuple(r) for r in d.collect()} for d in (e.context(asked), scanned))
+    assert got == want and {"chunks", "symbols"} <= {r[2] for r in got if r[0] == "a"} and "dependencies" in {r[2] for r in got if r[0] == "b"}
+
+
 def test_engine(spark, tmp_path):
     from tessera.engine import Engine
 
