@@ -78,14 +78,16 @@ def codebase_type(t):
     return s.select("repo", F.col("primary").alias("primary_language"), F.array_join("frameworks", ",").alias("frameworks"), "kind")
 
 
-#: A code base of each kind: a frontend, a backend by framework and by language, and so on.
-KINDS = [("python", "react"), ("go", "nodejs"), ("typescript", ""), ("dart", "flutter"), ("python", "conda"), ("java", "maven"), ("rust", "cargo"), ("ruby", "composer"), ("ruby", "docker"), (None, "docker")]
+#: A code base of each kind: a frontend, a backend by framework and by language, and so on; dealt to the documents.
+KINDS = [("python", "react"), ("go", "nodejs"), ("typescript", ""), ("dart", "flutter"), ("python", "conda"), ("java", "maven"), ("rust", "cargo"), ("ruby", "composer"), ("ruby", "docker"), ("", "docker")]
+DEALT = "kd AS (SELECT source, nullif(" + picked_sql([k for k, _ in KINDS]) + ", '') AS primary_language, [" + picked_sql([f for _, f in KINDS]) + "] AS frameworks FROM documents)"
 
 
-@query("codebase_kinds", "SELECT primary_language, array_to_string(frameworks, ',') AS frameworks, " + KIND + " AS kind FROM (VALUES " + ", ".join("(" + ("NULL" if p is None else f"'{p}'") + f", ['{f}'])" for p, f in KINDS) + ") v(primary_language, frameworks)")
+@query("codebase_kinds", "WITH " + DEALT + " SELECT source, primary_language, array_to_string(frameworks, ',') AS frameworks, " + KIND + " AS kind, count(*) AS n FROM kd GROUP BY ALL")
 def codebase_kinds(t):
-    d = t.spark.createDataFrame([(p, [f]) for p, f in KINDS], "primary_language string, frameworks array<string>")
-    return d.select("primary_language", F.array_join("frameworks", ",").alias("frameworks"), detect.codebase_type(F.col("primary_language"), F.col("frameworks")).alias("kind"))
+    d = t.documents.select("source", F.nullif(picked([k for k, _ in KINDS]), F.lit("")).alias("primary_language"), F.array(picked([f for _, f in KINDS])).alias("frameworks"))
+    kind = detect.codebase_type(F.col("primary_language"), F.col("frameworks")).alias("kind")
+    return d.groupBy("source", "primary_language", F.array_join("frameworks", ",").alias("frameworks"), kind).agg(F.count(F.lit(1)).alias("n"))
 
 
 NAMES = ["core/x", "api/x", "models/x", "services/x", "utils/x", "tests/x", "config/x", "docs/x", "a/x_spec.y", "a/b.yaml", "a/c.json", "a/d.rst", "a/e.txt", "a/b", "a/Main.c"]
@@ -143,9 +145,11 @@ def recommendations(t):
     return rated(t).select(F.explode(metrics.recommendations(F.col("high"), F.col("n_cycles"), F.col("coupled"))).alias("text"))
 
 
-@query("recommendations_none", "SELECT 'Code quality metrics look good! Keep up the good work.' AS text")
+@query("recommendations_none", "SELECT file_id, CASE WHEN complexity > 10 THEN 'Consider refactoring 1 high-complexity files' ELSE 'Code quality metrics look good! Keep up the good work.' END AS text FROM {cx}")
 def recommendations_none(t):
-    return t.spark.range(1).select(F.explode(metrics.recommendations(F.lit(0), F.lit(0), F.lit(0))).alias("text"))
+    """Each file by itself: most have nothing to mend."""
+    high = (F.col("complexity") > 10).cast("int")
+    return complexity(t).select("file_id", F.explode(metrics.recommendations(high, F.lit(0), F.lit(0))).alias("text"))
 
 
 # --- tokens

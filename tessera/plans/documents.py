@@ -284,11 +284,12 @@ def tokens_div4(t):
     return files(t).select("file_id", text.tokens_div4(F.col("text")).alias("n"))
 
 
-@query("budget_table", "SELECT mode, CAST(floor(0.8 * ctx * share) AS BIGINT) AS budget, model FROM (VALUES ('small', 8192), ('large', 128000)) m(model, ctx), (VALUES ('low', 0.3), ('medium', 0.6), ('high', 0.9)) s(mode, share)")
+@query("budget_table", "SELECT file_id, mode, CAST(8 * size_bytes * tenths // 100 AS BIGINT) AS budget FROM {files}, (VALUES ('low', 3), ('medium', 6), ('high', 9)) s(mode, tenths)")
 def budget_table(t):
-    m = t.spark.createDataFrame([("small", 8192), ("large", 128000)], "model string, ctx long")
+    """What a mode may take of a context window, for windows as large as each file."""
     shares = F.create_map(*(F.lit(x) for kv in (("low", 3), ("medium", 6), ("high", 9)) for x in kv))
-    return m.select("model", "ctx", F.explode(shares).alias("mode", "tenths")).select("mode", F.floor(8 * F.col("ctx") * F.col("tenths") / 100).cast(LONG).alias("budget"), "model")
+    m = files(t).select("file_id", "size_bytes", F.explode(shares).alias("mode", "tenths"))
+    return m.select("file_id", "mode", F.floor(8 * F.col("size_bytes") * F.col("tenths") / 100).cast(LONG).alias("budget"))
 
 
 @query("fits_budget", "SELECT file_id FROM {files} WHERE length(text) // 4 <= 100")
@@ -335,12 +336,13 @@ def list_and_more(t):
     return g.select("source", text.list_and_more(F.col("a"), F.col("n")).alias("listing"))
 
 
-@query("prompt_context", "SELECT string_agg('--- ' || file_id || ' (lines ' || start_line || '-' || end_line || ') ---' || chr(10) || content, chr(10) ORDER BY chunk_id) AS prompt FROM {chunks} WHERE doc_id IN (1, 2, 3)")
+@query("prompt_context", "SELECT file_id, string_agg('--- ' || file_id || ' (lines ' || start_line || '-' || end_line || ') ---' || chr(10) || content, chr(10) ORDER BY chunk_id) AS prompt FROM {chunks} GROUP BY file_id")
 def prompt_context(t):
-    c = chunks(t).where("doc_id in (1, 2, 3)")
+    """The context of a prompt on each file: its chunks, each behind its place."""
+    c = chunks(t)
     one = F.concat(F.lit("--- "), F.col("file_id"), F.lit(" (lines "), F.col("start_line"), F.lit("-"), F.col("end_line"), F.lit(") ---\n"), F.col("content"))
-    c = c.agg(F.array_sort(F.collect_list(F.struct("chunk_id", one.alias("x")))).alias("a"))
-    return c.select(F.array_join("a.x", "\n").alias("prompt"))
+    c = c.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", one.alias("x")))).alias("a"))
+    return c.select("file_id", F.array_join("a.x", "\n").alias("prompt"))
 
 
 @query("format_hit", "SELECT chunk_id, 'File: ' || file_id || ' | Lines: ' || start_line || '-' || end_line AS head FROM {chunks}")
