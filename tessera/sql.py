@@ -1,7 +1,8 @@
 """Functions for users' SQL: terms, lines, chunks, parsing, search, definitions, references and impact.
 
 All but the parser are SQL functions that Catalyst inlines into the query that calls them: their joins, filters and columns are
-planned with it, and no Python runs. A table function may stand behind LATERAL, over all rows of a table.
+planned with it, and no Python runs. A table function may stand behind LATERAL, over all rows of a table; only search_chunks
+may not, it takes one constant question (a table of questions goes to Engine.retrieve).
 """
 
 from __future__ import annotations

@@ -60,6 +60,8 @@ def test_graph_and_symbols_in_one_statement(spark, engine):
     got = spark.sql("SELECT d.file_id, i.file_id AS hit, i.steps FROM q_definitions_of('load_all') d, LATERAL q_impact_of(d.file_id) i")
     assert rows(got) == [("helpers.py", "app.py", 1), ("helpers.py", "cli.py", 2)]
     assert rows(spark.sql("SELECT file_id FROM q_references_to('load_all')")) == [("app.py",)] and spark.sql("SELECT * FROM q_definitions_of(NULL)").count() == 0
+    named = spark.sql("SELECT s.name, r.file_id FROM q_symbols s, LATERAL q_references_to(s.name) r")
+    assert rows(named) == [("App", "cli.py"), ("Tool", "app.py"), ("load_all", "app.py"), ("run", "app.py")]
     both = spark.sql("SELECT f.file_id, i.* FROM q_files f, LATERAL q_impact_of(f.file_id) i")
     want = engine.impact(engine.files().select(F.col("file_id").alias("file")))
     assert {tuple(r)[:2] for r in both.collect()} == {tuple(r) for r in want.collect()}
