@@ -63,10 +63,56 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
 HOPS = 3
 
 
+class Chains:
+    """Files with one edge out, passed over: edges into such a file lead to the first file on its way that has none or several.
+
+    Ways are followed by doubling (jumps[k]: file, to (2**k edges on, or the end of the way before), least (file passed)), so
+    a way of any length takes the logarithm of it in joins. Ways that never end run into a circle; that circle is a component.
+    """
+
+    def __init__(self, live: DataFrame, written: Callable[[DataFrame, str], DataFrame]):
+        """live: src, dst."""
+        one = live.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")).where("n = 1")
+        self.live, self.written, self.jumps = live, written, [written(one.select(F.col("src").alias("file"), "to", F.col("src").alias("least")), "jumps")]
+        before = None
+        while True:
+            a, b = self.jumps[-1], self.jumps[-1].toDF("_f", "_to", "_least")
+            far = a.join(b, F.col("to") == F.col("_f"), "left")
+            s = far.where("_f is not null").agg(F.count(F.lit(1)), F.countDistinct("to"), F.count_if(F.col("_least") < F.col("least"))).first()
+            if not s[0] or (tuple(s[:2]) == before and not s[2]):
+                break
+            before = tuple(s[:2])
+            self.jumps.append(written(far.select("file", F.coalesce("_to", "to").alias("to"), F.least("least", F.coalesce("_least", "least")).alias("least")), "jumps"))
+        last, chain = self.jumps[-1], self.jumps[0].select(F.col("file").alias("to"))
+        endless = last.join(chain, "to", "left_semi")
+        self.ends = written(last.join(chain, "to", "left_anti").select("file", F.col("to").alias("end")), "ends")
+        self.circles = written(endless.join(endless.select(F.col("to").alias("file")).distinct(), "file", "left_semi").select("file", F.col("least").alias("colour")), "circles")
+        into = live.join(chain.withColumnRenamed("to", "src"), "src", "left_anti").join(self.ends, F.col("dst") == F.col("file"), "left")
+        into = into.select("src", "dst", "end").join(endless.select(F.col("file").alias("dst")), "dst", "left_anti")
+        self.into = written(into, "into")  # from files that stay
+        self.short = written(self.into.select("src", F.coalesce("end", "dst").alias("dst")).where("src <> dst").distinct(), "edges")
+
+    def coloured(self, found: DataFrame) -> DataFrame:
+        """file, colour: the circles, and the files passed over that are in a component of found (file, colour, of files that
+        stay): what lies behind an edge from the component that the way ends in."""
+        c = lambda name: found.toDF(name, f"c_{name}")
+        met = self.into.where("end is not null").join(c("src"), "src", "left").join(c("end"), "end", "left")
+        met = met.withColumn("colour", F.coalesce("c_end", "end")).where(F.coalesce("c_src", "src") == F.col("colour"))
+        met = met.select(F.col("dst").alias("file"), "colour").distinct()
+        ends = met.select(F.col("colour").alias("file"), "colour").distinct()  # an end may be in no other component
+        passed = self.jumps[0].select("file")
+        for jump in self.jumps:
+            far = met.join(jump, "file").select(F.col("to").alias("file"), "colour").join(passed, "file", "left_semi")
+            met = self.written(met.unionByName(far).distinct(), "met")
+        alone = ends.join(found.select("colour").distinct(), "colour", "left_anti")
+        return met.unionByName(alone.select("file", "colour")).unionByName(self.circles)
+
+
 def components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """file, component: the strongly connected component of each file with an edge, named by its smallest file.
 
-    Files without an edge in or out are components of their own and are trimmed. Of the rest each takes the largest file that
+    Files without an edge in or out are components of their own and are trimmed; those with one edge out, or one in, are passed
+    over (Chains), so that long ways and circles cost the logarithm of their length. Of the rest each takes the largest file that
     reaches it as its colour; those of a colour that reach the file it is named after are its component (forward colouring
     and a backward search inside each colour, all colours at once). What is found is taken out, and the rest starts anew.
     written(df, name): df written to a shared folder and read back, so that lineage does not grow with the rounds. Paths are
@@ -74,13 +120,23 @@ def components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame])
     """
     live = written(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     files = live.select(F.col("src").alias("file")).unionByName(live.select(F.col("dst").alias("file"))).distinct()
-    found, n = None, live.count()
+    found, n, over = None, live.count(), []
+    turned = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     while n:
         trimmed = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         live, before = written(trimmed.select("src", "dst"), "edges"), n
         n = live.count()
         if n < 0.9 * before or not n:
             continue  # cheap, while it takes much away
+        before = n
+        for turn in (False, True):
+            if not n or live.groupBy("dst" if turn else "src").count().where("count = 1").count() < 0.1 * n:
+                continue
+            over.append(Chains(turned(live) if turn else live, written))
+            live = turned(over[-1].short) if turn else over[-1].short
+            n = live.count()
+        if n < 0.9 * before or not n:
+            continue
         colours = written(live.select(F.col("src").alias("file")).distinct().withColumn("colour", F.col("file")), "colours")
         while True:
             new = colours
@@ -109,8 +165,9 @@ def components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame])
         live = live.join(gone.withColumnRenamed("file", "src"), "src", "left_anti").join(gone.withColumnRenamed("file", "dst"), "dst", "left_anti")
         live = written(live.select("src", "dst"), "edges")
         n = live.count()
-    if found is None:
-        return files.select("file", F.col("file").alias("component"))
+    found = files.limit(0).withColumn("colour", F.col("file")) if found is None else found
+    for chains in reversed(over):
+        found = written(found.unionByName(chains.coloured(found)), "found")
     least = found.groupBy("colour").agg(F.min("file").alias("component"))
     named = found.join(least, "colour").select("file", "component")
     return files.join(named, "file", "left").select("file", F.coalesce("component", "file").alias("component"))

@@ -97,3 +97,27 @@ def test_components_against_a_search_from_every_file(spark, tmp_path):
 def test_components_of_nothing_and_of_a_chain(spark, tmp_path):
     assert components(spark, tmp_path, []) == []
     assert components(spark, tmp_path, [(1, 2), (2, 3)]) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_components_of_long_circles_and_ways(spark, tmp_path):
+    """Rounds grow with the logarithm of a circle or way, not with its length."""
+    edges = [(i, (i + 1) % 500) for i in range(500)] + [(1000 + i, 1000 + (i + 1) % 300) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(200)]
+    edges += [(2200, 0), (7, 1005), (1005, 1100), (3000, 2000), (3001, 3000), (3001, 2100), (2050, 3001), (4000, 4001), (4001, 4000), (4000, 5)]
+    written = []
+
+    def keep(df, name):
+        written.append(name)
+        path = f"{tmp_path}/{name}-{uuid.uuid4().hex}"
+        df.coalesce(1).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    got = sorted(map(tuple, graph.components(spark.createDataFrame(edges, "src long, dst long"), keep).collect()))
+    assert got == plain_components(edges) and len(written) < 100
+
+
+def test_components_of_random_sparse_graphs(spark, tmp_path):
+    for seed in range(4):
+        r = random.Random(seed)
+        edges = list({(r.randrange(80), r.randrange(80)) for _ in range(70 + 20 * seed)} | {(100 + i, 100 + r.randrange(60)) for i in range(60)} | {(100 + r.randrange(60), r.randrange(80)) for _ in range(3)})
+        edges = [e for e in edges if e[0] != e[1]]
+        assert components(spark, f"{tmp_path}/{seed}", edges) == plain_components(edges)
