@@ -66,3 +66,21 @@ def test_phrases_against_a_scan_of_all_rows(spark, tmp_path):
         want = [(k + 1, r.id, r.score) for k, r in enumerate(lexical.bm25_phrase(rows, phrase, "id", "text", 7).collect())]
         assert sorted(got.get(i, [])) == want
     assert len(got) == 6 and index.phrases(spark.createDataFrame([(0, ""), (1, None)], "query_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("every", [True, False])
+@pytest.mark.parametrize("n,pairs", [(1, 500_000), (20, 7)])
+def test_many_queries_meet_each_segment_once(spark, tmp_path, monkeypatch, every, n, pairs):
+    """Scored inside the segments; rows that repeat an id count as one, as in a scan that groups by id."""
+    monkeypatch.setattr(lexical, "SEGMENT", 100)
+    monkeypatch.setattr(lexical, "FEW", 0)
+    monkeypatch.setattr(lexical, "PAIRS", pairs)
+    monkeypatch.setattr(lexical, "VECTORS", 3)
+    rows = corpus(spark, 700).unionByName(spark.createDataFrame([("d3", "w1 w2 w3"), ("d3", "w3 w5")], "id string, text string"))
+    many = [(100 + i, f"w{i} w{i // 3} w{2 * i} w0 w1 w2") for i in range(40)]
+    queries = spark.createDataFrame(QUERIES + many, "query_id long, text string").where("query_id is not null")
+    index = lexical.Index(spark, str(tmp_path)).build(rows, "id", "text", queries)
+    got = sorted((tuple(r) for r in index.search(queries, n, every).collect()), key=repr)
+    want = sorted((tuple(r) for r in lexical.search(rows, queries, "id", "text", n, every).collect()), key=repr)
+    assert got == want and len(got) > (20 if every else 40)
+    assert index.reads(queries, n, every).where("held <> kept").count() == 0
