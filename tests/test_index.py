@@ -84,3 +84,13 @@ def test_many_queries_meet_each_segment_once(spark, tmp_path, monkeypatch, every
     want = sorted((tuple(r) for r in lexical.search(rows, queries, "id", "text", n, every).collect()), key=repr)
     assert got == want and len(got) > (20 if every else 40)
     assert index.reads(queries, n, every).where("held <> kept").count() == 0
+
+
+def test_many_queries_of_frequent_words_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "FEW", 0)
+    rows = spark.createDataFrame([(i, "a b" if i % 2 else "a a c") for i in range(300)], "id long, text string")
+    queries = spark.createDataFrame([(0, "a"), (1, "a b"), (2, "c a")], "query_id long, text string")
+    index = lexical.Index(spark, str(tmp_path)).build(rows, "id", "text")
+    for every in (True, False):
+        got = sorted(tuple(r) for r in index.search(queries, 5, every).collect())
+        assert got == sorted(tuple(r) for r in lexical.search(rows, queries, "id", "text", 5, every).collect()) and len(got) == 15
