@@ -94,3 +94,13 @@ def test_many_queries_of_frequent_words_alone(spark, tmp_path, monkeypatch):
     for every in (True, False):
         got = sorted(tuple(r) for r in index.search(queries, 5, every).collect())
         assert got == sorted(tuple(r) for r in lexical.search(rows, queries, "id", "text", 5, every).collect()) and len(got) == 15
+
+
+def test_postings_shuffle_no_words(spark):
+    rows = corpus(spark, 60).unionByName(spark.createDataFrame([("d3", "w1 w2 w1"), ("d3", "w1 w2 w2"), (None, "w5")], "id string, text string"))
+    d = lexical.postings(rows, "id", "text")
+    t = rows.select("id", lexical.tokens(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    want = t.groupBy("id", "dl", "term").count()
+    assert sorted(map(tuple, d.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
