@@ -29,3 +29,15 @@ def test_search_gives_what_a_scan_gives(spark, tmp_path, monkeypatch):
         want = sorted((x.id, x.text) for x in rows.where("id is not null").where(F.col("text").rlike(pattern)).collect())
         assert sorted((x.id, x.text) for x in index.search(rows.where("id is not null"), pattern, "id", "text").collect()) == want
     assert index.candidates("needle").count() == 1 and index.candidates("x=1 token").count() < 100 and index.candidates("ab?") is None
+
+
+def test_building_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    """Segments are made where the rows are: each has its ids once, and blocks of numbers of rows."""
+    monkeypatch.setattr(trigrams, "SEGMENT", 40)
+    rows = spark.createDataFrame([(i, f"token number {i}") for i in range(200)], "id long, text string").repartition(2)
+    index = trigrams.Trigrams(spark, str(tmp_path)).build(rows, "id", "text")
+    table = spark.read.parquet(f"{index.root}/grams")
+    ids = table.where("bucket = -1")
+    assert ids.count() == 6 and ids.agg(F.sum(F.size("ids"))).first()[0] == 200 and ids.agg(F.max(F.size("ids"))).first()[0] <= 40
+    assert table.where("bucket >= 0 and (ids is not null or n <> size(rows))").count() == 0
+    assert sorted(r.id for r in index.search(rows, "number 17", "id", "text").collect()) == [17, *range(170, 180)]
