@@ -11,9 +11,9 @@ only where that token is met.
 Defined cases: a null URL, or one without `://`, has neither host nor path nor tokens and is allowed; a URL with no path
 fits no rule; where two rules of one length fit, the longer host decides; repeated rows get the same verdict; without blocked
 labels nothing is mined and all that is left is allowed; an empty table gives an empty result. Columns of the input named like
-a result column are replaced, any other names do no harm. A basket for mining takes at most `BASKET` tokens, the rarest
-of those that are frequent among blocked URLs, so that a URL with thousands of tokens can't have 2**n subsets; matching
-looks at all tokens.
+a result column are replaced, any other names do no harm. FP-growth takes the URLs with at most `BASKET` tokens that are
+frequent among blocked ones, so that a URL with thousands of tokens can't have 2**n subsets; the sets of tokens that are in a
+longer URL are counted over all URLs level by level (`levels`), with no limit.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     """items (sorted), confidence, blocked: the minimal blocking rules. labelled: tokens, block (boolean).
 
     A rule's tokens and the class together must be in at least `support` of the rows. What the driver sees of FP-growth are
-    frequent tokens, at most tokens a row / support.
+    frequent tokens, at most tokens a row / support. Sets that are in no row of more than `basket` frequent tokens come from
+    FP-growth over the other rows, where they have all their support; sets that are in such a row come from levels().
     """
     rows = materialize(labelled.select(F.monotonically_increasing_id().alias("n"), "tokens", "block"), "url-labelled")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("block").alias("blocked")).first()
@@ -79,22 +80,61 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     each = rows.select("n", "block", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count_if("block").alias("b"), F.count(F.lit(1)).alias("c")).where(F.col("b") >= least).select("token", "c")
     met = each.join(small_side(often), "token").groupBy("n", "block").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
-    items = F.slice("t", 1, basket)["token"]
-    baskets = met.select(F.when(F.col("block"), F.concat(items, F.array(F.lit(CLASS)))).otherwise(items).alias("items"))
+    met = materialize(met.withColumn("long", F.size("t") > basket), "url-baskets")
     # rows without a frequent token count to the number of rows, by which FP-growth divides
-    baskets = materialize(baskets, "url-baskets")
-    n = baskets.count()
-    if not n:
-        return labelled.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), numPartitions=max(1, min(200, n // 20_000 + 1))).fit(baskets)
-    sets = materialize(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "url-sets")
-    both = sets.where(F.array_contains("items", CLASS) & (F.size("items") > 1)).select(F.array_remove("items", CLASS).alias("items"), F.col("freq").alias("blocked"))
-    rules = both.join(sets, "items").select("items", (F.col("blocked") / F.col("freq")).alias("confidence"), "blocked").where(F.col("confidence") >= confidence)
-    return minimal(materialize(rules, "url-rules"))
+    size = met.agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).first()
+    out = labelled.sparkSession.createDataFrame([], schema)
+    if size.short:
+        items = F.col("t")["token"]
+        baskets = met.where(~F.col("long")).select(F.when(F.col("block"), F.concat(items, F.array(F.lit(CLASS)))).otherwise(items).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / size.short), numPartitions=max(1, min(200, size.short // 20_000 + 1))).fit(baskets)
+        sets = materialize(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "url-sets")
+        both = sets.where(F.array_contains("items", CLASS) & (F.size("items") > 1)).select(F.array_remove("items", CLASS).alias("items"), F.col("freq").alias("blocked"))
+        out = both.join(sets, "items").select("items", (F.col("blocked") / F.col("freq")).alias("confidence"), "blocked")
+        out = out.where((F.col("confidence") >= confidence) & (F.col("blocked") >= least))
+    if size.long:
+        far = met.where("long").select(F.col("t")["token"].alias("own"))
+        filed = out.select("items", F.element_at("items", 1).alias("token"))
+        inside = far.select("own", F.explode("own").alias("token")).join(filed, "token").where(F.forall("items", lambda x: F.array_contains("own", x)))
+        out = out.join(inside.select("items").distinct(), "items", "left_anti").unionByName(levels(met, least, confidence))
+    return minimal(materialize(out, "url-rules"))
+
+
+def levels(met: DataFrame, least: int, confidence: float) -> DataFrame:
+    """items (sorted), confidence, blocked: the blocking rules among the sets of tokens that are in a long row, with those that
+    have a rule as a part left out. met: n, block, t (c and token of the frequent ones, in order), long.
+
+    Sets are counted over all rows, level by level. A set is extended only if it has enough blocked rows, is no rule itself and
+    is in fewer rows than each of its parts: what has the same rows as a part has the same confidence and is not minimal. So a
+    row of many tokens that go together has no 2**n sets to count; there is no limit to the length of a row or a rule.
+    """
+    last = lambda x: F.element_at(x, -1)
+    own = met.select("block", "long", "t", F.explode("t").alias("first"))
+    tried, rules, k = met.where("long").select(F.explode("t").alias("x")).distinct().select(F.array("x").alias("set"), F.lit(None).cast("long").alias("most")), None, 1
+    while True:
+        filed = tried.select("set", "most", F.element_at("set", 1).alias("first"))  # under the rarest token
+        hit = own.join(filed, "first").where(F.forall("set", lambda x: F.array_contains("t", x))).groupBy("set", "most")
+        hit = hit.agg(F.count(F.lit(1)).alias("held"), F.count_if("block").alias("blocked"), F.bool_or("long").alias("long"))
+        hit = hit.where((F.col("blocked") >= least) & F.col("long") & (F.col("most").isNull() | (F.col("held") < F.col("most"))))
+        hit = materialize(hit.withColumn("confidence", F.col("blocked") / F.col("held")), "url-level")
+        found = hit.where(F.col("confidence") >= confidence).select(F.sort_array(F.col("set")["token"]).alias("items"), "confidence", "blocked")
+        rules = found if rules is None else rules.unionByName(found)
+        kept = hit.where(F.col("confidence") < confidence).select("set", "held")
+        if kept.limit(2).count() < 2:
+            return rules
+        a, b = kept.select(F.col("set").alias("a")), kept.select(F.col("set").alias("b"))
+        joined = last(F.col("a")) < last(F.col("b"))
+        if k > 1:
+            joined &= F.slice("a", 1, k - 1) == F.slice("b", 1, k - 1)
+        k += 1
+        more = a.join(b, joined).select(F.concat("a", F.array(last(F.col("b")))).alias("set"))
+        parts = more.select("set", F.explode(F.transform("set", lambda x: F.array_remove("set", x))).alias("part"))
+        parts = parts.join(kept.select(F.col("set").alias("part"), "held"), "part").groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.min("held").alias("most"))
+        tried = parts.where(F.col("n") == k).select("set", "most")
 
 
 def minimal(rules: DataFrame) -> DataFrame:
-    """The rules of which no other one is a part. A rule of n tokens (BASKET at most) looks up its parts by leaving out one
+    """The rules of which no other one is a part. A rule of n tokens looks up its parts by leaving out one
     token at a time: where rules follow from frequent sets, all parts of a set are frequent, but not all are rules, so the
     parts are looked up at every length."""
     parts, have = rules.select(F.col("items").alias("whole"), F.col("items").alias("part")), rules.select(F.col("items").alias("part"))
