@@ -32,9 +32,9 @@ FUNCTIONS = [
     ),
     (
         "search_chunks", "question STRING, most INT DEFAULT 10", "TABLE(chunk_id STRING, score DOUBLE, rank BIGINT)",
-        f"""WITH t AS (SELECT chunk_id, @terms_of(content) AS t FROM @chunks),
-        w AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(if(t IS NULL, NULL, size(t))) AS mean FROM t),
-        p AS (SELECT chunk_id, dl, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT chunk_id, size(t) AS dl, explode(filter(t, y -> array_contains(q, y))) AS term FROM (SELECT chunk_id, t, @terms_of(question) AS q FROM t WHERE t IS NOT NULL)) GROUP BY ALL),
+        f"""WITH w AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(regexp_count(translate(lower(content), '{ACCENTED}', '{PLAIN}'), r'{TOKEN}')) AS mean FROM @chunks),
+        t AS (SELECT chunk_id, @terms_of(content) AS t, q FROM (SELECT chunk_id, content, @terms_of(question) AS q FROM @chunks) WHERE exists(q, y -> contains(translate(lower(content), '{ACCENTED}', '{PLAIN}'), y))),
+        p AS (SELECT chunk_id, dl, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT chunk_id, size(t) AS dl, explode(filter(t, y -> array_contains(q, y))) AS term FROM t) GROUP BY ALL),
         h AS (SELECT term, CAST(count(*) AS DOUBLE) AS held FROM p GROUP BY term),
         r AS (SELECT p.chunk_id, round(sum(greatest(ln((n - held + 0.5D) / (held + 0.5D)), {FLOOR}D) * tf * {K1 + 1}D / (tf + {K1}D * ({1 - B}D + {B}D * dl / mean))), 6) AS score, count(*) AS have
             FROM p JOIN h ON p.term = h.term CROSS JOIN w GROUP BY p.chunk_id),
