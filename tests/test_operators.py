@@ -1,13 +1,18 @@
 """Operators that SQL does not check: patterns, parsing, sources, folds, streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
 from tessera.operators import chunking, context, dense, docs, fusion, incremental, parsing
+from tessera.plans import analysis, registry
 from tessera.sources import store, tree
 from tessera.streaming import changes
 
+from .conftest import SF
+
 
 def col(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x"))).first()[0]
@@ -341,3 +346,22 @@ def test_subword_counts(spark, tmp_path):
     (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(pieces)))
     d = spark.createDataFrame([("abc abc",), ("",), (None,), ("xyz",)], "t string")
     assert [r.n for r in d.select(subword_count(F.col("t"), str(tmp_path / "ranks"), r"\S+|\s+").alias("n")).collect()] == [3, 0, None, 3]
+
+
+def test_first_named_meets_queries_with_the_first_rows_of_a_term(spark):
+    """Against a loop; queries are joined to the first rows of each term, not to all that have it."""
+    r, n = random.Random(3), 4
+    named = [(f"t{r.randrange(6)}", None if i % 97 == 0 else r.randrange(40), r.randrange(9)) for i in range(400)] + [(None, 1, 1)]
+    asked = [(q, f"t{t}") for q in range(20) for t in {q % 7, q % 3}] + [(99, None)]
+    want = []
+    for q in {q for q, _ in asked}:
+        first = {}
+        for t, i, line in named:
+            if t is not None and (q, t) in asked:
+                first[i] = min(first.get(i, line), line)
+        order = sorted(first, key=lambda i: (first[i], i is not None, i or 0))
+        want += [(q, i, k + 1) for k, i in enumerate(order[:n])]
+    got = fusion.first_named(spark.createDataFrame(named, "term string, id long, line long"), spark.createDataFrame(asked, "query_id long, term string"), n)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) == 20 * n
+    plan = analysis.named(registry.Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit [term" in plan
