@@ -33,7 +33,7 @@ class Engine:
     def index(self) -> None:
         """Build the lexical indexes of the tables as they are now; those of earlier versions go."""
         for table, (key, column) in INDEXED.items():
-            home, name = f"{self.store.root}/_lexical", f"{table}-{self.store.version(table)}"
+            home, name = f"{self.store.root}/_lexical", f"{table}-{self.store.version(table)}-{lexical.FORMAT}"
             lexical.Index(self.spark, f"{home}/{name}").build(self.table(table), key, column, places=table == "chunks")
             for other in self.store._names(home):
                 if other.startswith(f"{table}-") and other != name:
@@ -41,8 +41,8 @@ class Engine:
                     fs.delete(at, True)
 
     def _indexed(self, table: str) -> lexical.Index | None:
-        """The index of a table, if there is one of its current version."""
-        home, name = f"{self.store.root}/_lexical", f"{table}-{self.store.version(table)}"
+        """The index of a table, if there is one of its current version (and of the format of this code)."""
+        home, name = f"{self.store.root}/_lexical", f"{table}-{self.store.version(table)}-{lexical.FORMAT}"
         return lexical.Index(self.spark, f"{home}/{name}") if name in self.store._names(home) else None
 
     def table(self, name: str) -> DataFrame:

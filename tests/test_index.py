@@ -68,6 +68,17 @@ def test_phrases_against_a_scan_of_all_rows(spark, tmp_path):
     assert len(got) == 6 and index.phrases(spark.createDataFrame([(0, ""), (1, None)], "query_id long, text string")).count() == 0
 
 
+def test_phrases_shuffle_their_places_once(spark, tmp_path):
+    """Counted and scored in one plan, which deals the blocks of a segment once."""
+    rows = spark.createDataFrame([(i, "a b c" if i % 3 else "b c a b") for i in range(90)], "id long, text string")
+    index = lexical.Index(spark, str(tmp_path)).build(rows, "id", "text", places=True)
+    asked = {0: "b c", 1: "a b", 2: "c b"}
+    d = index.phrases(spark.createDataFrame(list(asked.items()), "query_id long, text string"), 4)
+    got = sorted(map(tuple, d.collect()), key=lambda r: (r[0], r[3]))
+    assert got == [(q, r.id, r.score, k + 1) for q in (0, 1) for k, r in enumerate(lexical.bm25_phrase(rows, asked[q], "id", "text", 4).collect())]
+    assert "ReusedExchange" in d._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("every", [True, False])
 @pytest.mark.parametrize("n,pairs", [(1, 500_000), (20, 7)])
 def test_many_queries_meet_each_segment_once(spark, tmp_path, monkeypatch, every, n, pairs):
