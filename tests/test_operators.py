@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import chunking, context, dense, docs, fusion, incremental, parsing
+from tessera.operators import chunking, context, dense, docs, fusion, incremental, metadata, parsing
 from tessera.plans import analysis, registry
-from tessera.sources import store, tree
+from tessera.sources import ingest, store, tree
 from tessera.streaming import changes
 
 from .conftest import SF
@@ -365,3 +365,20 @@ def test_first_named_meets_queries_with_the_first_rows_of_a_term(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) == 20 * n
     plan = analysis.named(registry.Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit [term" in plan
+
+
+def test_ingest_parses_texts_once(spark, tmp_path):
+    """What the parser gave is written and read by all tables; the texts give the same twice."""
+    texts = [("a.py", "python", '"""Doc."""\nimport b\nclass A:\n    def f(self):\n        pass\n'), ("b.py", "python", "def g(:\n"), ("b.js", "javascript", "/** M */\nfunction g() {}\n"), ("c.go", "go", "func h() {}\n"), ("d.txt", "text", "x"), ("e.py", "python", None), ("f", None, "class")]
+    src = spark.createDataFrame(texts, "file_id string, language string, text string")
+    once = metadata.read(ingest.sized(src))
+    rows = lambda d, *c: sorted(map(tuple, d.select(*c).collect()), key=repr)
+    assert rows(once, "file_id", *metadata.FIELDS) == rows(metadata.extract(src), "file_id", *metadata.FIELDS)
+    found = ["file_id", "kind", "name", "start_line", "end_line", "parents"]
+    assert rows(once.select("file_id", F.inline("found")), *found) == rows(parsing.parse(src).where("kind <> 'module'"), *found)
+    kept = store.Store(spark, str(tmp_path))
+    ingest.ingest(src, kept)
+    for name, df in ingest.tables(src).items():
+        assert rows(kept.load(name), *df.columns) == rows(df, *df.columns)
+    assert kept._names(f"{tmp_path}/_read") == []
+    assert "MapInPandas" not in ingest.tables(src, read=once)["symbols"]._jdf.queryExecution().optimizedPlan().toString()
