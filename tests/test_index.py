@@ -97,6 +97,21 @@ def test_many_queries_meet_each_segment_once(spark, tmp_path, monkeypatch, every
     assert index.reads(queries, n, every).where("held <> kept").count() == 0
 
 
+def test_any_word_of_many_queries_goes_in_passes(spark, tmp_path, monkeypatch):
+    """Segments are kept once, however many rows of queries meet them, and later passes give only rows that reach the least score."""
+    monkeypatch.setattr(lexical, "SEGMENT", 20)
+    monkeypatch.setattr(lexical, "FEW", 0)
+    monkeypatch.setattr(lexical, "PAIRS", 50)
+    rows = corpus(spark, 800)
+    queries = spark.createDataFrame([(i, f"w{i} w{i // 3} w{2 * i} w0 w1 w2 w{i} w150") for i in range(40)], "query_id long, text string")
+    index = lexical.Index(spark, str(tmp_path)).build(rows, "id", "text", queries)
+    got = sorted(map(tuple, index.search(queries, 5, every=False).collect()))
+    assert got == sorted(map(tuple, lexical.search(rows, queries, "id", "text", 5, every=False).collect())) and len(got) == 200
+    segs = index._whole().first().segs
+    assert segs == 41 and spark.read.parquet(f"{tmp_path}/searches/segments-*").count() <= segs
+    assert spark.read.parquet(f"{tmp_path}/searches/hits-*").count() < 40 * 5 * segs / 2
+
+
 def test_many_queries_of_frequent_words_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "FEW", 0)
     rows = spark.createDataFrame([(i, "a b" if i % 2 else "a a c") for i in range(300)], "id long, text string")

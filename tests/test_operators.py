@@ -229,6 +229,22 @@ def test_answer_context(spark):
     assert {r.section for r in rows} >= {"overview", "symbols", "chunks", "modules"} and len(set(intent.values())) >= 4
 
 
+def test_answer_context_fetches_what_fits(spark):
+    """Contents are joined to the chunks that fit; chunks that share an id all come, each as often as it is there."""
+    q = spark.createDataFrame([("q", "tell me more")], "query_id string, text string")
+    files = spark.createDataFrame([("f", "en", 1, 1)], "file_id string, language string, line_count long, doc_id long")
+    symbols = spark.createDataFrame([], "symbol_id string, file_id string, name string, kind string, line long")
+    edges = spark.createDataFrame([], "src long, dst long")
+    chunks = spark.createDataFrame([("a", "x" * 8), ("a", "y" * 8), ("a", "y" * 8), ("b", "z" * 4000), ("c", "u")], "chunk_id string, content string")
+    best = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3)], "query_id string, id string, rank long")
+    d = context.answer_context(q, files, chunks, symbols, edges, budget=1000, best=best)
+    got = sorted((r.section, r["rank"], r.id, r.tokens, r.content) for r in d.collect())
+    whole = "Files: 1; languages: en"
+    assert got == [("chunks", 1, "a", 2, "x" * 8), ("chunks", 1, "a", 2, "y" * 8), ("chunks", 1, "a", 2, "y" * 8), ("overview", 1, "overview", len(whole) // 4, whole)]
+    branch = d._jdf.queryExecution().optimizedPlan().toString().split("\n+- ")[-1]
+    assert branch.index("Join") < branch.index("Window")  # the contents are joined to what the budget leaves
+
+
 def test_git_changes_and_file_lists(spark, tmp_path):
     import subprocess
 
