@@ -245,6 +245,28 @@ def test_answer_context_fetches_what_fits(spark):
     assert branch.index("Join") < branch.index("Window")  # the contents are joined to what the budget leaves
 
 
+def test_fusion_by_language_gives_that_language_only(spark):
+    """Every list is filtered, by vectors, texts and symbols; vectors are searched behind the filter, not cut before it."""
+    from collections import Counter
+
+    from tessera.plans import QUERIES
+    from tessera.plans.analysis import ranked_lists
+    from tessera.plans.registry import Tables
+
+    from .conftest import SF
+
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = QUERIES["rrf_lang"](spark, SF).collect()
+    assert rows and {lang.get(r.id) for r in rows} == {"en"}
+    vectors = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    dense, _, named = (x.collect() for x in ranked_lists(Tables(spark, SF), "lang = 'en'"))
+    of = [v for v in vectors if lang.get(v) == "en"]
+    assert Counter(r.query_id for r in dense) == {v: min(40, len(of) - (v in of)) for v in vectors if v % 100 == 0}
+    for q in {r.query_id for r in named}:
+        mine = sorted(r["rank"] for r in named if r.query_id == q)
+        assert mine == list(range(1, len(mine) + 1))
+
+
 def test_git_changes_and_file_lists(spark, tmp_path):
     import subprocess
 
